@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, url_filter
+from . import decontaminate, line_dedup, mixing, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,9 +11,11 @@ def queries() -> dict:
         "op4_mixing": mixing.op4_mixing,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op9_decontamination": decontaminate.op9_decontamination,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those queries that SQL can express."""
-    return {"op6_url_filter": url_filter.OP6_SQL}
+    return {"op6_url_filter": url_filter.OP6_SQL, "op9_decontamination": decontaminate.OP9_SQL}
