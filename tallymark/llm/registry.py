@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, toxicity, url_filter
+from . import decontaminate, jaccard_join, line_dedup, mixing, toxicity, url_filter
 
 
 def queries() -> dict:
     """opN_<name>: a function of (spark, sf_dir)."""
     return {
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_mixing": mixing.op4_mixing,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_url_filter": url_filter.op6_url_filter,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those queries that SQL can express."""
-    return {"op6_url_filter": url_filter.OP6_SQL, "op9_decontamination": decontaminate.OP9_SQL}
+    return {"op3_jaccard_join": jaccard_join.OP3_SQL, "op6_url_filter": url_filter.OP6_SQL, "op9_decontamination": decontaminate.OP9_SQL}
