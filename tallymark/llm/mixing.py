@@ -22,7 +22,7 @@ WEIGHTS = (3, 1, 2)
 MOST = 2.0
 SEED = 20260829
 #: A row's key, and a row that still has a fraction.
-KEY = "struct<d:bigint,none:boolean,part:bigint,size:bigint,i:bigint>"
+KEY = "struct<d:bigint,none:boolean,part:bigint,size:bigint,text:bigint,i:bigint>"
 ITEM = f"struct<k:{KEY},size:bigint,f:double>"
 
 
@@ -143,17 +143,16 @@ def round_fractions(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, fan_in: int = FAN_IN) -> DataFrame:
-    """(row, doc_id, size, source_size, target, copies, taken) for every row of ``docs`` (doc_id, text, source).
+    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs`` (doc_id, text, source).
 
-    Rows are told apart by position-free content: repeated doc_ids get numbers of their own, so a repeated row
-    is one more document. A null text has size 0; documents of size 0 and sources of size 0 take nothing. A
+    A repeated row is one more document. A null text has size 0; documents of size 0 and sources of size 0 take nothing. A
     null source is a source of its own, a null doc_id a document like others. An empty table gives no rows.
     Other columns are ignored. Reruns agree: all draws are hashes.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    # Equal (doc_id, source, size) rows are interchangeable; a count keeps them without a window over rows.
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), text_hash().alias("_text"))
+    # Equal rows are interchangeable; a count keeps them without a window over rows.
     sized = save(
-        sized.groupBy("doc_id", "source", "size")
+        sized.groupBy("doc_id", "source", "size", "_text")
         .agg(F.count("*").alias("_n"))
         .withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
         .drop("_n")
@@ -171,6 +170,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
             F.col("doc_id").isNull().alias("none"),
             "part",
             "size",
+            F.col("_text").alias("text"),
             F.col("_i").alias("i"),
         ),
     )
@@ -182,10 +182,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         "source_size",
         "target",
         F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.coalesce("up", F.lit(0))).cast("long").alias("copies"),
-        "_i",
+        "_text",
     ).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def text_hash() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+
+
+def take(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, fan_in: int = FAN_IN) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all their columns, ``copies`` and ``taken``.
+
+    Rows that agree in doc_id, source and text come back as one, with the copies of all.
+    """
+    names = [c for c in docs.columns if c not in ("copies", "taken")]
+    counted = mix(docs.select("doc_id", "source", "text"), weights, share, most, fan_in)
+    counted = counted.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_text").alias("_t")).agg(
+        F.sum("copies").alias("copies"), F.sum("taken").alias("taken")
+    )
+    rows = docs.select(*names, text_hash().alias("_text")).dropDuplicates(["doc_id", "source", "_text"])
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_text") == F.col("_t"))
+    return rows.join(counted.where("copies > 0"), same).select(*names, "copies", "taken")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` mixed to the weights above."""
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

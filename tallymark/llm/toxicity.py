@@ -134,15 +134,15 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     return fit([np.frombuffer(x, np.int32).astype(np.int64) for x in got["terms"]], got["toxic"].to_numpy(float))
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with a score between 0 and 1: all columns stay, an own ``score`` is replaced.
+def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
+    """``docs`` with a score between 0 and 1: all columns stay, an own one of that ``name`` is replaced.
 
     Null and empty texts have no terms and get the bias alone. Long texts are read whole. Repeated rows are
     scored alike, an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # 2 ** BITS places and as many known terms at most
-    names = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*names).schema.add("score", "double")
+    names = [c for c in docs.columns if c != name]
+    schema = docs.select(*names, F.lit(0.0).alias(name)).schema
 
     def run(batches):
         memory: dict = {}
@@ -154,7 +154,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 flat = np.concatenate([*rows, np.empty(0, np.int64)])
                 margin = sent.value.margins(flat, np.array([len(r) for r in rows], np.int64))
                 scores = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, name])
 
     return docs.select(*names).mapInArrow(run, schema)
 
