@@ -1,39 +1,45 @@
 """Line dedup: a deletion-neighbourhood join over words.
 
-Two lines are the same line when their words, A-Z lower-cased, differ by at most one word inserted, deleted
-or replaced; lines of fewer than ``near_words`` words only when their words are equal. Of the same lines the
-earliest stays, by (doc_id, line number).
+Two lines are the same line when their words differ by at most one word inserted, deleted or replaced; lines of
+fewer than ``near_words`` words only when their words are equal. Of the same lines the earliest stays, by
+(doc_id, line number).
 
 The join: a line and all its variants with one word left out are emitted as hashed keys. A line that equals a
 variant of another one differs from it by that one word; two lines that share the variant with the same word
 left out differ in that word alone. Each key keeps only the earliest line in each role, never pairs, so a key
 that a third of all lines share makes as many rows as it has lines. The words themselves are compared last.
 
-Before that, equal lines are one row, and lines that share no half with another line are set aside: one edit
-leaves the first or the second half of a line as it was, so this loses nothing.
+The key of a line is a sum of hashes of (word, position), so running sums give the keys of all its variants in
+linear time, however long the line is. Before that, equal lines are one row, and lines that share no half with
+another line are set aside: one edit leaves the first or the second half of a line as it was, so this loses nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, drop, read, save
+from .common import read, save
 
 #: Lines of fewer words stay wherever they are: headings, list marks, closing brackets.
 MIN_WORDS = 4
 #: Lines of fewer words are the same only when their words are equal.
 NEAR_WORDS = 10
+#: Bits of the hash of a word at its place; 2 ** (62 - 42) words can be summed without overflow.
+BITS = 42
 
 
-def line_words(line: Column) -> Column:
-    """The words of a line, A-Z lower-cased."""
-    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def plain(line: Column) -> Column:
+    """A line's words with one space between them."""
+    odd = reduce(lambda a, b: a | b, [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")])
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
 
 
-def _digest(words: Column, salt: int = 0) -> Column:
-    return F.xxhash64(F.lit(salt), words)
+def _n_words(line: Column) -> Column:
+    """Words of a plain line; 0 for an empty one."""
+    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -53,76 +59,94 @@ def within_one(a: Column, b: Column) -> Column:
     )
 
 
-def _repeated_halves(lines: DataFrame) -> DataFrame:
-    """The lines (h, n, words, at) that share a half with another line of a length that fits."""
-    n = F.col("n")
+def _half_keys(line: Column, n: Column) -> Column:
+    """Keys of halves: any two lines within one edit share one.
+
+    For a pair whose shorter line has m words these are its first m // 2 words, or its last m - m // 2; a line takes
+    part with m its own length, and one less.
+    """
+
+    def half(first: bool, m: Column) -> Column:
+        size = F.floor(m / 2).cast("int")
+        part = F.call_function("substring_index", line, F.lit(" "), size if first else size - m)
+        return F.xxhash64(F.lit(first), m, part)
+
+    return F.array(*[half(first, m) for m in (n, n - 1) for first in (True, False)])
 
-    def half(kind: int, m: Column) -> Column:
-        first = F.floor(m / 2).cast("int")
-        part = F.slice("words", 1, first) if kind == 0 else F.slice("words", (n - (m - first) + 1).cast("int"), (m - first).cast("int"))
-        return F.xxhash64(F.lit(kind), m, part)
 
-    keys = lines.select("h", F.explode(F.array(*[half(kind, m) for m in (n, n - 1) for kind in (0, 1)])).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h").alias("_lo"), F.max("h").alias("_hi")).where("_lo <> _hi").select("key")
-    near = keys.join(shared, "key", "left_semi").select("h").distinct()
-    return lines.join(near, "h", "left_semi")
+def _place_hash(word: Column, place: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), word, place), F.lit(1 << BITS))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(at, line): every line in plain form; at is (doc_id, line number)."""
+    split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    return split.select(F.struct(F.col("doc_id").alias("d"), F.col("no").alias("l")).alias("at"), plain(F.col("raw")).alias("line"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(doc_id, line_no, first_doc_id, first_line_no) for every line to remove.
 
-    ``docs`` has (doc_id, text). Lines end at line feeds; ``line_no`` counts from 0. A line goes when an earlier
-    line is the same line; (first_doc_id, first_line_no) is the earliest such line. Lines of fewer than
-    ``min_words`` words stay. Null and empty texts have no lines, null doc_ids count as the earliest document,
-    a repeated row's lines are those of one document again and are told apart by no more than their place, so
-    both rows lose what either loses. An empty table gives no rows; other columns are ignored.
+    ``docs`` has (doc_id, text). Lines end at line feeds; ``line_no`` counts from 0. Words are runs of anything but
+    ASCII white space. A line goes when an earlier line is the same line; (first_doc_id, first_line_no) is the
+    earliest such line. Lines of fewer than ``min_words`` words stay. Null and empty texts have no lines, null
+    doc_ids count as the earliest document, a repeated row's lines are those of one document again: equal lines at
+    the same place are one. An empty table gives no rows; other columns are ignored.
     """
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("words", line_words(F.col("line")))
-    sized = split.withColumn("n", F.size("words")).where(F.col("n") >= min_words)
+    docs = docs.select("doc_id", "text")
+    sized = _lines(docs).withColumn("n", _n_words(F.col("line"))).where(F.col("n") >= min_words)
     # 128 bits of two independent hashes name a line.
-    named = sized.select(
-        F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("l")).alias("at"),
-        "n",
-        "words",
-        F.struct(_digest(F.col("words"), 1).alias("x"), _digest(F.col("words"), 2).alias("y")).alias("h"),
-    )
-    places = save(named.select("at", "h"))
-    lines = save(
-        named.groupBy("h").agg(F.min("at").alias("at"), F.first(F.struct("n", "words")).alias("s")).select("h", "at", "s.n", "s.words")
+    name = F.struct(F.xxhash64(F.lit(1), "line").alias("x"), F.xxhash64(F.lit(2), "line").alias("y"))
+    halves = F.when(F.col("n") >= near_words, _half_keys(F.col("line"), F.col("n")))
+    places = save(sized.select("at", name.alias("h"), "n", halves.alias("halves")))
+    lines = save(places.groupBy("h").agg(F.min("at").alias("at"), F.first("halves").alias("halves")))
+    keys = lines.where("halves is not null").select("at", F.explode("halves").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("key")
+    near = keys.join(shared, "key", "left_semi").select("at").distinct()
+
+    # The words of those lines, from the texts that hold them.
+    wanted = near.groupBy(F.col("at.d").alias("doc_id")).agg(F.collect_set("at.l").alias("numbers"))
+    holding = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(docs["doc_id"], "text", "numbers")
+    texts = holding.select("doc_id", "numbers", F.posexplode(F.split("text", "\n")).alias("no", "raw")).where(F.array_contains("numbers", F.col("no")))
+    near_lines = save(
+        texts.select(F.struct(F.col("doc_id").alias("d"), F.col("no").alias("l")).alias("at"), F.split(plain(F.col("raw")), " ").alias("words")).dropDuplicates(["at"])
     )
-    near = save(_repeated_halves(lines.where(F.col("n") >= near_words - 1)))
-    index = F.sequence(F.lit(1), F.col("n"))
-    without = lambda i: F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.col("n")))
-    whole = near.where(F.col("n") >= near_words).select("h", "at", "n", F.lit(0).alias("role"), F.lit(0).alias("i"), _digest(F.col("words")).alias("key"))
-    left_out = (
-        near.where(F.col("n") >= near_words)
-        .select("h", "at", "n", F.explode(F.transform(index, lambda i: F.struct(i.alias("i"), _digest(without(i)).alias("key")))).alias("v"))
-        .select("h", "at", "n", F.lit(1).alias("role"), "v.i", "v.key")
+
+    each = near_lines.select("at", F.posexplode("words").alias("i", "w"))
+    before = Window.partitionBy("at").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    left_out = each.select(
+        "at", "i", *[_place_hash(F.col("w"), F.col("i"), s).alias(f"f{s}") for s in (1, 2)], *[_place_hash(F.col("w"), F.col("i") - 1, s).alias(f"g{s}") for s in (1, 2)]
     )
-    keyed = whole.union(left_out)
-    # The earliest line in each role: whole line, and with word i left out.
-    by_place = keyed.where("role = 1").groupBy("key", "i").agg(F.min("at").alias("first"))
-    as_whole = keyed.where("role = 0").groupBy("key").agg(F.min("at").alias("first"))
-    as_variant = keyed.where("role = 1").groupBy("key").agg(F.min("at").alias("first"))
+    # Without word i, those before it keep their places and those behind it move up by one.
+    total = Window.partitionBy("at")
+    running = Window.partitionBy("at").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    variant = lambda s: F.coalesce(F.sum(f"f{s}").over(before), F.lit(0)) + F.sum(f"g{s}").over(total) - F.sum(f"g{s}").over(running)
+    variants = left_out.select("at", "i", F.xxhash64(variant(1), variant(2)).alias("key"))
+    # As the variant that leaves out nothing, a line has its own key; -1 is no place.
+    whole = left_out.groupBy("at").agg(F.xxhash64(F.sum("f1"), F.sum("f2")).alias("key")).select("at", F.lit(-1).alias("i"), "key")
+    keyed = save(variants.union(whole))
+
+    # The earliest line in each role: whole, with any word left out, with word i left out.
+    by_place = keyed.where("i >= 0").groupBy("key", "i").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").drop("last")
+    roles = keyed.groupBy("key").agg(F.min(F.when(F.col("i") < 0, F.col("at"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("at"))).alias("variant"))
+    roles = roles.where("whole is not null and variant is not null")
     earlier = (
-        keyed.where("role = 1").join(by_place, ["key", "i"]).select("h", "at", "first")
-        .union(keyed.where("role = 1").join(as_whole, "key").select("h", "at", "first"))
-        .union(keyed.where("role = 0").join(as_variant, "key").select("h", "at", "first"))
+        keyed.join(by_place, ["key", "i"]).select("at", "first")
+        .union(keyed.join(roles, "key").select("at", F.when(F.col("i") < 0, F.col("variant")).otherwise(F.col("whole")).alias("first")))
         .where("first < at")
         .distinct()
     )
-    # The words decide; a line's partners are few: one a key at most.
-    texts = lines.select(F.col("at").alias("first"), F.col("words").alias("w2"))
+    # The words decide; a line's partners are few: two a key at most.
     checked = (
-        earlier.join(near.select("h", "words"), "h")
-        .join(texts, "first")
+        earlier.join(near_lines, "at")
+        .join(near_lines.select(F.col("at").alias("first"), F.col("words").alias("w2")), "first")
         .where(within_one(F.col("words"), F.col("w2")))
-        .groupBy("h")
+        .groupBy("at")
         .agg(F.min("first").alias("first"))
     )
-    earliest = lines.select("h", F.col("at").alias("own")).join(checked, "h", "left")
+    earliest = lines.join(checked, "at", "left").select("h", F.least("at", F.coalesce("first", "at")).alias("first"))
     return (
-        places.join(earliest.select("h", F.least("own", F.coalesce("first", "own")).alias("first")), "h")
+        places.join(earliest, "h")
         .where("first < at")
         .select(
             F.col("at.d").alias("doc_id"),
@@ -130,6 +154,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
             F.col("first.d").alias("first_doc_id"),
             F.col("first.l").alias("first_line_no"),
         )
+        .distinct()
     )
 
 
@@ -139,8 +164,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     Every row stays, also one that has lost all its lines: its text is then empty. Other columns are kept; see
     ``repeated_lines`` for which lines go and for unusual input. A null text stays null, with no lines.
     """
-    gone = repeated_lines(docs.select("doc_id", "text"), min_words, near_words)
-    lists = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_of")
+    gone = repeated_lines(docs, min_words, near_words)
+    lists = gone.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("line_no").alias("_gone"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     joined = docs.select(*names).join(lists, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
     lines = F.split("text", "\n")
