@@ -1,0 +1,39 @@
+"""A scan of texts for secrets and personal paths."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# What secrets look like. A prefix is written apart from what follows, so this file holds no match.
+PATTERNS = (
+    ("aws access key id", "AK" + "IA[0-9A-Z]{16}"),
+    ("github personal access token", "gh" + "p_[A-Za-z0-9]{36}"),
+    ("github fine grained token", "github" + "_pat_[A-Za-z0-9_]{22,}"),
+    ("openai style api key", "sk" + "-[A-Za-z0-9]{20,}"),
+    ("openrouter key", "sk" + "-or-v1-[A-Za-z0-9]{32,}"),
+    ("slack token", "xox" + "[baprs]-[A-Za-z0-9-]{10,}"),
+    ("google api key", "AI" + r"zaSy[A-Za-z0-9_\-]{33}"),
+    ("private key block", "-----BEGIN " + "([A-Z ]+ )?PRIVATE KEY-----"),
+    ("bearer token in a header", "Authorization" + r":\s*Bearer\s+[A-Za-z0-9._\-]{20,}"),
+    ("home directory path", "/home/" + r"(?!<user>|USER\b)[a-z][a-z0-9_-]{2,}/"),
+    ("password assignment", "(?i)pass" + r"word\s*[=:]\s*[\"'][^\"']{6,}[\"']"),
+)
+
+
+def findings(texts: DataFrame, key: str, text: str = "text", patterns=PATTERNS) -> DataFrame:
+    """(key, pattern, sample) of every match of every pattern: the sample is its first 12 characters and dots.
+
+    One projection per row and no join: the patterns are literals.
+    """
+    found = F.array(
+        *[
+            F.struct(F.lit(name).alias("pattern"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("m"))
+            for name, p in patterns
+        ]
+    )
+    return (
+        texts.select(key, F.explode(found).alias("f"))
+        .select(key, "f.pattern", F.explode("f.m").alias("m"))
+        .select(key, "pattern", F.concat(F.left("m", F.lit(12)), F.lit("...")).alias("sample"))
+    )

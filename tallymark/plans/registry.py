@@ -1,13 +1,635 @@
-"""Named queries over the driver's tables, and the DuckDB SQL each is held against."""
+"""Named queries over the driver's tables, and the DuckDB SQL each is held against.
+
+Texts are dressed up first (list marks, blank lines, fences, preambles, counts of their own), the same way in both
+engines, because the documents have none of what the rules are about. Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import counters as c
+from ..functions.probes import PROBES
+from ..functions.vocabulary import HEADINGS, NOUNS, TAIL
+from ..operators import compose, items, recorded, scan, scoring
+from ..operators.grading import answers_of, grade, keyword_present, unwrap
+from . import duck
+
+# ---- inputs, in both engines -----------------------------------------------------------------------------------
+
+_DRESS = r"""
+array_join(transform(split(text, '\n'), (l, i) -> concat(
+  element_at(array('- ', '  - ', '1. ', '', '* '), cast(i % 5 + 1 as int)), l, if(i % 4 = 3, '\n', ''))), '\n')"""
+DRESSED = rf"""
+case doc_id % 7 when 0 then concat('```\n', {_DRESS}, '\n```') when 1 then concat('Here is the answer:\n', {_DRESS})
+when 2 then concat({_DRESS}, '\n(5 words)') else {_DRESS} end"""
+_DRESS_SQL = """array_to_string(list_transform(string_split(text, chr(10)), lambda l, i:
+  ['- ', '  - ', '1. ', '', '* '][(i - 1) % 5 + 1] || l || CASE WHEN (i - 1) % 4 = 3 THEN chr(10) ELSE '' END), chr(10))"""
+DRESSED_SQL = f"""CASE doc_id % 7 WHEN 0 THEN '```' || chr(10) || {_DRESS_SQL} || chr(10) || '```'
+  WHEN 1 THEN 'Here is the answer:' || chr(10) || {_DRESS_SQL}
+  WHEN 2 THEN {_DRESS_SQL} || chr(10) || '(5 words)' ELSE {_DRESS_SQL} END"""
+TEXTS_SQL = f"SELECT doc_id k, doc_id, source, lang, {DRESSED_SQL} t FROM documents"
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """One table of a data directory."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, lang, text): documents in dress."""
+    return read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.expr(DRESSED).alias("text"))
+
+
+_DIMS = list(c.COUNTED)
+_MODES = ["exact", "at_most", "at_least"]
+
+
+def _of(table: list[str], number: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in table]), (number + 1).cast("int"))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items, one for each document: what is asked depends on its number, the target on its own count; with text."""
+    d = F.col("doc_id")
+    rows = texts(spark, sf_dir).withColumns(
+        {"id": F.concat(F.lit("d"), d.cast("string")), "dimension": _of(_DIMS, d % 6), "mode": _of(_MODES, F.floor(d / 6) % 3)}
+    )
+    from ..operators.grading import observed
+
+    first = F.regexp_replace(F.coalesce(F.get(c.words(F.col("text")), F.lit(2)), F.lit("none")), r"[^\p{L}\p{N}]", "")
+    return rows.withColumns(
+        {
+            "target": F.greatest(F.lit(1), observed(F.col("dimension"), c.strip(F.col("text"))) + (F.floor(d / 18) % 3 - 1)).cast("int"),
+            "unique": (F.col("dimension") == "bullets") & (d % 4 == 0),
+            "keyword": F.when(d % 5 == 0, "zzz").otherwise(first),
+            "family": F.col("lang"),
+            "system": F.col("source"),
+        }
+    )
+
+
+QUESTIONS_SQL = (
+    duck.counted(f"SELECT k, doc_id, source, lang, raw, {duck.strip('raw')} t FROM (SELECT k, doc_id, source, lang, t raw FROM ({TEXTS_SQL}))")
+    + f""", q0 AS (SELECT *, 'd' || doc_id id, {_DIMS}[doc_id % 6 + 1] dimension, {_MODES}[(doc_id // 6) % 3 + 1] mode, source system, lang family FROM counted),
+questions AS (SELECT *, greatest(1, {duck.by_dimension()} + (doc_id // 18) % 3 - 1) target, dimension = 'bullets' AND doc_id % 4 = 0 AS "unique",
+  CASE WHEN doc_id % 5 = 0 THEN 'zzz' ELSE regexp_replace(coalesce(list_filter({duck.tokens("raw")}, lambda x: regexp_matches(x, {duck.q(duck.WORD)}))[3], 'none'), {duck.q(r"[^\p{L}\p{N}]")}, '', 'g') END keyword
+  FROM q0)"""
+)
+
+
+def _verdicts_sql() -> str:
+    """QUESTIONS_SQL and ``graded``: an answer of a number divisible by 11 is missing, and so empty."""
+    zero = {d: "0" for d in _DIMS}
+    observed = f"CASE WHEN gone THEN {zero['words']} ELSE {duck.by_dimension()} END"
+    return (
+        QUESTIONS_SQL
+        + f""", g0 AS (SELECT *, doc_id % 11 = 0 gone FROM questions),
+g1 AS (SELECT *, {observed} observed, NOT gone AND {duck.keyword("t", "keyword")} keyword_ok,
+  NOT "unique" OR gone OR NOT ({duck.duplicated("normalized")}) unique_ok, gone OR t = '' empty FROM g0),
+g2 AS (SELECT *, observed - target error, {duck.satisfied("observed")} count_ok FROM g1),
+graded AS (SELECT *, NOT empty AND count_ok AND keyword_ok AND unique_ok compliant FROM g2)"""
+    )
+
+
+GRADED_SQL = _verdicts_sql()
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with their responses; some items have none."""
+    q = questions(spark, sf_dir)
+    responses = texts(spark, sf_dir).where("doc_id % 11 <> 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("response"))
+    return answers_of(q.drop("text"), responses, system=False)
+
+
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on those."""
+    return grade(answered(spark, sf_dir))
+
+
+# ---- queries -----------------------------------------------------------------------------------------------------
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name."""
+
+    def put(f):
+        _Q[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _counts(dimension: str, dialects=None):
+    names = [duck.count_of(dimension, k) for k in dialects or c.DIALECTS[dimension]]
+
+    def run(spark, sf_dir):
+        return c.with_counts(texts(spark, sf_dir), dimensions=(dimension,)).select("doc_id", *names)
+
+    run.__name__ = {"words": "w", "sentences": "s", "bullets": "b", "chars": "c", "lines": "l", "paragraphs": "p"}[dimension] + "_dialects"
+    run.__doc__ = f"Every document's {dimension}, under each rule."
+    query(f"{duck.counted(TEXTS_SQL, sentences=dimension == 'sentences')} SELECT doc_id, {', '.join(names)} FROM counted")(run)
+
+
+for _d in c.COUNTED:
+    _counts(_d)
+
+
+@query(f"{duck.counted(TEXTS_SQL, sentences=False)} SELECT doc_id, chars_nfc_codepoints FROM counted")
+def c_nfc(spark, sf_dir):
+    """Characters after normalisation: the count that needs a pandas UDF."""
+    return texts(spark, sf_dir).select("doc_id", c.count("chars", F.col("text"), {"chars": "nfc_codepoints"}).alias("chars_nfc_codepoints"))
+
+
+@query(
+    f"WITH src AS ({TEXTS_SQL}) SELECT doc_id, "
+    + ", ".join(f"{duck.duplicated(k)} AS dup_{k}" for k in c.DIALECTS["items"])
+    + f", len({duck.bodies()}) AS n_items FROM src"
+)
+def item_dups(spark, sf_dir):
+    """Whether a document repeats an item, under each rule."""
+    t = F.col("text")
+    return texts(spark, sf_dir).select(
+        "doc_id", *[c.has_duplicates(c.item_keys(t, "plain", k)).alias(f"dup_{k}") for k in c.DIALECTS["items"]], F.size(c.bullets(t)).alias("n_items")
+    )
+
+
+@query(
+    f"""WITH src AS ({TEXTS_SQL}), ks AS (SELECT doc_id, {duck.keys("first_word")} keys FROM src),
+e AS (SELECT doc_id, unnest(keys) key, unnest(range(1, len(keys) + 1)) pos FROM ks),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) n FROM e)
+SELECT doc_id, pos, key FROM r WHERE n = 2"""
+)
+def item_dup_keys(spark, sf_dir):
+    """Each key at its second occurrence, by a window over the exploded items."""
+    from pyspark.sql import Window
+
+    rows = texts(spark, sf_dir).select("doc_id", F.posexplode(c.item_keys(F.col("text"), "plain", "first_word")).alias("p", "key"))
+    n = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("p"))
+    return rows.withColumn("n", n).where("n = 2").select("doc_id", (F.col("p") + 1).alias("pos"), "key")
+
+
+@query(
+    f"{duck.counted(TEXTS_SQL)} SELECT doc_id, "
+    + ", ".join(
+        f"greatest({', '.join(duck.count_of(d, k) for k in c.DIALECTS[d])}) - least({', '.join(duck.count_of(d, k) for k in c.DIALECTS[d])}) AS {d}_spread"
+        for d in c.COUNTED
+    )
+    + " FROM counted"
+)
+def dialect_spread(spark, sf_dir):
+    """How far the rules of each dimension are apart on a document."""
+    from ..__main__ import dialect_spread as spread
+
+    return spread(texts(spark, sf_dir)).select("doc_id", *[f"{d}_spread" for d in c.COUNTED])
+
+
+@query(f"{QUESTIONS_SQL} SELECT doc_id, keyword, {duck.keyword('t', 'keyword')} present FROM questions")
+def keyword_hits(spark, sf_dir):
+    """Whether each document holds its keyword."""
+    return questions(spark, sf_dir).select("doc_id", "keyword", keyword_present(F.col("text"), F.col("keyword")).alias("present"))
+
+
+@query(f"{duck.unwrap_sql(TEXTS_SQL)} SELECT doc_id, sha256(u) text_sha256, n_notes, f1 fence, f2 preamble FROM unwrapped")
+def unwrap_texts(spark, sf_dir):
+    """Documents without their packaging."""
+    u = texts(spark, sf_dir).withColumn("u", unwrap(F.col("text")))
+    return u.select(
+        "doc_id",
+        F.sha2("u.text", 256).alias("text_sha256"),
+        F.size("u.notes").alias("n_notes"),
+        F.array_contains("u.notes", "code fence").alias("fence"),
+        F.array_contains("u.notes", "preamble line").alias("preamble"),
+    )
+
+
+_VERDICT = ["id", "observed", "error", "count_ok", "keyword_ok", "unique_ok", "empty", "compliant"]
+
+
+@query(f"{GRADED_SQL} SELECT {', '.join(_VERDICT)}, target FROM graded")
+def grade_rows(spark, sf_dir):
+    """The verdict on every answer."""
+    return graded(spark, sf_dir).select(*_VERDICT, "target")
+
+
+@query(
+    f"""{GRADED_SQL}, ks AS (SELECT *, {duck.keys()} keys FROM graded)
+SELECT id, array_to_string(list_filter([CASE WHEN empty THEN 'the response is empty' END,
+  CASE WHEN NOT count_ok THEN observed || ' ' || dimension || ' against a target of ' || target END,
+  CASE WHEN NOT keyword_ok THEN 'the required word ''' || keyword || ''' is missing' END,
+  CASE WHEN NOT unique_ok THEN len(list_filter(list_distinct(keys), lambda k: len(list_filter(keys, lambda y: y = k)) > 1)) || ' repeated item(s)' END],
+  lambda x: x IS NOT NULL), '; ') reasons FROM ks"""
+)
+def grade_reasons(spark, sf_dir):
+    """Why an answer failed."""
+    return graded(spark, sf_dir).select("id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(f"{GRADED_SQL} SELECT dimension, count(*) n, count_if(gone) missing, count_if(gone AND count_ok) bounds_met, count_if(gone AND compliant) compliant FROM graded GROUP BY 1")
+def grade_missing(spark, sf_dir):
+    """Missing answers are graded as empty: some meet a bound, none complies."""
+    g = graded(spark, sf_dir)
+    gone = F.col("response").isNull()
+    return g.groupBy("dimension").agg(
+        F.count("*").alias("n"), F.count_if(gone).alias("missing"), F.count_if(gone & F.col("count_ok")).alias("bounds_met"), F.count_if(gone & F.col("compliant")).alias("compliant")
+    )
+
+
+_FLAGS = ["compliant", "count_ok", "keyword_ok", "unique_ok", "empty"]
+
+
+@query(
+    f"{GRADED_SQL} SELECT system, family, count(*) n, {', '.join(f'count_if({f}) {f}' for f in _FLAGS)}, round_even(count_if(compliant) / count(*), 4) rate "
+    "FROM graded GROUP BY GROUPING SETS ((system), (system, family))"
+)
+def score_grouping_sets(spark, sf_dir):
+    """Scores overall and by family, in one pass."""
+    return scoring.score(graded(spark, sf_dir))
+
+
+def _profile_sql(where: str) -> str:
+    miss = f"{where} AND NOT count_ok"
+    return f"""count_if({where}) n, count_if({miss}) count_violations, count_if({miss} AND abs(error) = 1) off_by_one,
+round_even(count_if({miss} AND abs(error) = 1) / nullif(count_if({miss}), 0), 4) off_by_one_share,
+count_if({where} AND error > 0) AS "over", count_if({where} AND error < 0) AS "under",
+round_even(avg(error) FILTER (WHERE {where}), 3) mean_error, median(error) FILTER (WHERE {where}) median_error,
+round_even(avg(abs(error)) FILTER (WHERE {where}), 3) mean_abs_error,
+median(abs(error)) FILTER (WHERE {miss}) median_abs_error_of_misses,
+round_even(median(abs(error) / nullif(target, 0)) FILTER (WHERE {where}), 4) median_abs_relative_error"""
+
+
+@query(f"{GRADED_SQL} SELECT system, {_profile_sql('true')} FROM graded GROUP BY system")
+def error_profile(spark, sf_dir):
+    """Signed errors by system."""
+    return scoring.error_profile(graded(spark, sf_dir), ["system"])
+
+
+@query(f"""{GRADED_SQL} SELECT system, {_profile_sql("mode = 'exact'")} FROM graded GROUP BY system""")
+def error_profile_exact(spark, sf_dir):
+    """Signed errors by system, of exact targets."""
+    return scoring.error_profile(graded(spark, sf_dir), ["system"], F.col("mode") == "exact")
+
+
+@query(
+    f"""{GRADED_SQL}, b(ord, bucket, lo, hi) AS (VALUES (0, '<=-10', -1000000000, -10), (1, '-9..-5', -9, -5), (2, '-4..-2', -4, -2), (3, '-1', -1, -1),
+  (4, '0', 0, 0), (5, '+1', 1, 1), (6, '+2..+4', 2, 4), (7, '+5..+9', 5, 9), (8, '>=+10', 10, 1000000000)),
+s AS (SELECT DISTINCT system FROM graded)
+SELECT s.system, ord, bucket, count(g.id) n FROM s CROSS JOIN b LEFT JOIN graded g ON g.system = s.system AND g.error BETWEEN lo AND hi GROUP BY ALL"""
+)
+def error_histogram(spark, sf_dir):
+    """How many errors of each size; empty buckets are there."""
+    return scoring.histogram(graded(spark, sf_dir), ["system"])
+
+
+def _sensitivity_sql() -> str:
+    units = []
+    for d in sorted(c.DIALECTS):
+        for pos, k in enumerate(c.DIALECTS[d]):
+            if d == "items":
+                ok, where = f"gone OR NOT ({duck.duplicated(k)})", '"unique"'
+            else:
+                ok, where = duck.satisfied(f"(CASE WHEN gone THEN 0 ELSE {duck.count_of(d, k)} END)"), f"dimension = '{d}'"
+            units.append(f"SELECT system, '{d}' dim, '{k}' dialect, {pos} pos, {ok} ok FROM g0 WHERE {where}")
+    return f"""{QUESTIONS_SQL}, g0 AS MATERIALIZED (SELECT *, doc_id % 11 = 0 gone FROM questions),
+long0 AS ({" UNION ALL ".join(units)}),
+long AS (SELECT system, dim dimension, dialect, pos, count(*) n, round_even(count_if(ok) / count(*), 4) rate FROM long0 GROUP BY ALL)"""
+
+
+SENSITIVITY_SQL = _sensitivity_sql()
+_PUBLISHED_SQL = "(" + " OR ".join(f"(dimension = '{d}' AND dialect = '{k}')" for d, k in c.PUBLISHED.items()) + ")"
+SUMMARY_SQL = f"""{SENSITIVITY_SQL}, summary AS (SELECT system, dimension, max(n) n, max(rate) FILTER (WHERE {_PUBLISHED_SQL}) published_rate,
+  round_even((max(rate) - min(rate)) * 100, 2) spread_points, arg_min(dialect, (rate, pos)) lowest, arg_max(dialect, (rate, pos)) highest
+  FROM long GROUP BY system, dimension)"""
+WORST_SQL = f"""{SUMMARY_SQL}, worst AS (SELECT system, max(spread_points) spread_points, arg_min((dimension, lowest, highest), (-spread_points, dimension)) b,
+  round_even(median(spread_points), 2) median_spread_points FROM summary GROUP BY system)"""
+
+
+@query(f"{SENSITIVITY_SQL} SELECT system, dimension, dialect, pos, n, rate FROM long")
+def sensitivity_long(spark, sf_dir):
+    """The rate of each system under each rule."""
+    return scoring.sensitivity(answered(spark, sf_dir))
+
+
+@query(f"{SUMMARY_SQL} SELECT system, dimension, n, published_rate, spread_points, lowest, highest FROM summary")
+def sensitivity_summary(spark, sf_dir):
+    """How far the rules move each system, by dimension."""
+    return scoring.sensitivity_summary(scoring.sensitivity(answered(spark, sf_dir)))
+
+
+@query(
+    f"""{WORST_SQL} SELECT system, CASE WHEN spread_points > 0 THEN b[1] END dimension, spread_points,
+CASE WHEN spread_points > 0 THEN b[2] END from_dialect, CASE WHEN spread_points > 0 THEN b[3] END to_dialect, median_spread_points FROM worst"""
+)
+def sensitivity_worst(spark, sf_dir):
+    """The rule that moves each system most."""
+    return scoring.sensitivity_worst(scoring.sensitivity_summary(scoring.sensitivity(answered(spark, sf_dir))))
+
+
+def _packaging_sql() -> str:
+    counts = ", ".join(duck.ALL_COUNTS)
+    lenient = f"{duck.unwrap_sql(TEXTS_SQL)} SELECT k, u t, n_notes FROM unwrapped"
+    verdict = (
+        f"CASE WHEN gone THEN false ELSE t <> '' AND {duck.satisfied(duck.by_dimension())} AND {duck.keyword('t', 'keyword')} "
+        f"AND (NOT \"unique\" OR NOT ({duck.duplicated('normalized')})) END"
+    )
+    return f"""WITH asked AS MATERIALIZED ({QUESTIONS_SQL} SELECT * FROM questions),
+plain AS MATERIALIZED ({duck.counted(lenient)} SELECT k, t, n_notes, {counts} FROM counted),
+item AS (SELECT k, id, system, dimension, mode, target, "unique", keyword, doc_id % 11 = 0 gone FROM asked),
+sv AS (SELECT id, system, {verdict} strict FROM item JOIN (SELECT k, t, {counts} FROM asked) USING (k)),
+lv AS (SELECT id, {verdict} lenient, NOT gone AND n_notes > 0 u FROM item JOIN plain USING (k)),
+r AS (SELECT system, round_even(count_if(strict) / count(*), 4) strict_rate, round_even(count_if(lenient) / count(*), 4) lenient_rate, count_if(u) responses_unwrapped
+  FROM sv JOIN lv USING (id) GROUP BY system)
+SELECT *, round_even((lenient_rate - strict_rate) * 100, 2) packaging_gap_points FROM r"""
+
+
+@query(_packaging_sql())
+def packaging_gap(spark, sf_dir):
+    """What packaging costs each system."""
+    return scoring.packaging(answered(spark, sf_dir))
+
+
+@query(
+    f"""{GRADED_SQL}, s AS (SELECT system, count(*) n, {", ".join(f"count_if({f}) {f}" for f in _FLAGS)}, round_even(count_if(compliant) / count(*), 4) rate FROM graded GROUP BY system)
+SELECT *, row_number() OVER (ORDER BY rate DESC, system) place FROM s"""
+)
+def leaderboard(spark, sf_dir):
+    """Systems by falling rate."""
+    return scoring.leaderboard(scoring.score(graded(spark, sf_dir)))
+
+
+@query(
+    f"""{WORST_SQL}, v AS (SELECT system, count_if(ok) / count(*) dummy FROM (SELECT system, true ok FROM g0) GROUP BY system),
+gr AS (SELECT system, NOT gone AND t <> '' AND {duck.satisfied(duck.by_dimension())} AND {duck.keyword("t", "keyword")}
+  AND (NOT "unique" OR NOT ({duck.duplicated("normalized")})) compliant FROM g0),
+rates AS (SELECT system, round_even(count_if(compliant) / count(*), 4) rate, CASE WHEN system < 'src2' THEN 'model' ELSE 'baseline' END kind FROM gr GROUP BY system),
+a AS (SELECT rates.*, spread_points, CASE WHEN spread_points > 0 THEN b[1] END moved FROM rates JOIN worst USING (system))
+SELECT count(*) systems, count_if(kind = 'model') models, arg_min(system, (-rate, system)) FILTER (WHERE kind = 'model') best_model,
+  max(rate) FILTER (WHERE kind = 'model') best_model_rate, arg_min(system, (-spread_points, system)) largest_system,
+  arg_min(moved, (-spread_points, system)) largest_dimension, max(spread_points) largest_spread_points FROM a"""
+)
+def headline(spark, sf_dir):
+    """The figures that a reader quotes."""
+    rows = answered(spark, sf_dir)
+    worst = scoring.sensitivity_worst(scoring.sensitivity_summary(scoring.sensitivity(rows)))
+    board = scoring.leaderboard(scoring.score(grade(rows)))
+    kinds = board.select("system", F.when(F.col("system") < "src2", "model").otherwise("baseline").alias("kind"))
+    return scoring.headline(board, worst, kinds).drop("medians")
+
+
+def _control(system: str, count_ok: str, keyword_ok: str):
+    sql = f"{QUESTIONS_SQL} SELECT dimension, count(*) n, {count_ok} count_ok, {keyword_ok} keyword_ok FROM questions GROUP BY dimension"
+
+    def run(spark, sf_dir):
+        asked = questions(spark, sf_dir).drop("text").withColumn("keyword", F.lit("yeast"))
+        asked = asked.withColumn("target", F.when(F.col("dimension") == "chars", F.greatest("target", F.lit(20))).otherwise(F.least("target", F.lit(40))))
+        g = grade(asked.join(compose.baseline(asked, system).drop("system"), "id", "left"))
+        return g.groupBy("dimension").agg(F.count("*").alias("n"), F.count_if("count_ok").alias("count_ok"), F.count_if("keyword_ok").alias("keyword_ok"))
+
+    run.__name__ = {"off_by_one": "offbyone", "filler_keyword": "filler_keyword"}.get(system, system) + "_control"
+    run.__doc__ = f"How the {system} baseline does on every item."
+    query(sql)(run)
+
+
+_control("reference", "count(*)", "count(*)")
+# Nothing is one below a bound of 1, so those answers meet it.
+_control("off_by_one", "count_if(mode = 'at_least' AND target = 1 AND dimension <> 'chars')", "count(*)")
+_control("filler", "count(*)", "0")
+_control("filler_keyword", "count(*)", "count(*)")
+
+_BYTE = "(strpos('0123456789abcdef', substr(h, {0}, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, {1}, 1)) - 1"
+
+
+@query(
+    f"""{QUESTIONS_SQL}, j AS (SELECT id, target, sha256(id) h, greatest(1, round_even(target * 0.15, 0)::INT) span FROM questions)
+SELECT id, span, CASE WHEN ({_BYTE.format(1, 2)}) % (2 * span) <> span THEN ({_BYTE.format(1, 2)}) % (2 * span) - span
+  WHEN ({_BYTE.format(3, 4)}) % 2 = 1 THEN 1 ELSE -1 END step FROM j"""
+)
+def jitter(spark, sf_dir):
+    """The displacement of every item's target."""
+    asked = questions(spark, sf_dir)
+    span = F.greatest(F.lit(1), F.bround(F.col("target") * F.lit(0.15)).cast("int"))
+    return asked.select("id", span.alias("span"), compose.jitter(F.col("id"), F.col("target")).alias("step"))
+
+
+def _map_sql(column: str, table: dict[str, str]) -> str:
+    return "CASE " + column + " " + " ".join(f"WHEN {duck.q(k)} THEN {duck.q(v)}" for k, v in table.items()) + " END"
+
+
+_PROMPT_SQL = f"""'Write about ' || source || '.' || chr(10) || chr(10) || 'Your answer must contain the word "' || keyword || '".' || chr(10) || chr(10) ||
+  'CONSTRAINT: ' || CASE mode WHEN 'exact' THEN 'exactly ' WHEN 'at_most' THEN 'no more than ' ELSE 'at least ' END || target || ' ' || {_map_sql("dimension", NOUNS)} ||
+  CASE WHEN "unique" THEN ', and no two of them may say the same thing' ELSE '' END || '.' || chr(10) || chr(10) ||
+  {_map_sql("dimension", HEADINGS)} || '. Your answer is checked against this rule and no other:' || chr(10) ||
+  CASE WHEN "unique" THEN {_map_sql("dimension", {d: c.explain(d, True) for d in NOUNS})} ELSE {_map_sql("dimension", {d: c.explain(d) for d in NOUNS})} END ||
+  chr(10) || chr(10) || {duck.q(TAIL)}"""
+
+
+@query(f"{QUESTIONS_SQL}, p AS (SELECT id, {_PROMPT_SQL} prompt FROM questions) SELECT id, prompt, sha256(prompt) prompt_sha256 FROM p")
+def prompt_text(spark, sf_dir):
+    """The prompt of every item, and its digest."""
+    asked = questions(spark, sf_dir).withColumn("instruction", F.concat(F.lit("Write about "), F.col("source"), F.lit(".")))
+    prompt = items.prompt_text(*[F.col(x) for x in ("instruction", "keyword", "dimension", "mode", "target", "unique")])
+    return asked.select("id", prompt.alias("prompt")).withColumn("prompt_sha256", items.prompt_digest(F.col("prompt")))
+
+
+@query(f"{QUESTIONS_SQL} SELECT family, count(*) n, min(target) min_target, max(target) max_target FROM questions GROUP BY family")
+def manifest_families(spark, sf_dir):
+    """Items and targets by family."""
+    return items.families(questions(spark, sf_dir))
+
+
+@query("SELECT count(*) items, sha256(string_agg(cast(item_id AS VARCHAR) || text, '' ORDER BY item_id)) sha256 FROM benchmark")
+def ordered_digest(spark, sf_dir):
+    """One digest over a small, ordered set of texts."""
+    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("item_id").cast("string").alias("id"), "text")
+    return items.ordered_digest(rows, "item_id", "id", "text")
+
+
+# Recordings, as if each document were the answer to a prompt: some under unknown ids, to other prompts, missing, cut off.
+def _prompts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("prompt"), "source")
+
+
+def _recordings(spark, sf_dir):
+    d = F.col("doc_id")
+    return read(spark, sf_dir, "documents").where("doc_id % 11 <> 0").select(
+        F.col("source").alias("system"),
+        F.concat(F.when(d % 13 == 0, "x").otherwise("d"), d.cast("string")).alias("id"),
+        F.when(d % 19 == 0, None).when(d % 17 == 0, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.sha2("text", 256)).alias("prompt_sha256"),
+        F.col("text").alias("response"),
+        (d % 9 == 0).alias("truncated"),
+        F.when(d % 2 == 0, 1200).otherwise(4000).alias("num_predict"),
+        (d % 50).cast("int").alias("thinking_chars"),
+        F.when(d % 23 == 0, "timeout").alias("error"),
+    )
+
+
+_RECORDED_SQL = """WITH items AS (SELECT 'd' || doc_id id, text prompt FROM documents),
+rec AS (SELECT source system, CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE 'd' END || doc_id id,
+  CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN sha256(text || '!') ELSE sha256(text) END prompt_sha256, text response,
+  doc_id % 9 = 0 truncated, CASE WHEN doc_id % 2 = 0 THEN 1200 ELSE 4000 END num_predict, doc_id % 50 thinking_chars,
+  CASE WHEN doc_id % 23 = 0 THEN 'timeout' END error FROM documents WHERE doc_id % 11 <> 0)"""
+
+
+@query(f"{_RECORDED_SQL} SELECT system, id FROM rec WHERE id NOT IN (SELECT id FROM items)")
+def unknown_rows(spark, sf_dir):
+    """Answers to no item."""
+    return recorded.unknown_rows(_recordings(spark, sf_dir), _prompts(spark, sf_dir)).select("system", "id")
+
+
+@query(f"{_RECORDED_SQL} SELECT system, id, prompt_sha256 FROM rec JOIN items USING (id) WHERE prompt_sha256 IS DISTINCT FROM sha256(prompt)")
+def stale_rows(spark, sf_dir):
+    """Answers to other prompts."""
+    return recorded.stale_rows(_recordings(spark, sf_dir), _prompts(spark, sf_dir).select("id", "prompt")).select("system", "id", "prompt_sha256")
+
+
+@query(f"{_RECORDED_SQL} SELECT id FROM items WHERE id NOT IN (SELECT id FROM rec)")
+def missing_items(spark, sf_dir):
+    """Items without an answer."""
+    return recorded.missing_items(_recordings(spark, sf_dir), _prompts(spark, sf_dir)).select("id")
+
+
+@query(
+    f"""{_RECORDED_SQL} SELECT id, reason FROM (SELECT items.id, CASE WHEN rec.id IS NULL THEN 'missing' WHEN error IS NOT NULL THEN 'error'
+WHEN truncated AND num_predict < 4000 THEN 'outgrown' END reason FROM items LEFT JOIN rec USING (id)) WHERE reason IS NOT NULL"""
+)
+def pending_rows(spark, sf_dir):
+    """Items to ask again with a budget of 4,000."""
+    return recorded.pending_rows(_prompts(spark, sf_dir), _recordings(spark, sf_dir), 4000)
+
+
+@query(
+    f"""{_RECORDED_SQL} SELECT system, count(*) "rows", count(error) transport_errors, count_if(truncated) truncated,
+round_even(count_if(truncated) / count(*), 4) truncated_share, max(thinking_chars) max_thinking_chars,
+array_to_string(list_sort(list(DISTINCT num_predict)), ',') num_predict, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE truncated), '') truncated_ids FROM rec GROUP BY system"""
+)
+def fixture_notes(spark, sf_dir):
+    """What a board says about each recording."""
+    n = recorded.notes(_recordings(spark, sf_dir))
+    return n.withColumns({"num_predict": F.array_join("num_predict", ","), "truncated_ids": F.array_join("truncated_ids", ",")})
+
+
+@query(
+    f"""{GRADED_SQL} SELECT system, count_if(CASE WHEN mode = 'at_most' THEN observed <= target ELSE observed < target END) undetermined, count(*) truncated
+FROM graded WHERE doc_id % 9 = 0 GROUP BY system"""
+)
+def truncated_open(spark, sf_dir):
+    """Cut-off answers that might still have met their count."""
+    g = graded(spark, sf_dir)
+    cut = read(spark, sf_dir, "documents").where("doc_id % 9 = 0").select(F.col("source").alias("system"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"))
+    return scoring.undetermined(g, cut, ["system"])
+
+
+@query("SELECT system, count(*) n FROM (SELECT source system FROM documents UNION ALL SELECT role FROM conversations) GROUP BY system")
+def board_union(spark, sf_dir):
+    """Systems of two kinds on one board."""
+    a = read(spark, sf_dir, "documents").select(F.col("source").alias("system"))
+    b = read(spark, sf_dir, "conversations").select(F.col("role").alias("system"))
+    return a.unionByName(b).groupBy("system").agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('{d}', '{k}', {i})" for d in c.DIALECTS for i, k in enumerate(c.DIALECTS[d]) if k != c.PUBLISHED[d])
+    + ") v(dimension, dialect, pos)"
+)
+def alternatives(spark, sf_dir):
+    """The rules that a board is not published under."""
+    dims = spark.createDataFrame([(d, list(k), c.PUBLISHED[d]) for d, k in c.DIALECTS.items()], "dimension string, dialects array<string>, published string")
+    other = dims.select("dimension", "dialects", F.explode(F.array_except("dialects", F.array("published"))).alias("dialect"))
+    return other.select("dimension", "dialect", (F.array_position("dialects", F.col("dialect")) - 1).cast("int").alias("pos"))
+
+
+@query(f"{GRADED_SQL} SELECT system, count_if(compliant) claimed_compliant, count_if(compliant) - 1 found_compliant FROM graded WHERE system IN ('src1', 'src5') GROUP BY system")
+def recount_compare(spark, sf_dir):
+    """Tallies that two counts disagree on; here the second is wrong on purpose about two systems."""
+    claimed = scoring.score(graded(spark, sf_dir)).where("family is null").select("system", "compliant")
+    found = claimed.withColumn("compliant", F.when(F.col("system").isin("src1", "src5"), F.col("compliant") - 1).otherwise(F.col("compliant")))
+    return recorded.compare_tallies(claimed, found, ["system"], ["compliant"])
+
+
+_PLANTS = (
+    "case doc_id % 9 when 0 then concat(text, '\\nAK', 'IA0123456789ABCDEF') when 1 then concat('see /home', '/someuser/notes.txt ', text) "
+    "when 2 then concat(text, ' pass', 'word = \"hunter22\" x') when 3 then concat(text, ' gh', 'p_', repeat('a', 36), ' gh', 'p_', repeat('b', 36)) else text end"
+)
+_PLANTS_SQL = (
+    "CASE doc_id % 9 WHEN 0 THEN text || chr(10) || 'AK' || 'IA0123456789ABCDEF' WHEN 1 THEN 'see /home' || '/someuser/notes.txt ' || text "
+    "WHEN 2 THEN text || ' pass' || 'word = \"hunter22\" x' WHEN 3 THEN text || ' gh' || 'p_' || repeat('a', 36) || ' gh' || 'p_' || repeat('b', 36) ELSE text END"
+)
+
+
+def _findings_sql() -> str:
+    units = []
+    for name, p in scan.PATTERNS:
+        # RE2 has no look-ahead: the home path's exception is applied to what matched.
+        pattern = p.replace(r"(?!<user>|USER\b)", "")
+        units.append(f"SELECT doc_id, {duck.q(name)} pattern, unnest(regexp_extract_all(t, {duck.q(pattern)})) m FROM p")
+    return f"WITH p AS (SELECT doc_id, {_PLANTS_SQL} t FROM documents), f AS ({' UNION ALL '.join(units)}) SELECT doc_id, pattern, left(m, 12) || '...' sample FROM f"
+
+
+@query(_findings_sql())
+def secret_findings(spark, sf_dir):
+    """Secrets in documents, some planted."""
+    planted = read(spark, sf_dir, "documents").select("doc_id", F.expr(_PLANTS).alias("text"))
+    return scan.findings(planted, "doc_id")
+
+
+@query(
+    duck.counted("SELECT label k, label, t FROM (VALUES " + ", ".join(f"({duck.q(k)}, {duck.q(t)})" for k, t in PROBES) + ") v(label, t)")
+    + f" SELECT label, {', '.join(duck.ALL_COUNTS)} FROM counted"
+)
+def probe_counts(spark, sf_dir):
+    """Every count of every probe text."""
+    return c.with_counts(spark.createDataFrame(list(PROBES), "label string, text string")).drop("text")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT 's' || s_suppkey src, 'n' || s_nationkey dst FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+r AS (SELECT 's' || s_suppkey node FROM supplier WHERE s_acctbal < 0 UNION SELECT dst FROM r JOIN e ON src = node) SELECT DISTINCT node FROM r"""
+)
+def closure(spark, sf_dir):
+    """All that suppliers in debt can be traced to."""
+    s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    edges = s.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst")).union(n.select(name("n", "n_nationkey"), name("r", "n_regionkey")))
+    return recorded.closure(edges, s.where("s_acctbal < 0").select(name("s", "s_suppkey").alias("node")))
+
+
+@query(
+    f"""{duck.counted("SELECT a.conv_id || '/' || a.turn k, a.conv_id, a.turn, coalesce(a.text, '') t, coalesce(u.text, '') asked FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant' AND u.role = 'user'")}
+SELECT conv_id, turn, {", ".join(duck.count_of(d) for d in c.COUNTED)}, {duck.has(duck.tokens("asked"))} asked_words FROM counted"""
+)
+def conversation_counts(spark, sf_dir):
+    """Answers in conversations, with the question before each."""
+    rows = read(spark, sf_dir, "conversations")
+    a = rows.where("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    u = rows.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.coalesce("text", F.lit("")).alias("asked"))
+    both = a.join(u, ["conv_id", "turn"])
+    return both.select("conv_id", "turn", *[c.count(d, F.col("text")).alias(duck.count_of(d)) for d in c.COUNTED], F.size(c.words(F.col("asked"))).alias("asked_words"))
+
+
+_SCORED = ["words", "sentences", "chars", "lines"]
+
+
+@query(
+    f"{duck.counted(TEXTS_SQL)} SELECT source, lang, count(*) n, {', '.join(f'sum({duck.count_of(d)})::BIGINT {d}' for d in _SCORED)} FROM counted GROUP BY source, lang"
+)
+def score_by_source(spark, sf_dir):
+    """The flagship: words, sentences, characters and lines of all documents, by source and language."""
+    rows = texts(spark, sf_dir).select("source", "lang", *[c.count(d, F.col("text")).alias(d) for d in _SCORED])
+    return rows.groupBy("source", "lang").agg(F.count("*").alias("n"), *[F.sum(d).alias(d) for d in _SCORED])
+
 
 def queries() -> dict:
     """name: a function of (spark, sf_dir)."""
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
     """name: SQL with the same columns."""
-    return {}
+    return dict(_SQL)
