@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Score = sigmoid(bias + sum of term weights + sum over pairs of terms of the product of their factors). The pair
-part learns what a sum of term weights cannot: an insult next to a mention of a group counts for more than both
+Score = sigmoid(bias + sum of term weights + sum over pairs of terms of the product of their factors / number of
+terms). The division keeps the pair part of long texts in bounds: pairs grow with the square of the length. It learns what a sum of term weights cannot: an insult next to a mention of a group counts for more than both
 alone, and a word that only quotes counts for less.
 """
 
@@ -23,9 +23,12 @@ FACTORS = 4
 EPOCHS = 12
 #: At most so many labelled rows of either class are fitted; the model's size does not depend on it.
 FIT_ROWS = 6000
-#: Terms in fewer fitted rows than this are unknown to the model.
-MIN_ROWS = 4
+#: Terms in a smaller share of the fitted rows, or in fewer than MIN_ROWS, are unknown to the model.
+MIN_SHARE, MIN_ROWS = 0.006, 3
 SEED = 20260829
+RATE = 0.05
+#: Weight decay of weights and factors.
+DECAY = (2e-3, 2e-2)
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -59,29 +62,35 @@ class Machine:
         row, at = row[keep], self.known[flat[keep]]
         n = len(sizes)
         out = self.bias + np.bincount(row, self.weights[at], n)
+        half = 0.5 / np.maximum(1, np.bincount(row, minlength=n))
         for f in range(self.factors.shape[1]):
             v = self.factors[at, f]
-            out += 0.5 * (np.bincount(row, v, n) ** 2 - np.bincount(row, v * v, n))
+            out += half * (np.bincount(row, v, n) ** 2 - np.bincount(row, v * v, n))
         return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED, min_rows: int = MIN_ROWS) -> Machine:
-    """Logistic loss, Adam over small batches, decay on weights and factors."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED, min_share: float = MIN_SHARE, rate: float = RATE, decay: tuple[float, float] = DECAY) -> Machine:
+    """Logistic loss, Adam over small batches, decay on weights and factors.
+
+    Rows of the rarer class weigh more, by the root of how much rarer it is.
+    """
     known = np.full(1 << BITS, -1, np.int64)
     if rows:
         seen = np.bincount(np.concatenate([*rows, np.empty(0, np.int64)]), minlength=1 << BITS)
-        chosen = np.flatnonzero(seen >= min_rows)
+        chosen = np.flatnonzero(seen >= max(MIN_ROWS, min_share * len(rows)))
         known[chosen] = np.arange(len(chosen))
     rng = np.random.default_rng(seed)
     m = int((known >= 0).sum())
     w, v = np.zeros(m), rng.normal(0, 0.01, (m, factors))
     share = (labels.sum() + 1) / (len(labels) + 2)
     bias = float(np.log(share / (1 - share)))
+    ratio = np.sqrt((len(labels) - labels.sum() + 1) / (labels.sum() + 1))
+    weight = np.where(labels > 0, max(1.0, ratio), max(1.0, 1 / ratio))
     packed = [known[r][known[r] >= 0] for r in rows]
     moment = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
     t = 0
     for epoch in range(epochs if m else 0):
-        order, rate = rng.permutation(len(packed)), 0.02 / (1 + 0.3 * epoch)
+        order, step = rng.permutation(len(packed)), rate / (1 + 0.3 * epoch)
         for start in range(0, len(order), 128):
             own = order[start : start + 128]
             sizes = np.array([len(packed[k]) for k in own])
@@ -90,19 +99,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epoc
             va = v[at]
             sums = np.stack([np.bincount(row, va[:, f], len(own)) for f in range(factors)], 1)
             squares = np.bincount(row, (va * va).sum(1), len(own))
-            margin = bias + np.bincount(row, w[at], len(own)) + 0.5 * ((sums**2).sum(1) - squares)
+            terms_n = np.maximum(1, sizes)
+            margin = bias + np.bincount(row, w[at], len(own)) + 0.5 * ((sums**2).sum(1) - squares) / terms_n
             err = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[own]
-            bias -= rate * float(err.mean())
+            err = err * weight[own]
+            bias -= step * float(err.mean())
             touched, back = np.unique(at, return_inverse=True)
             g = err[row] / len(own)
-            gw = np.bincount(back, g) + 1e-4 * w[touched]
-            pull = g[:, None] * (sums[row] - va)
-            gv = np.stack([np.bincount(back, pull[:, f]) for f in range(factors)], 1) + 1e-3 * v[touched]
+            gw = np.bincount(back, g) + decay[0] * w[touched]
+            pull = (g / terms_n[row])[:, None] * (sums[row] - va)
+            gv = np.stack([np.bincount(back, pull[:, f]) for f in range(factors)], 1) + decay[1] * v[touched]
             t += 1
             for x, grad, a, b in ((w, gw, moment[0], moment[1]), (v, gv, moment[2], moment[3])):
                 a[touched] = 0.9 * a[touched] + 0.1 * grad
                 b[touched] = 0.999 * b[touched] + 0.001 * grad * grad
-                x[touched] -= rate * (a[touched] / (1 - 0.9**t)) / (np.sqrt(b[touched] / (1 - 0.999**t)) + 1e-8)
+                x[touched] -= step * (a[touched] / (1 - 0.9**t)) / (np.sqrt(b[touched] / (1 - 0.999**t)) + 1e-8)
     return Machine(bias, w, v, known)
 
 
