@@ -149,8 +149,12 @@ def nfc(s: pd.Series) -> pd.Series:
 
 
 def fold(text: Column) -> Column:
-    """Case folding with built-in functions: like ``casefold`` but for some rare code points."""
-    return F.lower(F.upper(text))
+    """Case folding with built-in functions: like ``casefold`` but for some rare code points.
+
+    Upper case first, since that is what turns ß into two letters; the optimizer would drop it if lower() stood
+    right around it.
+    """
+    return F.lower(F.concat(F.upper(text), F.lit("")))
 
 
 def item_key(body: Column, dialect: str = "normalized", folded: Callable[[Column], Column] = fold) -> Column:

@@ -102,7 +102,7 @@ def chars_answer(n: pd.Series, keyword: pd.Series, item: pd.Series) -> pd.Series
 def composed(target: Column) -> Column:
     """An answer that meets ``target`` in the item's dimension (columns id, dimension, unique, keyword)."""
     k, i, d = F.col("keyword"), F.col("id"), F.col("dimension")
-    numbered = F.pmod(F.regexp_extract("id", r"(\d+)\z", 1).cast("long"), F.lit(3)) == 0
+    numbered = F.pmod(F.regexp_extract("id", r"(\d+)\z", 1).try_cast("long"), F.lit(3)) == 0
     return (
         F.when(d == "words", words_answer(target, k, i))
         .when(d == "sentences", sentences_answer(target, k, i))
