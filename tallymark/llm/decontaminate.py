@@ -23,7 +23,7 @@ from .common import read
 
 WINDOW = 10
 #: Words in a shard (whole documents: a longer document is a shard of its own).
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 21
 #: Every so many-th text position has its suffix position stored.
 SAMPLE = 8
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is searched in several passes.
@@ -64,7 +64,7 @@ class FMIndex:
         bwt = text[order - 1]
         self.n, self.bits = len(text), max(1, int(text.max()).bit_length())
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 2))])
-        self.bwt, self.levels = bwt, []
+        self.bwt, self.levels, self.top = bwt, [], int(text.max())
         for k in reversed(range(self.bits)):
             one = (bwt >> k & 1).astype(bool)
             self.levels.append((BitRank(one), int((~one).sum())))
@@ -103,7 +103,7 @@ class FMIndex:
         live = np.arange(len(phrases))
         for j in reversed(range(phrases.shape[1])):
             c = phrases[live, j].astype(np.int64) + 1
-            known = c < len(self.first) - 1
+            known = c <= self.top  # beyond it, a symbol is not in this text
             lo[live[~known]] = hi[live[~known]] = 0
             live, c = live[known], c[known]
             lo[live] = self.first[c] + self.rank(c, lo[live])
