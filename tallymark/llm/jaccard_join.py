@@ -46,7 +46,7 @@ class _Words(dict):
     """64-bit hashes of words, kept for those seen before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -190,10 +190,10 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
 
     def sketch(batches):
         words = _Words()
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             keys, sizes, firsts = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, shingle, words)
+            for text in batch.column("text"):
+                s = shingles(text.as_py(), shingle, words)
                 n = len(s)
                 sizes.append(n)
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest() if n else None)
@@ -289,9 +289,9 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
 
     def whole(batches):
         words = _Words()
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             at = batch.schema.get_field_index("text")
-            found = [shingles(x, shingle, words).tobytes() for x in batch.column(at).to_pylist()]
+            found = [shingles(x.as_py(), shingle, words).tobytes() for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "set"])
 
     texts = own.where("doc_id is not null").join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")

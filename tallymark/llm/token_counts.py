@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, read, scratch_dir
+from .common import WORD, drop, read, save, scratch_dir
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits a text into pieces before the merges of byte-level BPE.
@@ -45,7 +45,7 @@ class Encoder:
         for p in self.pieces(text):
             n = seen.get(p)
             if n is None:
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 n = seen[p] = len(self.bpe.encode_ordinary(p))
             total += n
@@ -124,7 +124,8 @@ class TokenRollup:
             return False
         rank = F.when(F.col("op") == "delete", 0).when(F.col("op") == "revise", 1).otherwise(2)
         key = ["doc_id", "tokenizer_version"]
-        wanted = (
+        # Kept, so that whatever made the changes (a tokenizer, say) runs once.
+        wanted = save(
             changes.where("doc_id is not null and tokenizer_version is not null and op in ('insert', 'delete', 'revise')")
             .groupBy(*key)
             .agg(F.max(F.struct((-rank).alias("r"), F.coalesce("n_tokens", F.lit(0)).alias("n"), "source", "lang", "op")).alias("c"))
@@ -140,6 +141,7 @@ class TokenRollup:
         )
         ledger = f"{self.path}/ledger/{batch}"
         signed.write.mode("overwrite").parquet(ledger)
+        drop(wanted)
         written = self.spark.read.schema(signed.schema).parquet(ledger)
         (
             written.groupBy(*GROUP)

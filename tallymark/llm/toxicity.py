@@ -7,6 +7,7 @@ alone, and a word that only quotes counts for less.
 
 from __future__ import annotations
 
+import pickle
 from zlib import crc32
 
 import numpy as np
@@ -21,6 +22,8 @@ BITS = 18
 STEMS = (4, 5)
 FACTORS = 4
 EPOCHS = 12
+#: Steps at least: few rows are gone through more often, up to LAPS times.
+STEPS, LAPS = 600, 100
 #: At most so many labelled rows of either class are fitted; the model's size does not depend on it.
 FIT_ROWS = 6000
 #: Terms in a smaller share of the fitted rows, or in fewer than MIN_ROWS, are unknown to the model.
@@ -42,7 +45,7 @@ def terms(text: str | None, memory: dict) -> np.ndarray:
     for w in set((text or "").encode().translate(_TABLE).split()):
         own = memory.get(w)
         if own is None:
-            if len(memory) > 400_000:
+            if len(memory) > 120_000:
                 memory.clear()
             own = memory[w] = [crc32(x) & ((1 << BITS) - 1) for x in (w, *(w[:n] + b"*" for n in STEMS if len(w) > n))]
         found.update(own)
@@ -89,8 +92,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epoc
     packed = [known[r][known[r] >= 0] for r in rows]
     moment = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
     t = 0
-    for epoch in range(epochs if m else 0):
-        order, step = rng.permutation(len(packed)), rate / (1 + 0.3 * epoch)
+    laps = max(epochs, min(LAPS, STEPS // max(1, -(-len(packed) // 128)))) if m else 0
+    for epoch in range(laps):
+        order, step = rng.permutation(len(packed)), rate / (1 + 0.3 * epoch * epochs / laps)
         for start in range(0, len(order), 128):
             own = order[start : start + 128]
             sizes = np.array([len(packed[k]) for k in own])
@@ -136,13 +140,19 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     def extract(batches):
         memory: dict = {}
         for batch in batches:
-            found = [terms(x, memory).astype(np.int32).tobytes() for x in batch.column("text").to_pylist()]
+            found = [terms(x.as_py(), memory).astype(np.int32).tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "terms"])
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # 2 * fit_rows rows
-    got = joined.select("doc_id", "toxic", "text").mapInArrow(extract, "doc_id long, toxic int, terms binary").toPandas()
-    got = got.sort_values(["doc_id", "terms"])
-    return fit([np.frombuffer(x, np.int32).astype(np.int64) for x in got["terms"]], got["toxic"].to_numpy(float))
+    taken = joined.select("doc_id", "toxic", "text").mapInArrow(extract, "doc_id long, toxic int, terms binary")
+
+    def learn(batches):
+        # The bounded sample, in one task: the driver gets the finished machine alone.
+        got = sorted((d, t, y) for b in batches for d, y, t in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True))
+        machine = fit([np.frombuffer(t, np.int32).astype(np.int64) for _, t, _ in got], np.array([y for *_, y in got], float))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], ["machine"])
+
+    return pickle.loads(taken.repartition(1).mapInArrow(learn, "machine binary").first()[0])
 
 
 def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
