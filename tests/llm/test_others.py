@@ -281,7 +281,7 @@ def test_gradients():
     pairs, class_of = rng.normal(size=(12, 5)), rng.integers(0, 5, 12)
     row = rng.integers(0, 12, 70)
     begin, scored, context = attention_lm.windows(np.array([50, 1, 19]))
-    seg = attention_lm.segments(row, begin, 11)
+    seg = attention_lm.segments(row, 11)[begin]
     g, _ = attention_lm.gradients(p, seg, context, scored, pairs, class_of)
     for k in p:
         flat = p[k].reshape(-1)
@@ -295,6 +295,18 @@ def test_gradients():
             assert abs((up - down) / (2 * h) - g[k].reshape(-1)[i]) < 1e-4, k
 
 
+def test_vocabulary_reads_words_as_one_by_one():
+    with open(token_counts.TOKENIZER, "rb") as f:
+        v = attention_lm.Vocabulary(f.read())
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choice("abcé'1!-—ßя漢😀") for _ in range(draw.randrange(1, 9))) for _ in range(400)) for _ in range(6)]
+    texts += ["x\u00a0 \u00a0y \u2003 z\u3000 \u00a0", "", "  a  "]
+    flat, sizes = v.read([t.encode() for t in texts])
+    pieces, counts = v.subwords(flat, sizes)
+    want = [[p for w in t.encode().lower().split() for p in v._encode(" " + w.decode())] + [v.end] for t in texts]
+    assert pieces.tolist() == [p for x in want for p in x] and counts.tolist() == [len(x) for x in want]
+
+
 def test_windows_score_each_token_once():
     sizes = np.array([1, 31, 32, 33, 100])
     begin, scored, context = attention_lm.windows(sizes)
@@ -312,7 +324,7 @@ def test_probabilities_sum_to_one():
     # The texts of one subword and those of none, with whatever follows: all that can come first.
     first = []
     for k in range(7):
-        seg = attention_lm.segments(model.group_of[np.array([k, 6])], np.array([0]), model.end_group)
+        seg = attention_lm.segments(model.group_of[np.array([k, 6])], model.end_group)[:1]
         p = attention_lm.log_probabilities(model.parameters, seg, np.array([0]), model.pairs + model.parameters["out_bias"], model.class_of)[0, 0]
         first.append(p + model.within[model.end_group, model.group_of[k]] + model.inside[k])
     assert abs(np.exp(first).sum() - 1) < 1e-5
