@@ -33,8 +33,15 @@ TEXTS_SQL = f"SELECT doc_id k, doc_id, source, lang, {DRESSED_SQL} t FROM docume
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One table of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """One table of a data directory. Documents of a file too small to split are dealt out to all cores.
+
+    A table of as many splits as there are cores is not shuffled.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if table == "documents" and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
