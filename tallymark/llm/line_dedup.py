@@ -94,14 +94,16 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     the same place are one. An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    sized = _lines(docs).withColumn("n", _n_words(F.col("line"))).where(F.col("n") >= min_words)
+    # The filter on n comes after the table is written: before, it would have every line worked out twice.
+    sized = _lines(docs).withColumn("n", _n_words(F.col("line")))
     # 128 bits of two independent hashes name a line.
     name = F.struct(F.xxhash64(F.lit(1), "line").alias("x"), F.xxhash64(F.lit(2), "line").alias("y"))
     halves = F.when(F.col("n") >= near_words, _half_keys(F.col("line"), F.col("n")))
-    places = save(sized.select("at", name.alias("h"), "n", halves.alias("halves")))
+    places = save(sized.select("at", name.alias("h"), "n", halves.alias("halves"))).where(F.col("n") >= min_words)
     lines = save(places.groupBy("h").agg(F.min("at").alias("at"), F.first("halves").alias("halves")))
-    keys = lines.where("halves is not null").select("at", F.explode("halves").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("key")
+    keys = lines.where("halves is not null").select("at", F.col("h.x").alias("x"), F.explode("halves").alias("key"))
+    # Lines have names of their own; longs, unlike structs, are compared in a hash aggregation.
+    shared = keys.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("key")
     near = keys.join(shared, "key", "left_semi").select("at").distinct()
 
     # The words of those lines, from the texts that hold them.
