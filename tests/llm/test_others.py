@@ -371,6 +371,22 @@ def test_scores_against_counts(spark):
     assert (alone.held_out, alone.n_known, alone.train_tokens, alone.base_score) == (True, 0, 0, 0.0)
 
 
+def test_every_window_is_learned_from_in_every_round(spark):
+    texts = [" ".join(f"word{k % 7}" for k in range(n)) for n in (1, 3, 40, 150, 700, 5000)]
+    with open(token_counts.TOKENIZER, "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+    vocabulary = attention_lm.Vocabulary(ranks.value)
+    sizes = vocabulary.subwords(*vocabulary.read([t.encode() for t in texts]))[1]
+    rows = attention_lm.read_training(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), ranks).where("kind = 2")
+    got = rows.toArrow()
+    scored = np.concatenate([np.frombuffer(x.as_py(), np.int8) for x in got.column("scored")])
+    assert len(scored) == sum(-(-n // attention_lm.SCORED) for n in sizes.tolist()) and scored.sum() == sizes.sum()
+    model = attention_lm.Model(np.ones(vocabulary.size), (np.zeros(1, int), np.zeros(1, int), np.ones(1)))
+    for number in range(attention_lm.ROUNDS):
+        (out,) = attention_lm.local_steps(got.select(["windows", "context", "scored"]).to_batches(), model, number)
+        assert out.column("w")[0].as_py() == got.num_rows
+
+
 # ---- pipeline
 
 
