@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that an earlier document or line has."""
-    return _sized(line_dedup.dedup_lines(docs), docs)
+    return _sized(line_dedup.dedup_lines(docs, min_words=line_dedup.ANY_WORDS), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import read, save
 
-#: Lines of fewer words stay wherever they are: headings, list marks, closing brackets.
+#: Unless asked for otherwise, lines of fewer words stay wherever they are: headings, list marks, closing brackets.
 MIN_WORDS = 4
+#: For the query and the pipeline: every line with a word takes part.
+ANY_WORDS = 1
 #: Lines of fewer words are the same only when their words are equal.
 NEAR_WORDS = 10
 #: Bits of the hash of a word at its place; 2 ** (62 - 42) words can be summed without overflow.
@@ -182,4 +184,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every repeated line of ``documents``, with the line that it repeats."""
-    return repeated_lines(read(spark, sf_dir, "documents"))
+    return repeated_lines(read(spark, sf_dir, "documents"), min_words=ANY_WORDS)

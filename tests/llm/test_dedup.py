@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tallymark.llm import common, embedding_dedup, jaccard_join, line_dedup
 
 DOCS = "doc_id long, text string"
@@ -99,6 +100,15 @@ def test_lines_unusual(spark):
     assert line_dedup.repeated_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_short_lines_in_query_and_pipeline(spark, tmp_path):
+    docs = [(1, "All rights reserved.\n}\nheld once"), (2, "All  rights reserved.\n\n}\n }"), (3, "\nreserved.")]
+    df = spark.createDataFrame(docs, DOCS)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert lines_of(line_dedup.op5_line_dedup(spark, str(tmp_path))) == brute_lines(docs, 1) == {(2, 0): (1, 0), (2, 2): (1, 1), (2, 3): (1, 1)}
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path)).collect()}
+    assert got == {1: docs[0][1], 2: "", 3: docs[2][1]}
+
+
 # ---- Jaccard join
 
 
