@@ -25,7 +25,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, drop, read, save
@@ -183,10 +183,21 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     A-Z are lower-cased, words are runs of anything but ASCII white space. Two documents are linked when their
     sets' intersection is at least ``percent`` hundredths of the union; component_id is the smallest doc_id
     reachable by links, the own one included. Null, empty and blank texts have no set and stay alone. A row with a
-    null doc_id stays alone, with a null component. Repeated rows come back as often and are linked. An empty
-    table gives no rows. Other columns are ignored. Texts are read whole.
+    null doc_id stays alone, with a null component. Repeated rows come back as often and are linked; rows of one
+    doc_id with different texts are documents of their own. An empty table gives no rows. Other columns are ignored.
+    Texts are read whole.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _grouped(docs, shingle, percent, long_, block).drop("mark")
+
+
+def _mark(text: Column) -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(text.isNull(), text)
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, long_: int = LONG, block: int = BLOCK) -> DataFrame:
+    """``jaccard_groups`` with the mark of each row's text."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _mark(F.col("text")).alias("mark"))
 
     def sketch(batches):
         words = _Words()
@@ -199,8 +210,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest() if n else None)
                 firsts.append(s[: n - least_overlap(n, percent) + extra(n, percent)].tobytes() if n else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.binary())],
-                ["doc_id", "n", "key", "firsts"],
+                [batch.column("doc_id"), batch.column("mark"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.binary())],
+                ["doc_id", "mark", "n", "key", "firsts"],
             )
 
     def postings(batches):
@@ -218,9 +229,12 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
                     ["h", "cls", "n"],
                 )
 
-    sketched = save(own.mapInArrow(sketch, "doc_id long, n long, key binary, firsts binary"))
+    sketched = save(own.mapInArrow(sketch, "doc_id long, mark long, n long, key binary, firsts binary"))
     keyed = sketched.where("key is not null and doc_id is not null")
-    classes = keyed.groupBy("key").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("firsts").alias("firsts"))
+    # A class of equal sets has a number of its own: a doc_id can have several sets.
+    cls = F.xxhash64("key").alias("cls")
+    classes = keyed.groupBy("key").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts")).withColumn("cls", cls)
+    earliest = keyed.groupBy("key").agg(F.min("doc_id").alias("least")).select("key", cls, "least")
     posted = save(classes.select("cls", "n", "firsts").mapInArrow(postings, "h long, cls long, n long"))
     shared = posted.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     held = save(posted.join(shared, "h"))
@@ -271,15 +285,15 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     total = groups.count()
     shards = max(1, -(-total // block))
     placed = groups.join(counts, "component").select(
-        F.col("id").alias("doc_id"),
+        "id",
         "component",
         F.when(F.col("size") <= block, 1).otherwise(F.ceil(F.col("size") / block)).cast("int").alias("blocks"),
     )
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn(
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
         "meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     placed = placed.select(
-        "doc_id",
+        "id",
         "component",
         "own",
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(shards))).otherwise(F.col("component")).alias("shard"),
@@ -290,15 +304,17 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     def whole(batches):
         words = _Words()
         for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
-            at = batch.schema.get_field_index("text")
-            found = [shingles(x.as_py(), shingle, words).tobytes() for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "set"])
+            found = [shingles(x.as_py(), shingle, words).tobytes() for x in batch.column("text")]
+            keys = [blake2b(x, digest_size=16).digest() for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["key", "set"])
 
-    texts = own.where("doc_id is not null").join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = texts.mapInArrow(whole, "doc_id long, set binary").groupBy("doc_id").agg(F.max("set").alias("set"))
+    # One document of each class tells its set; its other texts meet no class of a group, or their own.
+    holders = earliest.join(groups.select(F.col("id").alias("cls")), "cls", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    texts = own.select("doc_id", "text").where("doc_id is not null").join(holders, "doc_id", "left_semi")
+    sets = texts.mapInArrow(whole, "key binary, set binary").groupBy(F.xxhash64("key").alias("id")).agg(F.max("set").alias("set"))
 
     def search(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
+        ids = table.column("id").to_numpy()
         found = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         sides = table.column("own").to_numpy() if lo != hi else np.zeros(len(ids), np.int64)
@@ -307,23 +323,35 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
         b = np.array([y for _, y in links], np.int64)
         return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
 
-    links = placed.join(sets, "doc_id").groupBy("shard", "lo", "hi").applyInArrow(search, "a long, b long")
+    links = placed.join(sets, "id").groupBy("shard", "lo", "hi").applyInArrow(search, "a long, b long")
     found = connected_components(links)
-    component = classes.select("key", "cls").join(found, F.col("cls") == F.col("id"), "left").select("key", F.coalesce("component", "cls").alias("component_id"))
-    return sketched.select("doc_id", "n", "key").join(component, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    linked = found.join(earliest, F.col("cls") == F.col("id"))
+    least = linked.groupBy("component").agg(F.min("least").alias("linked_id"))
+    component = earliest.join(found.join(least, "component"), F.col("cls") == F.col("id"), "left").select("key", F.coalesce("linked_id", "least").alias("component_id"))
+    return sketched.select("doc_id", "mark", "n", "key").join(component, "key", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "mark"
     )
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group does: that with the smallest doc_id.
 
-    All columns stay. Of rows that repeat a kept doc_id one stays, by text and then any. Rows with a null doc_id
-    and documents without words are in no group and stay.
+    All columns stay. Of rows that repeat a kept doc_id one stays, by text and then any; a row of it whose text is in
+    the group of a smaller doc_id is not among them. Rows with a null doc_id are in no group and all stay; documents
+    without words are in no group, and one row of each stays.
     """
-    groups = jaccard_groups(docs.select("doc_id", "text"), shingle, percent)
-    gone = groups.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    groups = save(_grouped(docs.select("doc_id", "text"), shingle, percent))
+    gone = groups.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    kept = docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (_mark(F.col("text")) == F.col("_mark")), "left_anti")
+    stay = groups.where("doc_id is not null and not (n_shingles > 0 and doc_id <> component_id)")
+    repeated = save(stay.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_times")).where("_times > 1").select("_id"))
+    if repeated.isEmpty():
+        return kept
+    same = F.col("doc_id") == F.col("_id")
+    # Partial minima come before the shuffle: a row that a third of the table repeats is one row of each task.
+    row = F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate(docs.columns)])
+    one = kept.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text")).alias("_row"))
+    return kept.join(repeated, same, "left_anti").union(one.select(*[F.col(f"_row._{k}").alias(c) for k, c in enumerate(docs.columns)]))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

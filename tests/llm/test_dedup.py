@@ -179,6 +179,23 @@ def test_keep_one(spark):
     assert kept == sorted(set(brute_groups(docs, 5, 80).values()))
 
 
+def test_keep_one_of_repeated_rows(spark):
+    draw = random.Random(6)
+    x, y, z = (" ".join(draw.choice("abcdefghijklmnopqrstuvwxyz") * draw.randrange(1, 4) for _ in range(60)) for _ in range(3))
+    rows = [(1, x, "a")] * 40 + [(2, x, "b"), (3, y, "c"), (3, y, "c"), (3, z, "d"), (4, z + " more", "e"), (None, x, "f"), (None, x, "f"), (6, "", "g"), (6, None, "h"), (7, x + " end", "i"), (7, "apart", "j"), (8, "apart then", "k")]
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, f"{DOCS}, note string").repartition(5)).collect()
+    first = min(y, z)
+    assert sorted((r.doc_id or 0, r.text or "", r.note) for r in got) == sorted([(0, x, "f"), (0, x, "f"), (1, x, "a"), (3, first, "c" if first == y else "d"), (6, "", "h"), (7, "apart", "j"), (8, "apart then", "k")])
+
+
+def test_jaccard_one_id_with_two_texts(spark):
+    draw = random.Random(7)
+    x, y = (" ".join(f"{c}{draw.randrange(500)}" for _ in range(60)) for c in "xy")
+    rows = [(5, x), (5, y), (3, x + " end"), (9, y + " end")]
+    got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 5), (9, 5)]
+
+
 def test_divide_skip():
     draw = random.Random(1)
     for _ in range(300):
