@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import drop, read, save
 
 WINDOW = 10
 #: Words in a shard (whole documents: a longer document is a shard of its own).
@@ -236,14 +236,16 @@ def _shards(batches, column: str, most: int):
         yield held, texts
 
 
-def _passes(benchmark: DataFrame, window: int, most_bytes: int):
-    """Phrases of the benchmark, in passes of a bounded size."""
+def _divided(benchmark: DataFrame, most_bytes: int) -> list[DataFrame]:
+    """Items of the benchmark, in passes of a bounded size."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("i"), "text")
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("i"))).first()[0] or 0
     n = max(1, -(-total // most_bytes))
-    for k in range(n):
-        own = items.where(F.pmod(F.xxhash64("i", "text"), F.lit(n)) == k)
-        yield Phrases([(r["i"], r["text"].encode()) for r in own.collect()], window)
+    return [items.where(F.pmod(F.xxhash64("i", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def _phrases(items: DataFrame, window: int) -> Phrases:
+    return Phrases([(r["i"], r["text"].encode()) for r in items.collect()], window)
 
 
 def contamination(
@@ -265,8 +267,8 @@ def contamination(
         F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
-    for phrases in _passes(benchmark, window, pass_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(phrases)
+    for items in _divided(benchmark, pass_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(_phrases(items, window))
 
         def scan(batches, sent=sent):
             for held, texts in _shards(batches, "text", shard_words):
@@ -296,35 +298,89 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with the words of all occurrences taken out of ``text``; every row and column stays.
 
-    A cut brings words together that stood apart; texts that were cut are searched again until nothing is
-    found. Unusual input: see ``contamination``; a null text stays null.
+    A cut brings words together that stood apart; texts that were cut are searched again, by all phrases, until
+    nothing is found. What all passes find in a text is merged before it is cut, so a text comes out the same
+    however many passes a benchmark takes. Unusual input: see ``contamination``; a null text stays null.
     """
-    now = docs
-    for phrases in _passes(benchmark, window, pass_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(phrases)
-
-        def scan(batches, sent=sent):
-            for held, texts in _shards(batches, "text", shard_words):
-                changed = list(range(len(texts)))
-                cut: dict[int, bytes] = {}
-                while changed:
-                    _, found = _hits([cut.get(d, texts[d]) for d in changed], sent.value)
-                    again = []
-                    for k, (spans, _) in found.items():
-                        d = changed[k]
-                        cut[d] = _cut(cut.get(d, texts[d]), spans)
-                        again.append(d)
-                    changed = again
-                table = pa.Table.from_batches(held)
-                if cut:
-                    column = table.column("text").to_pylist()
-                    for d, text in cut.items():
-                        column[d] = text.decode()
-                    table = table.set_column(table.schema.get_field_index("text"), table.schema.field("text"), pa.array(column, table.schema.field("text").type))
-                yield from table.to_batches()
-
-        now = now.mapInArrow(scan, docs.schema)
-    return now
+    passes = _divided(benchmark, pass_bytes)
+    if len(passes) > 1:
+        return _decontaminate_in_passes(docs, passes, window, shard_words)
+    sent = docs.sparkSession.sparkContext.broadcast(_phrases(passes[0], window))
+
+    def scan(batches):
+        for held, texts in _shards(batches, "text", shard_words):
+            changed = list(range(len(texts)))
+            cut: dict[int, bytes] = {}
+            while changed:
+                _, found = _hits([cut.get(d, texts[d]) for d in changed], sent.value)
+                again = []
+                for k, (spans, _) in found.items():
+                    d = changed[k]
+                    cut[d] = _cut(cut.get(d, texts[d]), spans)
+                    again.append(d)
+                changed = again
+            yield from _with_texts(pa.Table.from_batches(held), cut).to_batches()
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
+def _with_texts(table: pa.Table, cut: dict[int, bytes]) -> pa.Table:
+    """The table with other texts in some rows."""
+    if not cut:
+        return table
+    column, field = table.column("text").to_pylist(), table.schema.field("text")
+    for d, text in cut.items():
+        column[d] = text.decode()
+    return table.set_column(table.schema.get_field_index("text"), field, pa.array(column, field.type))
+
+
+_FOUND = "array<struct<start:int,end:int>>"
+
+
+def _decontaminate_in_passes(docs: DataFrame, passes: list[DataFrame], window: int, shard_words: int) -> DataFrame:
+    """``decontaminate`` for a benchmark of several passes.
+
+    A round searches the texts that the last one cut, in all passes, each written to the shared folder so that one
+    pass of phrases is held at a time; then it cuts. The last round finds nothing. No column of ``docs`` is named
+    ``_open`` or ``_found``.
+    """
+    now, scratch = docs.withColumns({"_open": F.lit(True), "_found": F.array().cast(_FOUND)}), None
+    while True:
+        for items in passes:
+            sent = docs.sparkSession.sparkContext.broadcast(_phrases(items, window))
+
+            def scan(batches, sent=sent):
+                for held, texts in _shards(batches, "text", shard_words):
+                    table = pa.Table.from_batches(held)
+                    places = [d for d, is_open in enumerate(table.column("_open").to_pylist()) if is_open]
+                    _, found = _hits([texts[d] for d in places], sent.value)
+                    if found:
+                        spans, field = table.column("_found").to_pylist(), table.schema.field("_found")
+                        for k, (more, _) in found.items():
+                            d = places[k]
+                            spans[d] = [{"start": a, "end": b} for a, b in _merge([[x["start"], x["end"]] for x in spans[d]] + more)]
+                        table = table.set_column(table.schema.get_field_index("_found"), field, pa.array(spans, field.type))
+                    yield from table.to_batches()
+
+            found = save(now.mapInArrow(scan, now.schema))
+            sent.unpersist()
+            if scratch is not None:
+                drop(scratch)
+            now = scratch = found
+        if now.where(F.size("_found") > 0).isEmpty():
+            return now.drop("_open", "_found")
+
+        def cut(batches):
+            for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+                table = pa.Table.from_batches([batch])
+                texts, spans = table.column("text"), table.column("_found").to_pylist()
+                own = {d: _cut(texts[d].as_py().encode(), [(x["start"], x["end"]) for x in found]) for d, found in enumerate(spans) if found}
+                for name, values in (("_open", [bool(x) for x in spans]), ("_found", [[] for _ in spans])):
+                    field = table.schema.field(name)
+                    table = table.set_column(table.schema.get_field_index(name), field, pa.array(values, field.type))
+                yield from _with_texts(table, own).to_batches()
+
+        now = now.mapInArrow(cut, now.schema)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
