@@ -52,33 +52,40 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of ``edges`` (a, b): component is the smallest reachable id.
 
     Large-star / small-star rounds. A round shuffles each edge a fixed number of times; the number of
     rounds grows with the logarithm of the longest path. Each round is written to the shared folder, so
-    that lineage stays short and a lost executor costs one round. Nothing is gathered on the driver but
-    one count and checksum per round. Edges with a null end and loops are ignored; repeated edges count
-    once; no edges give no rows.
+    that lineage stays short and a lost executor costs one round. The minima are tables of their own: a join
+    with them is a plain one, whose large keys (the centre of a star) Spark divides among tasks. Nothing is
+    gathered on the driver but one count and checksum per round. Edges with a null end and loops are
+    ignored; repeated edges count once; no edges give no rows.
     """
-    now = save(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = save(both.groupBy("u").agg(F.min("v").alias("m")))
+        # A node without a smaller neighbour is the least of its star and hands itself on.
+        large = save(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        small = save(large.groupBy("u").agg(F.min("v").alias("m")))
         stars = large.join(small, "u")
-        nxt = save(
-            stars.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(stars.select("u", F.col("m")))
-            .where("u <> v")
-            .distinct()
-        )
+        nxt = save(stars.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small).where("u <> v").distinct())
         mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop(now)
+        for table in (now, low, large, small):
+            drop(table)
         now = nxt
         if tuple(mark) == seen:
             break

@@ -92,6 +92,53 @@ def test_lines_keep_the_rest(spark):
     assert (got[2].n_lines, got[2].n_removed, got[3].n_lines, got[5].line) == (3, 1, 0, "z")
 
 
+def test_lines_of_repeated_and_null_ids(spark):
+    draw = random.Random(15)
+    base = [" ".join(draw.choice("abcdefghij") for _ in range(12)) for _ in range(14)]
+
+    def text():
+        lines = []
+        for _ in range(draw.randrange(6)):
+            w = draw.choice(base).split()
+            if draw.random() < 0.4:
+                w[draw.randrange(12)] = "x" + str(draw.randrange(3))
+            lines.append(" ".join(w) if draw.random() < 0.9 else "short")
+        return "\n".join(lines)
+
+    rows = [(draw.choice([None, None, 1, 2, 2, 3, *range(10, 60)]), text()) for _ in range(110)]
+    rows += rows[:25] + [(2, None), (None, None), (None, ""), (70, ""), (70, "")]
+    rows = [(*r, k, 5, 6, 7) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, f"{DOCS}, _gone int, _mark int, _of int, N_Lines int").repartition(5)
+    marks = {(r.doc_id, r.text): r.m for r in line_dedup._marked(df.select("doc_id", "text"), "m").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, marks[r[:2]]))
+    seen, want, gone = [], [], 0
+    for d, t, *_ in order:
+        kept = []
+        for line in (t or "").split("\n"):
+            w = line.split()
+            if len(w) >= 4 and any(same_line(x, w) for x in seen):
+                gone += 1
+            else:
+                kept.append(line)
+            if len(w) >= 4:
+                seen.append(w)
+        want.append((d, None if t is None else "\n".join(kept)))
+    out = line_dedup.dedup_lines(df).collect()
+    key = lambda rs: sorted(rs, key=repr)
+    assert key((r.doc_id, r.text) for r in out) == key(want) and gone > 150
+    assert sum(r.n_removed for r in out) == gone == sum(r.n_rows for r in line_dedup.repeated_lines(df).collect())
+    assert sorted(r._gone for r in out) == list(range(len(rows))) and out[0]._mark == 5 and out[0]._of == 6
+
+
+def test_lines_far_more_than_a_sum_could_hold(spark):
+    w = [f"w{k}" for k in range(150_000)]
+    docs = [(1, " ".join(w)), (2, " ".join([*w[:70_000], "new", *w[70_000:]])), (3, "\n".join(f"line {k % 30_000}" for k in range(60_000)))]
+    got = lines_of(line_dedup.repeated_lines(spark.createDataFrame(docs, DOCS), min_words=1))
+    assert got == {(2, 0): (1, 0), **{(3, k): (3, k - 30_000) for k in range(30_000, 60_000)}}
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs[2:], DOCS), min_words=1).collect()}
+    assert out == {3: "\n".join(f"line {k}" for k in range(30_000))}
+
+
 def test_lines_unusual(spark):
     long = " ".join(f"w{k}" for k in range(20_000))
     docs = [(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, long), (3, long.replace("w777 ", "")), (4, "\n\n \n")]
