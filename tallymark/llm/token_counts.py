@@ -10,6 +10,7 @@ of the batches' totals, so a batch costs what it changes, not what the corpus ho
 from __future__ import annotations
 
 import base64
+import os
 import uuid
 
 import numpy as np
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, drop, read, save, scratch_dir
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Ranks of a public byte-level vocabulary. The session's setting TOKENIZER_CONF names another place: any path that Spark reads.
+TOKENIZER, TOKENIZER_CONF = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", "spark.tallymark.tokenizer"
 # Fixed value: the pattern that splits a text into pieces before the merges of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -27,6 +29,21 @@ CHANGES = "doc_id long, source string, lang string, tokenizer_version string, n_
 GROUP = ["source", "lang", "tokenizer_version"]
 
 
+def read_ranks(spark: SparkSession, tokenizer: str | None = None) -> bytes:
+    """The file of ranks ``tokenizer``, or the one that the session names, or TOKENIZER; about a MB.
+
+    A path without a scheme is one of the driver's own files, as far as it is there.
+    """
+    path = tokenizer or spark.conf.get(TOKENIZER_CONF, TOKENIZER)
+    if os.path.isfile(path):
+        with open(path, "rb") as f:
+            return f.read()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        raise FileNotFoundError(f"no file of tokenizer ranks at {path}: set {TOKENIZER_CONF} to one")
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 class Encoder:
     """Byte-level BPE from a file of ranks; remembers the pieces it has met."""
 
@@ -52,10 +69,9 @@ class Encoder:
         return total
 
 
-def subword_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def subword_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``docs`` with n_tokens, the subword tokens of ``text``; null and empty texts have none."""
-    with open(tokenizer, "rb") as f:  # about a MB, read by the driver and sent along
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    sent = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, tokenizer))
     names = [c for c in docs.columns if c != "n_tokens"]
 
     def count(batches):

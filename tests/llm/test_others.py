@@ -293,19 +293,49 @@ def test_gradients():
     row = rng.integers(0, 12, 70)
     begin, scored, context = attention_lm.windows(np.array([50, 1, 19]))
     seg = attention_lm.segments(row, 11)[begin]
-    g, _ = attention_lm.gradients(p, seg, context, scored, pairs, class_of)
+    told = np.arange(attention_lm.SCORED)[None, :] < scored[:, None]
+    loss = lambda: -attention_lm.log_probabilities(p, seg, context, pairs + p["out_bias"], class_of)[told].mean()
+    g = attention_lm.gradients(p, seg, context, scored, pairs, class_of)
     for k in p:
         flat = p[k].reshape(-1)
         for i in rng.choice(len(flat), 4, replace=False):
             old, h = flat[i], 1e-5
             flat[i] = old + h
-            up = attention_lm.gradients(p, seg, context, scored, pairs, class_of)[1]
+            up = loss()
             flat[i] = old - h
-            down = attention_lm.gradients(p, seg, context, scored, pairs, class_of)[1]
+            down = loss()
             flat[i] = old
             assert abs((up - down) / (2 * h) - g[k].reshape(-1)[i]) < 1e-4, k
 
 
+def naive_score(model, text):
+    """One subword at a time: what it may see is the rest of its window before it."""
+    p, total = {k: v.astype(float) for k, v in model.parameters.items()}, 0.0
+    symbols = [model.end_group, *model.group_of[text].tolist()]  # before the first, an end
+    for i in range(len(text)):
+        begin = i - i % attention_lm.SCORED
+        see = range(max(0, begin - attention_lm.CONTEXT), i + 1)
+        states = [p["embed"][symbols[j]] + p["place"][attention_lm.CONTEXT + j - begin] for j in see]
+        own = states[-1]
+        weights = np.exp([own @ p["relate"] @ x / np.sqrt(len(own)) for x in states])
+        seen = sum(w * x for w, x in zip(weights, states)) / weights.sum()
+        r = own + seen @ p["carry"]
+        z = r + np.maximum(0, r @ p["up"] + p["up_bias"]) @ p["down"]
+        logits = z @ p["out"] + p["out_bias"] + model.pairs[symbols[i]]
+        target = symbols[i + 1]
+        total += logits[model.class_of[target]] - np.log(np.exp(logits).sum()) + model.within[symbols[i], target] + model.inside[text[i]]
+    return total / np.log(10)
+
+
+def test_scores_against_a_naive_forward_pass():
+    model, rng = small_model(), np.random.default_rng(8)
+    for v in model.parameters.values():
+        v += rng.normal(0, 0.4, v.shape).astype(np.float32)
+    texts = [np.append(rng.integers(0, 6, n), 6) for n in (0, 1, 7, 23, 24, 25, 32, 80)]
+    got = model.score(np.concatenate(texts), np.array([len(t) for t in texts]), batch=3)
+    assert np.allclose(got, [naive_score(model, t) for t in texts], rtol=1e-4, atol=1e-4)
+
+
 def test_vocabulary_reads_words_as_one_by_one():
     with open(token_counts.TOKENIZER, "rb") as f:
         v = attention_lm.Vocabulary(f.read())
@@ -382,20 +412,34 @@ def test_scores_against_counts(spark):
     assert (alone.held_out, alone.n_known, alone.train_tokens, alone.base_score) == (True, 0, 0, 0.0)
 
 
-def test_every_window_is_learned_from_in_every_round(spark):
-    texts = [" ".join(f"word{k % 7}" for k in range(n)) for n in (1, 3, 40, 150, 700, 5000)]
+def test_every_window_is_learned_from(spark):
+    texts = [" ".join(f"word{k % 7}" for k in range(n)) for n in (1, 3, 40, 150, 700, 5000)] + [None, "held out", "without id"]
+    parts = [0] * 7 + [1, 2]
     with open(token_counts.TOKENIZER, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
+    rows = [(None if p == 2 else k, t, p) for k, (t, p) in enumerate(zip(texts, parts))]
+    read = attention_lm.read_texts(spark.createDataFrame(rows, "doc_id long, text string, part byte").coalesce(1), ranks)
+    columns = list(attention_lm._CHUNK)
+    table = read.where("kind = 2").select(*columns).toArrow().to_batches()
+    (chunk,) = attention_lm.chunks_of(table)
+    assert chunk.ids[~chunk.nulls].tolist() == list(range(8)) and chunk.parts.tolist() == parts
     vocabulary = attention_lm.Vocabulary(ranks.value)
-    sizes = vocabulary.subwords(*vocabulary.read([t.encode() for t in texts]))[1]
-    rows = attention_lm.read_training(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), ranks).where("kind = 2")
-    got = rows.toArrow()
-    scored = np.concatenate([np.frombuffer(x.as_py(), np.int8) for x in got.column("scored")])
-    assert len(scored) == sum(-(-n // attention_lm.SCORED) for n in sizes.tolist()) and scored.sum() == sizes.sum()
+    pieces, sizes = vocabulary.subwords(*vocabulary.read([(t or "").encode() for t in texts]))
+    got = chunk.subwords(vocabulary.end)
+    assert got[0].tolist() == pieces.tolist() and got[1].tolist() == sizes.tolist()
     model = attention_lm.Model(np.ones(vocabulary.size), (np.zeros(1, int), np.zeros(1, int), np.ones(1)))
-    for number in range(attention_lm.ROUNDS):
-        (out,) = attention_lm.local_steps(got.select(["windows", "context", "scored"]).to_batches(), model, number)
-        assert out.column("w")[0].as_py() == got.num_rows
+    begin, scored, _ = attention_lm.windows(sizes[:7])
+    cut = attention_lm.segments(model.group_of[pieces], model.end_group)
+    # What stands behind a window's text is another one's, and nothing sees it.
+    own = lambda seg, n: [x[: attention_lm.CONTEXT + 1 + k] for x, k in zip(seg.tolist(), n.tolist())]
+    want = sorted(own(cut[begin], scored))
+    rounds = [attention_lm.batches_of(chunk, model, number, 3) for number in range(3)]
+    assert sorted(w for r in rounds for seg, _, n in r for w in own(seg, n)) == want and all(rounds)
+    assert sum(int(n.sum()) for r in rounds for _, _, n in r) == sizes[:7].sum()
+    weights = [next(attention_lm.local_steps(table, model, number, 2)).column("w")[0].as_py() for number in range(2)]
+    assert sum(weights) == len(begin)
+    counts = {(r.kind, r.key): r.n for r in read.where("kind in (0, 1)").collect()}
+    assert counts[0, attention_lm.END_WORD] == 7 and sum(n for (k, _), n in counts.items() if k == 1) == sizes[:7].sum()
 
 
 # ---- pipeline
