@@ -2,15 +2,22 @@
 
 A document is its set of word shingles. Two documents that reach the Jaccard bound share at least T shingles, so
 among any n - T + k of one document's n shingles, taken in an order common to all, at least k are shared. The
-search has two levels:
+search has these levels:
 
 * Over all documents: of each set the n - T + k shingles with the smallest hashes go into inverted lists. Short
   lists are expanded, equal lists once, and the occurrences of each pair are counted; pairs that reach k, less
-  what long lists may hide, are candidates. Long lists are never expanded: documents with many shingles in long
-  lists are tied to the first such document of the list.
-* Within each connected group of candidates (split into blocks when large): T-occurrence search over the whole
-  sets. The short inverted lists of a document are merged with a heap, documents that occur often enough are
-  looked up in its long lists by binary search (DivideSkip), and those that reach the required overlap are linked.
+  what long lists may hide, are candidates. Long lists are never expanded.
+* Documents whose shared shingles may all be in long lists (a passage that many have is enough for that) are taken
+  again, by their rarest shingles instead of those with the smallest hashes: what is their own comes first, the
+  passage last. Only those that hardly have anything of their own still have long lists; they are tied to the first
+  such document of the list.
+* Within each connected group of candidates: T-occurrence search over the whole sets. The short inverted lists of a
+  document are merged with a heap, documents that occur often enough are looked up in its long lists by binary
+  search (DivideSkip), and those that reach the required overlap are linked.
+
+A large group is mostly one document edited many times. Its members are compared with a few leaders first; those
+linked to the same one need not meet. The others meet all, in blocks: the work grows with their number times the
+group's size, not with the square of the group's size.
 
 Equal sets are one class from the start, so exact copies never meet.
 """
@@ -19,23 +26,26 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from functools import reduce
 from hashlib import blake2b
 from itertools import groupby
 from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop, read, save
+from .common import connected_components, drop, read, save, unused
 
 SHINGLE = 4
 PERCENT = 85
 #: Lists of more documents than this are long.
 LONG = 48
-#: Documents of a block of a candidate group; a task holds two blocks.
-BLOCK = 2000
+#: Documents of a block of a candidate group, and of a large group at least; a task holds two blocks.
+BLOCK = 1000
+#: Leaders that members of a large group are compared with, one after the other.
+LEADERS = 3
 #: Weight of a long list's length in DivideSkip's choice of how many lists to set aside.
 MU = 0.0085
 
@@ -104,11 +114,11 @@ def divide_skip(query: list[list[int]], least: int) -> list[int]:
     return out
 
 
-def link_group(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def link_group(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, percent: int, connected: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (places in ``sets``) that connect what is connected; sides: only different ones meet, unless all are equal.
 
     A document that links with the first of its group's largest connected parts needs to be searched for against
-    the rest only: a link inside a part changes nothing.
+    the rest only: a link inside a part changes nothing. ``connected``: those known to be connected already.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -126,6 +136,11 @@ def link_group(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, pe
     start = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(ids)))])
     part = np.arange(n)  # of each rank
     members: dict[int, list[int]] = {k: [k] for k in range(n)}
+    if connected is not None and connected.any():
+        ranks = np.flatnonzero(connected[order])
+        part[ranks] = ranks[0]
+        members = {k: [k] for k in range(n) if part[k] == k} | {int(ranks[0]): ranks.tolist()}
+    met = dict.fromkeys(members, 0)  # of a part: members that have had their turn
     leaders: dict[int, list[int]] = {}  # of a group: the parts that began in it
     seen: dict[int, int] = {}
     mark = np.zeros(len(ids), bool)
@@ -136,6 +151,7 @@ def link_group(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, pe
         x, y = sorted((int(part[a]), int(part[b])), key=lambda p: len(members[p]))
         part[members[x]] = y
         members[y] += members.pop(x)
+        met[y] += met.pop(x)
 
     for r in range(n):
         k = int(order[r])
@@ -144,7 +160,7 @@ def link_group(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, pe
         parts = leaders.setdefault(group, [])
         earlier = seen.get(group, 0)
         seen[group] = earlier + 1
-        if earlier:
+        if met[int(part[r])] < earlier:  # someone of the group is not connected yet
             mark[own] = True
 
             def reaches(y: int, own_size=int(sizes[k])) -> bool:
@@ -157,7 +173,7 @@ def link_group(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, pe
                 y = next((y for y in members[p][-4:] if one_side or sides[order[y]] != sides[k]), None)
                 if y is not None and part[y] != part[r] and reaches(y):
                     join(y, r)
-            if len(members[int(part[r])]) <= earlier:  # someone of the group is not connected yet
+            if met[int(part[r])] < earlier:
                 query = []
                 for t in own:
                     x = lists[start[t] : start[t + 1]]
@@ -172,6 +188,7 @@ def link_group(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, pe
                     if part[y] != part[r] and reaches(y):
                         join(y, r)
             mark[own] = False
+        met[int(part[r])] += 1
         if int(part[r]) not in parts:
             parts.append(int(part[r]))
     return links
@@ -234,22 +251,112 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, long_: int = LONG, blo
     # A class of equal sets has a number of its own: a doc_id can have several sets.
     cls = F.xxhash64("key").alias("cls")
     classes = keyed.groupBy("key").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts")).withColumn("cls", cls)
-    earliest = keyed.groupBy("key").agg(F.min("doc_id").alias("least")).select("key", cls, "least")
+    earliest = save(keyed.groupBy("key").agg(F.min("doc_id").alias("least")).select("key", cls, "least"))
+
+    def whole(batches):
+        words = _Words()
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
+            found = [shingles(x.as_py(), shingle, words).tobytes() for x in batch.column("text")]
+            keys = [blake2b(x, digest_size=16).digest() for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["key", "set"])
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(id, set) of the classes ``wanted`` (id)."""
+        # One document of each class tells its set; what other texts it has are sets of other classes.
+        holders = earliest.join(wanted.select(F.col("id").alias("cls")), "cls", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+        texts = own.select("doc_id", "text").where("doc_id is not null").join(holders, "doc_id", "left_semi")
+        sets = texts.mapInArrow(whole, "key binary, set binary").groupBy(F.xxhash64("key").alias("id")).agg(F.max("set").alias("set"))
+        return sets.join(wanted, "id", "left_semi")
+
+    # By the smallest hashes.
     posted = save(classes.select("cls", "n", "firsts").mapInArrow(postings, "h long, cls long, n long"))
-    shared = posted.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    held = save(posted.join(shared, "h"))
+    held = _lists(posted)
     drop(posted)
+    deep = save(_deep(held, percent, long_).select(F.col("cls").alias("id")))
+    candidates = save(_pairs(held, percent, long_))
+    drop(held)
+
+    # By the rarest shingles, those that long lists could hide.
+    if not deep.isEmpty():
+        spread = save(sets_of(deep).select(F.col("id").alias("cls"), (F.octet_length("set") / 8).cast("long").alias("n"), F.col("set").alias("firsts")).mapInArrow(postings, "h long, cls long, n long"))
+        often = save(spread.groupBy("h").agg(F.count("*").alias("often")))
+        place = F.row_number().over(Window.partitionBy("cls").orderBy("often", "h"))
+        shown = F.col("n") - F.ceil(F.col("n") * percent / 100) + _least_shown(F.col("n"), percent)
+        rare = save(spread.join(often, "h").withColumn("place", place).where(F.col("place") <= shown).select("h", "cls", "n"))
+        held = _lists(rare)
+        ties = save(held.where(F.col("df") > long_).join(_deep(held, percent, long_), "cls", "left_semi").select("h", "cls"))
+        heads = save(ties.groupBy("h").agg(F.min("cls").alias("a")))
+        tied = ties.join(heads, "h").where("a <> cls").select("a", F.col("cls").alias("b"))
+        more = save(candidates.union(_pairs(held, percent, long_)).union(tied))
+        for table in (candidates, spread, often, rare, held, ties, heads):
+            drop(table)
+        candidates = more
+    groups = save(connected_components(candidates))
+    drop(candidates)
+    drop(deep)
+
+    # Search within groups: small ones share a task.
+    counts = save(groups.groupBy("component").agg(F.count("*").alias("size")))
+    members = save(groups.join(sets_of(groups.select("id")), "id").join(counts, "component"))
+    total = members.where(F.col("size") <= block).count()
+    shard = F.pmod(F.xxhash64("component"), F.lit(max(1, -(-total // block))))
+    small = members.where(F.col("size") <= block).select("id", "component", "set", shard.alias("shard"), *[F.lit(-1).alias(k) for k in ("own", "lo", "hi")], F.lit(False).alias("settled"))
+    parts, links = small, []
+    many = members.where(F.col("size") > block).drop("size")
+    if not many.isEmpty():
+        large, led = _split_large(many, percent, block)
+        parts, links = small.union(large), [led]
+
+    def search(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        found = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        sides = table.column("own").to_numpy() if lo != hi else np.zeros(len(ids), np.int64)
+        links = link_group(found, table.column("component").to_numpy(), sides, percent, table.column("settled").to_numpy())
+        a = np.array([x for x, _ in links], np.int64)
+        b = np.array([y for _, y in links], np.int64)
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
+
+    links.append(parts.groupBy("shard", "lo", "hi").applyInArrow(search, "a long, b long"))
+    found = save(connected_components(reduce(DataFrame.union, links)))
+    drop(members)
+    least = found.join(earliest, F.col("cls") == F.col("id")).groupBy("component").agg(F.min("least").alias("linked_id"))
+    component = save(earliest.join(found.join(save(least), "component"), F.col("cls") == F.col("id")).select("key", F.col("linked_id").alias("component_id")))
+    alone = F.coalesce("component_id", "least")
+    of_key = save(earliest.join(component, "key", "left").select("key", alone.alias("component_id")))
+    return sketched.select("doc_id", "mark", "n", "key").join(of_key, "key", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "mark"
+    )
+
+
+def _least_shown(n: Column, percent: int) -> Column:
+    """k, as ``extra``."""
+    return F.lit(1) + F.floor((n - F.ceil(n * percent / 100)) / 3)
+
+
+def _lists(posted: DataFrame) -> DataFrame:
+    """(h, cls, n, df) for the lists of several documents; df is the length."""
+    # A table of its own: the join with it is a plain one, and Spark divides a list that many documents are in.
+    shared = save(posted.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    held = save(posted.join(shared, "h"))
+    drop(shared)
+    return held
 
-    # Long lists: how many of a document's shingles they hold, and who could be hidden in them entirely.
-    k_of = lambda n: F.lit(1) + F.floor((n - F.ceil(n * percent / 100)) / 3)  # noqa: E731  as extra()
-    in_long = held.where(F.col("df") > long_)
-    hidden = in_long.groupBy("cls").agg(F.count("*").alias("hot"), F.first("n").alias("n"))
+
+def _hidden(held: DataFrame, long_: int) -> DataFrame:
+    """(cls, hot, n): how many of a document's shingles long lists hold."""
+    return held.where(F.col("df") > long_).groupBy("cls").agg(F.count("*").alias("hot"), F.first("n").alias("n"))
+
+
+def _deep(held: DataFrame, percent: int, long_: int) -> DataFrame:
+    """(cls) of documents that long lists could hide entirely from a partner."""
     # Partners can be as small as percent hundredths of n.
-    deep = hidden.where(F.col("hot") >= k_of(F.ceil(F.col("n") * percent / 100))).select("cls")
-    ties = in_long.join(deep, "cls", "left_semi").select("h", "cls")
-    tied = ties.join(ties.groupBy("h").agg(F.min("cls").alias("a")), "h").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    return _hidden(held, long_).where(F.col("hot") >= _least_shown(F.ceil(F.col("n") * percent / 100), percent)).select("cls")
+
 
-    # Short lists: equal ones once, with their number.
+def _pairs(held: DataFrame, percent: int, long_: int) -> DataFrame:
+    """(a, b) of documents that share enough in short lists, or may with what long lists hide of both."""
+    # Equal lists once, with their number.
     short = (
         held.where(F.col("df") <= long_)
         .groupBy("h")
@@ -264,73 +371,56 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, long_: int = LONG, blo
         .groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
         .agg(F.sum("times").alias("times"), F.first("x.n").alias("n"))
     )
-    hot = hidden.select(F.col("cls").alias("c"), "hot")
-    counted = (
-        pairs.where(F.col("times") >= k_of(F.col("n")))
-        .select("a", "b")
-        .union(
-            # Some of what these share may be in long lists.
-            pairs.where(F.col("times") < k_of(F.col("n")))
-            .join(hot.select(F.col("c").alias("a"), F.col("hot").alias("ha")), "a")
-            .join(hot.select(F.col("c").alias("b"), F.col("hot").alias("hb")), "b")
-            .where(F.col("times") + F.least("ha", "hb") >= k_of(F.col("n")))
-            .select("a", "b")
-        )
-    )
-    groups = save(connected_components(counted.union(tied)))
-    drop(held)
-
-    # Search within groups: small ones share a task, large ones are split into blocks that meet in pairs.
-    counts = groups.groupBy("component").agg(F.count("*").alias("size"))
-    total = groups.count()
-    shards = max(1, -(-total // block))
-    placed = groups.join(counts, "component").select(
-        "id",
-        "component",
-        F.when(F.col("size") <= block, 1).otherwise(F.ceil(F.col("size") / block)).cast("int").alias("blocks"),
-    )
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
-        "meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    )
-    placed = placed.select(
-        "id",
-        "component",
-        "own",
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(shards))).otherwise(F.col("component")).alias("shard"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.least("own", "meets")).alias("lo"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("own", "meets")).alias("hi"),
-    )
+    hot = _hidden(held, long_)
+    k = _least_shown(F.col("n"), percent)
+    # Some of what these share may be in long lists.
+    less = pairs.where(F.col("times") < k).join(hot.select(F.col("cls").alias("a"), F.col("hot").alias("ha")), "a").join(hot.select(F.col("cls").alias("b"), F.col("hot").alias("hb")), "b")
+    return pairs.where(F.col("times") >= k).select("a", "b").union(less.where(F.col("times") + F.least("ha", "hb") >= k).select("a", "b"))
 
-    def whole(batches):
-        words = _Words()
-        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
-            found = [shingles(x.as_py(), shingle, words).tobytes() for x in batch.column("text")]
-            keys = [blake2b(x, digest_size=16).digest() for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["key", "set"])
 
-    # One document of each class tells its set; its other texts meet no class of a group, or their own.
-    holders = earliest.join(groups.select(F.col("id").alias("cls")), "cls", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    texts = own.select("doc_id", "text").where("doc_id is not null").join(holders, "doc_id", "left_semi")
-    sets = texts.mapInArrow(whole, "key binary, set binary").groupBy(F.xxhash64("key").alias("id")).agg(F.max("set").alias("set"))
+def _split_large(members: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Of large groups' ``members`` (id, component, set): pairs of blocks to search, and links (a, b) to leaders.
 
-    def search(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        found = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        sides = table.column("own").to_numpy() if lo != hi else np.zeros(len(ids), np.int64)
-        links = link_group(found, table.column("component").to_numpy(), sides, percent)
-        a = np.array([x for x, _ in links], np.int64)
-        b = np.array([y for _, y in links], np.int64)
-        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
+    Members linked to the leader that most are linked to are settled: they meet only the others. A row of the first
+    frame is a member in a pair of blocks (shard, lo, hi), of which its own is one.
+    """
 
-    links = placed.join(sets, "id").groupBy("shard", "lo", "hi").applyInArrow(search, "a long, b long")
-    found = connected_components(links)
-    linked = found.join(earliest, F.col("cls") == F.col("id"))
-    least = linked.groupBy("component").agg(F.min("least").alias("linked_id"))
-    component = earliest.join(found.join(least, "component"), F.col("cls") == F.col("id"), "left").select("key", F.coalesce("linked_id", "least").alias("component_id"))
-    return sketched.select("doc_id", "mark", "n", "key").join(component, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "mark"
-    )
+    def compare(batches):
+        for batch in batches:
+            sets, leads = batch.column("set"), batch.column("lead")
+            good = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (sets, leads))
+                good.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("id", "component", "leader")] + [pa.array(good, pa.bool_())], ["id", "component", "leader", "good"])
+
+    now, rounds = members.select("id", "component"), []
+    for _ in range(LEADERS):
+        # Numbers of classes are hashes: the least is any.
+        leaders = save(now.groupBy("component").agg(F.min("id").alias("leader")))
+        leads = save(leaders.join(members.select(F.col("id").alias("leader"), F.col("set").alias("lead")), "leader").select("component", "leader", "lead"))
+        open_ = members.join(now.select("id"), "id", "left_semi").join(leads, "component")
+        tested = save(open_.select("id", "component", "leader", "set", "lead").mapInArrow(compare, "id long, component long, leader long, good boolean"))
+        for table in (leaders, leads):
+            drop(table)
+        rounds.append(tested.where("good").select("id", "component", "leader"))
+        now = tested.where("not good").select("id", "component")
+    led = save(reduce(DataFrame.union, rounds))
+    sizes = led.groupBy("component", "leader").agg(F.count("*").alias("size"))
+    main = save(sizes.groupBy("component").agg(F.max_by("leader", F.struct("size", "leader")).alias("leader"), F.max("size").alias("settled_n")))
+    settled = led.join(main, ["component", "leader"]).select("id", F.lit(True).alias("settled"))
+    counts = save(members.groupBy("component").agg(F.count("*").alias("n")).join(main, "component").select("component", "settled_n", (F.col("n") - F.col("settled_n")).alias("rest_n")))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    placed = (
+        members.join(settled, "id", "left").join(counts, "component")
+        .select("id", "component", "set", F.coalesce("settled", F.lit(False)).alias("settled"), blocks("rest_n").alias("r"), blocks("settled_n").alias("s"))
+        .where("r > 0")
+    )
+    # The others' blocks come first; each meets all, one of the settled only those.
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("settled"), F.col("s")).otherwise(F.col("r"))).cast("int") + F.when(F.col("settled"), F.col("r")).otherwise(0)
+    placed = placed.withColumn("own", own).withColumn("meets", F.explode(F.sequence(F.lit(0), F.when(F.col("settled"), F.col("r")).otherwise(F.col("r") + F.col("s")) - 1)))
+    large = placed.select("id", "component", "set", F.col("component").alias("shard"), "own", F.least("own", "meets").alias("lo"), F.greatest("own", "meets").alias("hi"), "settled")
+    return large, led.select(F.col("id").alias("a"), F.col("leader").alias("b"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -341,17 +431,18 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     without words are in no group, and one row of each stays.
     """
     groups = save(_grouped(docs.select("doc_id", "text"), shingle, percent))
-    gone = groups.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
-    kept = docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (_mark(F.col("text")) == F.col("_mark")), "left_anti")
+    id_, mark, row = unused(docs, "_id", "_mark", "_row")
+    gone = groups.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(id_), F.col("mark").alias(mark)).distinct()
+    kept = docs.join(gone, (F.col("doc_id") == F.col(id_)) & (_mark(F.col("text")) == F.col(mark)), "left_anti")
     stay = groups.where("doc_id is not null and not (n_shingles > 0 and doc_id <> component_id)")
-    repeated = save(stay.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_times")).where("_times > 1").select("_id"))
+    repeated = save(stay.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(id_)))
     if repeated.isEmpty():
         return kept
-    same = F.col("doc_id") == F.col("_id")
+    same = F.col("doc_id") == F.col(id_)
     # Partial minima come before the shuffle: a row that a third of the table repeats is one row of each task.
-    row = F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate(docs.columns)])
-    one = kept.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text")).alias("_row"))
-    return kept.join(repeated, same, "left_anti").union(one.select(*[F.col(f"_row._{k}").alias(c) for k, c in enumerate(docs.columns)]))
+    whole = F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate(docs.columns)])
+    one = kept.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct("text")).alias(row))
+    return kept.join(repeated, same, "left_anti").union(one.select(*[F.col(f"{row}._{k}").alias(c) for k, c in enumerate(docs.columns)]))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,6 +211,35 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == brute_groups(docs)
 
 
+def test_jaccard_of_a_common_passage(spark):
+    # Most of every text is one passage, far more texts than a list may have; only some are near copies besides.
+    draw = random.Random(31)
+    passage = " ".join(f"p{draw.randrange(10**6)}" for _ in range(70))
+    docs = []
+    for k in range(120):
+        own = [f"o{draw.randrange(10**6)}" for _ in range(draw.randrange(25, 60))]
+        docs += [passage + " " + " ".join(own[:n]) for n in {len(own), max(1, len(own) - draw.randrange(3))}]
+    docs += [passage, passage + " end", passage + " other end"]
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, DOCS)
+    got = jaccard_join.jaccard_groups(df, long_=10, block=25).collect()
+    want = brute_groups(docs)
+    assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == want and 100 < len(set(want.values())) < len(docs)
+
+
+def test_link_group_with_what_is_connected():
+    docs = near_copies(21, 2, 60, words=80, edits=(0, 1, 2, 3, 6))
+    sets = [np.array(sorted(hash(x) & (2**63 - 1) for x in s), np.uint64) for s in sets_of(docs, 4)]
+    links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if jaccard_join.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 85)]
+    first = next(i for i, _ in links)
+    settled = np.array([k == first or (first, k) in links for k in range(len(sets))])
+    known = [(first, int(k)) for k in np.flatnonzero(settled)]
+    got = jaccard_join.link_group(sets, np.zeros(len(sets)), settled.astype(int), 85, settled) + [
+        (a, b) for side in (~settled,) for a, b in links if side[a] and side[b]
+    ]
+    assert components(len(sets), got + known) == components(len(sets), links)
+
+
 def test_jaccard_unusual(spark):
     text = "a b c d e f g h"
     rows = [(1, text, 0), (1, text, 0), (None, text, 0), (2, None, 0), (3, " \n", 0), (4, text + " " + " ".join(f"w{k}" for k in range(50_000)), 0)]
