@@ -2,10 +2,14 @@
 
 Every unit vector o is turned by one random rotation; the signs of its coordinates are its code ō, and with the
 code goes one correction factor f = <ō, o>. For another unit vector q, <ō, q> / f is an unbiased estimate of
-<o, q>, and its error is at most sqrt(1 - f²) / f times the part of q that is orthogonal to o times the cosine of
-an angle that the rotation makes random. A bound on that cosine says which pairs can reach the threshold; only
-those are recomputed, in double precision from the vectors as given. With ``epsilon`` None the bound is the
-certain one (the cosine is 1 at most), so no pair at or above the threshold is lost.
+<o, q>, and its error is sqrt(1 - f²) / f times the part of q that is orthogonal to o times the cosine of an angle
+that the rotation makes random. The turned q stands in few bits a coordinate: the estimate of a pair is a count of
+common bits, plane by plane, and what rounding leaves of q adds to the error in the same way. A bound on those
+cosines says which pairs can reach the threshold; only these are recomputed, in double precision from the vectors
+as given. The bound is a confidence bound of ``epsilon`` deviations; with ``epsilon`` None it is the certain one (a
+cosine is 1 at most).
+
+Codes, factors and planes are worked out once for each different vector and stored with it.
 
 Vectors meet by label. Large labels are divided into cells around sampled pivots, each vector goes to its own cell
 and to those whose border is closer than the margin; cells are divided into blocks, and pairs of blocks are tasks.
@@ -26,7 +30,11 @@ from pyspark.sql import types as T
 from .common import connected_components, read, save
 
 THRESHOLD = 0.98
-SEED = 20260829
+#: Deviations of the confidence bound: a pair at the threshold is missed once in some hundred million times.
+EPSILON = 6.0
+#: Bits of a coordinate of the vector that a code is compared with.
+PLANES = 6
+SEED = 71
 #: Vectors of a block; a task holds two.
 BLOCK = 2048
 #: Vectors for which a label gets one pivot.
@@ -41,27 +49,61 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encode(units: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Turned vectors, codes (rows of packed sign bits) and correction factors."""
-    turned = units @ turn
-    factor = np.abs(turned).sum(1) / np.sqrt(units.shape[1])  # <ō, o> with ō = sign / sqrt(dim)
-    return turned, np.packbits(turned >= 0, axis=1), factor
-
-
-def signs(codes: np.ndarray, dim: int) -> np.ndarray:
-    """The unit vectors ō of packed codes."""
-    return (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-
-
-def estimate(o_codes: np.ndarray, o_factors: np.ndarray, turned: np.ndarray) -> np.ndarray:
-    """Unbiased estimates of the inner products of coded and turned vectors."""
-    return signs(o_codes, turned.shape[1]) @ turned.T.astype(np.float32) / o_factors[:, None].astype(np.float32)
-
-
-def slack(factors: np.ndarray, threshold: float, dim: int, epsilon: float | None) -> np.ndarray:
-    """How far below the truth an estimate can be for a pair at the threshold or above."""
-    worst = 1.0 if epsilon is None else min(1.0, epsilon / np.sqrt(max(1, dim - 1)))
-    return np.sqrt(np.maximum(0, 1 - factors**2)) / factors * np.sqrt(1 - threshold**2) * worst
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words."""
+    out = np.zeros((len(bits), -(-bits.shape[1] // 64) * 8), np.uint8)
+    out[:, : -(-bits.shape[1] // 8)] = np.packbits(bits, axis=1)
+    return out.view(np.uint64)
+
+
+class Codes:
+    """What is stored of unit vectors: ``codes`` (packed signs) and ``factors``; for those on the other side of an
+    estimate ``planes`` (packed bits of rounded coordinates, lowest first), and of each vector (least coordinate,
+    step, sum of the rounded coordinates in steps, length of what rounding leaves) in ``scales``."""
+
+    def __init__(self, codes: np.ndarray, factors: np.ndarray, planes: np.ndarray, scales: np.ndarray, dim: int):
+        self.codes, self.factors, self.planes, self.scales, self.dim = codes, factors, planes, scales, dim
+
+    @classmethod
+    def of(cls, units: np.ndarray, turn: np.ndarray) -> Codes:
+        turned = units @ turn
+        factors = np.abs(turned).sum(1) / np.sqrt(units.shape[1])  # <ō, o> with ō = sign / sqrt(dim)
+        least = turned.min(1)
+        step = np.maximum((turned.max(1) - least) / ((1 << PLANES) - 1), 1e-300)
+        level = np.rint((turned - least[:, None]) / step[:, None]).astype(np.int64)
+        rest = np.sqrt(((turned - least[:, None] - level * step[:, None]) ** 2).sum(1))
+        planes = np.stack([_packed((level >> j & 1).astype(bool)) for j in range(PLANES)], 1)
+        return cls(_packed(turned >= 0), factors, planes, np.stack([least, step, level.sum(1), rest], 1), units.shape[1])
+
+    def packed(self) -> list[bytes]:
+        """One value for each vector."""
+        return [b"".join(x.tobytes() for x in row) for row in zip(self.codes, self.factors, self.planes, self.scales, strict=True)]
+
+    @classmethod
+    def unpacked(cls, rows: list[bytes], dim: int) -> Codes:
+        words = -(-dim // 64)
+        kind = np.dtype([("codes", np.uint64, words), ("factors", np.float64), ("planes", np.uint64, (PLANES, words)), ("scales", np.float64, 4)])
+        x = np.frombuffer(b"".join(rows), kind)
+        return cls(x["codes"].reshape(len(x), words), x["factors"], x["planes"], x["scales"], dim)
+
+    def estimates(self, other: Codes, rows: slice = slice(None)) -> np.ndarray:
+        """Unbiased estimates of the inner products of own vectors (by code) with the others' (by planes)."""
+        codes, root = self.codes[rows], np.sqrt(self.dim)
+        shared = np.zeros((len(codes), len(other.codes)), np.int32)
+        for w in range(codes.shape[1]):
+            own = np.ascontiguousarray(codes[:, w])[:, None]
+            for j in range(PLANES):
+                shared += np.bitwise_count(own & np.ascontiguousarray(other.planes[:, j, w])).astype(np.int32) << j
+        ones = np.bitwise_count(codes).sum(1).astype(np.float64)
+        least, step, total, _ = other.scales.T
+        found = (2 * ones - self.dim)[:, None] * least + step * (2.0 * shared - total)
+        return found / (root * self.factors[rows, None])
+
+    def slack(self, other: Codes, threshold: float, epsilon: float | None, rows: slice = slice(None)) -> np.ndarray:
+        """How far below the truth an estimate can be for a pair at the threshold or above."""
+        share = 1.0 if epsilon is None else min(1.0, epsilon / np.sqrt(max(1, self.dim - 1)))
+        f = self.factors[rows, None]
+        return (np.sqrt(np.maximum(0, 1 - f**2)) * np.sqrt(1 - threshold**2) + other.scales[:, 3]) * share / f
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,15 +117,13 @@ def block_links(left: dict, right: dict | None, cell: int, threshold: float, eps
     A pair that meets in several cells counts in the first that both are in. Links count a partner's copies.
     """
     other = right or left
-    dim = left["vectors"].shape[1]
-    bound = threshold - slack(left["factors"], threshold, dim, epsilon) - 1e-4  # single precision
     n, m = len(left["vectors"]), len(other["vectors"])
     count_l, count_r = np.zeros(n, np.int64), np.zeros(m, np.int64)
     total = n + (m if right else 0)
     part, shift = np.arange(total), n if right else 0
     for k in range(0, n, step):
-        rough = estimate(left["codes"][k : k + step], left["factors"][k : k + step], other["turned"])
-        a, b = np.nonzero(rough >= bound[k : k + step, None].astype(np.float32))
+        rows, mine, theirs = slice(k, k + step), left["codes"], other["codes"]
+        a, b = np.nonzero(mine.estimates(theirs, rows) + mine.slack(theirs, threshold, epsilon, rows) >= threshold - 1e-9)
         a = a + k
         if right is None:
             a, b = a[a < b], b[a < b]
@@ -115,7 +155,7 @@ def block_links(left: dict, right: dict | None, cell: int, threshold: float, eps
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, epsilon: float | None = None, cell: int = CELL, block: int = BLOCK, margin: float | None = None
+    vectors: DataFrame, threshold: float = THRESHOLD, epsilon: float | None = EPSILON, cell: int = CELL, block: int = BLOCK, margin: float | None = None
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label).
 
@@ -125,7 +165,8 @@ def near_duplicates(
     lengths, link with nothing. Repeated rows are linked with each other; a null vec_id stays alone, with a null
     component, and kept. An empty table gives no rows. Other columns are ignored.
 
-    ``margin``: how close to a cell's border (in distance between unit vectors) a vector is sent to the other side.
+    ``epsilon``: deviations of the confidence bound that spares pairs their recomputation; None spares only those that
+    cannot reach the threshold. ``margin``: how close to a cell's border (in distance between unit vectors) a vector is sent to the other side.
     None is the largest distance of a linked pair, with which no pair is lost; labels of up to ``cell`` vectors
     have one cell and lose none with any margin.
     """
@@ -150,7 +191,23 @@ def near_duplicates(
 
     cleaned = save(own.mapInArrow(clean, "vec_id long, label string, dim int, key binary, data binary"))
     usable = cleaned.where("key is not null and vec_id is not null")
-    classes = save(usable.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"), F.first("data").alias("data")))
+    grouped = usable.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"), F.first("data").alias("data"))
+
+    def code(batches):
+        turns: dict[int, np.ndarray] = {}
+        for batch in (b.slice(k, 2000) for b in batches for k in range(0, b.num_rows, 2000)):
+            dims, data = batch.column("dim").to_numpy(), batch.column("data").to_pylist()
+            codes: list = [None] * len(dims)
+            for dim in set(dims.tolist()):
+                rows = np.flatnonzero(dims == dim).tolist()
+                turn = turns[dim] = turns[dim] if dim in turns else rotation(dim)
+                v = np.frombuffer(b"".join(data[i] for i in rows)).reshape(-1, dim)
+                for i, x in zip(rows, Codes.of(v / np.sqrt((v * v).sum(1))[:, None], turn).packed(), strict=True):
+                    codes[i] = x
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], [*batch.schema.names, "code"])
+
+    coded = T.StructType([*grouped.schema.fields, T.StructField("code", T.BinaryType())])
+    classes = save(grouped.mapInArrow(code, coded))
 
     # Pivots: of each label one in ``cell`` classes, by hash; labels of fewer have a single cell and need none.
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > cell)
@@ -196,15 +253,14 @@ def near_duplicates(
 
     def search(table: pa.Table) -> pa.Table:
         dim, cell_, lo, hi = (table.column(c)[0].as_py() for c in ("dim", "cell", "lo", "hi"))
-        turn = rotation(dim)
 
         def side(number: int) -> dict:
             t = table.filter(pa.compute.equal(table.column("own"), number))
             v = np.frombuffer(b"".join(t.column("data").to_pylist())).reshape(-1, dim)
-            turned, codes, factors = encode(v / np.sqrt((v * v).sum(1))[:, None], turn)
+            codes = Codes.unpacked(t.column("code").to_pylist(), dim)
             cells = t.column("cells").to_pylist()
             alone = all(len(c) == 1 for c in cells)
-            return {"ids": t.column("cls").to_numpy(), "copies": t.column("copies").to_numpy(), "vectors": v, "turned": turned, "codes": codes, "factors": factors, "cells": cells, "alone": alone}
+            return {"ids": t.column("cls").to_numpy(), "copies": t.column("copies").to_numpy(), "vectors": v, "codes": codes, "cells": cells, "alone": alone}
 
         left = side(lo)
         right = side(hi) if lo != hi else None

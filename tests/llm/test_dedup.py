@@ -333,20 +333,40 @@ def test_vectors_unusual(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
-def test_codes_are_unbiased_and_bounded():
+@pytest.mark.parametrize("dim", [2, 16, 64, 100, 256])
+def test_codes_are_unbiased_and_bounded(dim):
     rng = np.random.default_rng(4)
-    u = rng.normal(size=(300, 64))
-    u /= np.sqrt((u * u).sum(1))[:, None]
+    unit = lambda x: x / np.sqrt((x * x).sum(1))[:, None]
+    u = unit(rng.normal(size=(200, dim)))
     errors = []
     for seed in range(20):
-        turned, codes, factors = embedding_dedup.encode(u, embedding_dedup.rotation(64, seed))
-        errors.append(embedding_dedup.estimate(codes, factors, turned) - u @ u.T)
-    off = ~np.eye(300, dtype=bool)
-    assert abs(np.mean(errors, axis=0)[off].mean()) < 2e-3
-    # The certain bound holds for every pair at the threshold.
-    v = u + 0.02 * rng.normal(size=u.shape)
-    v /= np.sqrt((v * v).sum(1))[:, None]
-    turned, codes, factors = embedding_dedup.encode(u, embedding_dedup.rotation(64))
-    rough, exact = np.diag(embedding_dedup.estimate(codes, factors, v @ embedding_dedup.rotation(64))), (u * v).sum(1)
+        codes = embedding_dedup.Codes.of(u, embedding_dedup.rotation(dim, seed))
+        codes = embedding_dedup.Codes.unpacked(codes.packed(), dim)
+        errors.append(codes.estimates(codes) - u @ u.T)
+    off = ~np.eye(200, dtype=bool)
+    assert dim == 2 or abs(np.mean(errors, axis=0)[off].mean()) < 5e-3
+    # Of pairs at the threshold: the certain bound holds for all, the confidence bound too, and with 2 deviations for most.
+    v = unit(u + rng.uniform(0.01, 0.2, (200, 1)) / np.sqrt(dim) * rng.normal(size=u.shape))
+    turn = embedding_dedup.rotation(dim)
+    a, b, exact = embedding_dedup.Codes.of(u, turn), embedding_dedup.Codes.of(v, turn), (u * v).sum(1)
     near = exact >= 0.98
-    assert near.sum() > 100 and (rough + embedding_dedup.slack(factors, 0.98, 64, None) + 1e-4 >= 0.98)[near].all()
+    reach = lambda epsilon: np.diag(a.estimates(b) + a.slack(b, 0.98, epsilon))[near] >= 0.98 - 1e-9
+    assert near.sum() > 60 and reach(None).all() and reach(embedding_dedup.EPSILON).all() and reach(2.0).mean() > 0.9
+    # Pairs far apart need no recomputation in a space of many dimensions.
+    far = (a.estimates(a) + a.slack(a, 0.98, embedding_dedup.EPSILON))[off] >= 0.98
+    assert dim < 64 or far.mean() < 0.01
+
+
+def test_planted_neighbours_in_the_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding", "label").collect()
+    rng = np.random.default_rng(12)
+    rows = [(r.vec_id, r.embedding, r.label) for r in table]
+    for k, (_, e, label) in enumerate(rows[:150]):
+        e = np.array(e, float)
+        noise = rng.normal(size=len(e))
+        near = e + noise * np.sqrt((e * e).sum() / (noise * noise).sum()) * rng.uniform(0.02, 0.25)
+        rows.append((10**6 + k, [float(x) for x in np.float32(near)], label))
+    df = spark.createDataFrame(rows, table and spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding", "label").schema)
+    got = embedding_dedup.near_duplicates(df).collect()
+    want = brute_vectors([(v, list(e) if e is not None else None, label) for v, e, label in rows])
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want and 60 < sum(n for _, n, _ in want) < 300
