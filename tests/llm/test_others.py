@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -340,12 +341,16 @@ def test_vocabulary_reads_words_as_one_by_one():
     with open(token_counts.TOKENIZER, "rb") as f:
         v = attention_lm.Vocabulary(f.read())
     draw = random.Random(3)
-    texts = [" ".join("".join(draw.choice("abcé'1!-—ßя漢😀") for _ in range(draw.randrange(1, 9))) for _ in range(400)) for _ in range(6)]
-    texts += ["x\u00a0 \u00a0y \u2003 z\u3000 \u00a0", "", "  a  "]
-    flat, sizes = v.read([t.encode() for t in texts])
-    pieces, counts = v.subwords(flat, sizes)
-    want = [[p for w in t.encode().lower().split() for p in v._encode(" " + w.decode())] + [v.end] for t in texts]
+    texts = [" ".join("".join(draw.choice("abcÉ'1!-—ßя漢😀") for _ in range(draw.randrange(1, 9))) for _ in range(400)) for _ in range(6)]
+    texts += ["x\u00a0 \u00a0y \u2003 z\u3000 \u00a0", "", "  a  ", None, " \t\n\x0b\x0c\r", "\x1c\x1f\x85 b"]
+    got = v.read(pa.array(texts, pa.string()))
+    chunk = attention_lm.Chunk(**got)
+    pieces, counts = chunk.subwords(v.end)
+    words = [(t or "").encode().lower().split() for t in texts]
+    want = [[p for w in x for p in v.encode(" " + w.decode())] + [v.end] for x in words]
     assert pieces.tolist() == [p for x in want for p in x] and counts.tolist() == [len(x) for x in want]
+    assert got["sizes"].tolist() == list(map(len, words)) and len(got["hashes"]) == len({w for x in words for w in x})
+    assert [len(attention_lm.Chunk(**v.read(pa.array(x, pa.string()))).subwords(v.end)[0]) for x in ([], ["", None])] == [0, 2]
 
 
 def test_windows_score_each_token_once():
@@ -424,7 +429,7 @@ def test_every_window_is_learned_from(spark):
     (chunk,) = attention_lm.chunks_of(table)
     assert chunk.ids[~chunk.nulls].tolist() == list(range(8)) and chunk.parts.tolist() == parts
     vocabulary = attention_lm.Vocabulary(ranks.value)
-    pieces, sizes = vocabulary.subwords(*vocabulary.read([(t or "").encode() for t in texts]))
+    pieces, sizes = attention_lm.Chunk(**vocabulary.read(pa.array(texts, pa.string()))).subwords(vocabulary.end)
     got = chunk.subwords(vocabulary.end)
     assert got[0].tolist() == pieces.tolist() and got[1].tolist() == sizes.tolist()
     model = attention_lm.Model(np.ones(vocabulary.size), (np.zeros(1, int), np.zeros(1, int), np.ones(1)))
