@@ -1,21 +1,29 @@
 """Token counts: delta-maintained rollups by source, language and tokenizer version.
 
 A batch of changes becomes signed rows: an insert adds a document and its tokens, a delete takes away what the
-ledger holds for it, a revised count takes the old one away and adds the new. Each batch is written under its own
-name, with its additive totals, and becomes visible with one small marker file written last. A batch that already
-has a marker is not applied again; a batch that was cut off before its marker is written anew. Totals are the sum
-of the batches' totals, so a batch costs what it changes, not what the corpus holds.
+ledger holds for it, a revised count takes the old one away and adds the new. Totals are the sum of the batches'
+totals.
+
+The ledger lies in buckets by document, and a batch looks up only the documents that it changes, in their buckets
+alone: a small batch reads a small part of the ledger, one of half the corpus half or more of it. ``compact`` replaces
+batches by what they come to, so that the ledger does not grow with its history.
+
+Each attempt at a batch writes to a folder of its own. It becomes visible with one small entry in a log, under the
+next number, which one writer alone can create; whoever comes second starts again from what the ledger then holds. A
+batch that is in the log is not applied again, and what an attempt without an entry wrote is never read.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, drop, read, save, scratch_dir
@@ -27,6 +35,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 CHANGES = "doc_id long, source string, lang string, tokenizer_version string, n_tokens long, op string"
 GROUP = ["source", "lang", "tokenizer_version"]
+#: Buckets of the ledger.
+BUCKETS = 32
 
 
 def read_ranks(spark: SparkSession, tokenizer: str | None = None) -> bytes:
@@ -93,40 +103,82 @@ class TokenRollup:
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def batches(self) -> list[str]:
-        """Names of committed batches."""
-        folder = self._hadoop.Path(f"{self.path}/commits")
+    def _entries(self) -> list[dict]:
+        """The log in order: {batches: names, folder, base}; a base replaces all before it."""
+        folder, out = self._hadoop.Path(f"{self.path}/log"), []
         if not self._fs.exists(folder):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder))
+            return out
+        names = sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(folder)) if n.isdigit())
+        for name in names:
+            stream = self._fs.open(self._hadoop.Path(f"{self.path}/log/{name}"))
+            out.append(json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+        return out
+
+    def _enter(self, number: int, entry: dict) -> bool:
+        """Create entry ``number``, whole or not at all; False if somebody else did."""
+        own, place = (self._hadoop.Path(f"{self.path}/log/{x}") for x in (f"_{uuid.uuid4().hex}", f"{number:012d}"))
+        stream = self._fs.create(own, False)
+        stream.write(bytearray(json.dumps(entry).encode()))
+        stream.close()
+        try:
+            # A rename to a name that is there fails; local files are renamed over, so these are checked first.
+            return not self._fs.exists(place) and self._fs.rename(own, place)
+        finally:
+            self._fs.delete(own, False)
+
+    def batches(self) -> list[str]:
+        """Names of committed batches, in order."""
+        return [b for e in self._entries() for b in e["batches"]]
 
-    def _committed(self, table: str, but: str | None = None) -> DataFrame:
-        names = [b for b in self.batches() if b != but]
+    def _read(self, table: str, entries: list[dict], buckets: list[int] | None = None) -> DataFrame:
+        last = max((k for k, e in enumerate(entries) if e["base"]), default=0)
+        folders = [e["folder"] for e in entries[last:]]
         key = "doc_id long, " if table == "ledger" else ""
         schema = f"{key}source string, lang string, tokenizer_version string, d_docs long, d_tokens long"
-        if not names:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{table}/{b}" for b in names])
+        out = [self.spark.createDataFrame([], schema)]
+        for folder in folders:  # each has its own buckets
+            rows = self.spark.read.schema(schema + (", bucket int" if key else "")).parquet(f"{self.path}/{table}/{folder}")
+            if key:
+                rows = (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).drop("bucket")
+            out.append(rows)
+        return reduce(DataFrame.union, out)
 
-    def current(self) -> DataFrame:
-        """(doc_id, source, lang, tokenizer_version, n_tokens) of the documents held now."""
+    @staticmethod
+    def _held(ledger: DataFrame) -> DataFrame:
         return (
-            self._committed("ledger")
-            .groupBy("doc_id", *GROUP)
+            ledger.groupBy("doc_id", *GROUP)
             .agg(F.sum("d_docs").alias("_docs"), F.sum("d_tokens").alias("n_tokens"))
             .where("_docs > 0")
             .drop("_docs")
         )
 
+    def current(self) -> DataFrame:
+        """(doc_id, source, lang, tokenizer_version, n_tokens) of the documents held now."""
+        return self._held(self._read("ledger", self._entries()))
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, n_docs, n_tokens); groups that hold no document are left out."""
         return (
-            self._committed("totals")
+            self._read("totals", self._entries())
             .groupBy(*GROUP)
             .agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
             .where("n_docs <> 0 or n_tokens <> 0")
         )
 
+    def _write(self, signed: DataFrame) -> str:
+        """Signed rows and their totals, in a new folder; its name."""
+        folder = uuid.uuid4().hex
+        ledger = f"{self.path}/ledger/{folder}"
+        signed.withColumn("bucket", _bucket()).repartition("bucket").write.partitionBy("bucket").parquet(ledger)
+        written = self.spark.read.schema(signed.schema).parquet(ledger)
+        written.groupBy(*GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.parquet(f"{self.path}/totals/{folder}")
+        return folder
+
+    def _remove(self, folder: str) -> None:
+        for table in ("ledger", "totals"):
+            self._fs.delete(self._hadoop.Path(f"{self.path}/{table}/{folder}"), True)
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch of CHANGES once; False if it is committed already.
 
@@ -147,26 +199,43 @@ class TokenRollup:
             .agg(F.max(F.struct((-rank).alias("r"), F.coalesce("n_tokens", F.lit(0)).alias("n"), "source", "lang", "op")).alias("c"))
             .select(*key, "c.source", "c.lang", "c.n", "c.op")
         )
-        held = self.current().select(*key, F.col("source").alias("s0"), F.col("lang").alias("l0"), F.col("n_tokens").alias("n0"))
-        both = wanted.join(held, key, "left")
+        touched = [r[0] for r in wanted.select(_bucket().alias("b")).distinct().collect()]  # BUCKETS numbers at most
         row = lambda s, l, d, n: F.struct(s.alias("source"), l.alias("lang"), d.alias("d_docs"), n.alias("d_tokens"))  # noqa: E731, E741
-        minus = F.when(F.col("n0").isNotNull(), row(F.col("s0"), F.col("l0"), F.lit(-1).cast("long"), -F.col("n0")))
-        plus = F.when(F.col("op") != "delete", row(F.col("source"), F.col("lang"), F.lit(1).cast("long"), F.col("n").cast("long")))
-        signed = both.select(*key, F.explode(F.filter(F.array(minus, plus), lambda x: x.isNotNull())).alias("d")).select(
-            "doc_id", "d.source", "d.lang", "tokenizer_version", "d.d_docs", "d.d_tokens"
-        )
-        ledger = f"{self.path}/ledger/{batch}"
-        signed.write.mode("overwrite").parquet(ledger)
-        drop(wanted)
-        written = self.spark.read.schema(signed.schema).parquet(ledger)
-        (
-            written.groupBy(*GROUP)
-            .agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-            .write.mode("overwrite")
-            .parquet(f"{self.path}/totals/{batch}")
-        )
-        self._fs.create(self._hadoop.Path(f"{self.path}/commits/{batch}"), False).close()
-        return True
+        while True:
+            entries = self._entries()
+            if any(batch in e["batches"] for e in entries):
+                drop(wanted)
+                return False
+            held = self._held(self._read("ledger", entries, touched).join(wanted.select(*key), key, "left_semi"))
+            held = held.select(*key, F.col("source").alias("s0"), F.col("lang").alias("l0"), F.col("n_tokens").alias("n0"))
+            both = wanted.join(held, key, "left")
+            minus = F.when(F.col("n0").isNotNull(), row(F.col("s0"), F.col("l0"), F.lit(-1).cast("long"), -F.col("n0")))
+            plus = F.when(F.col("op") != "delete", row(F.col("source"), F.col("lang"), F.lit(1).cast("long"), F.col("n").cast("long")))
+            signed = both.select(*key, F.explode(F.filter(F.array(minus, plus), lambda x: x.isNotNull())).alias("d")).select(
+                "doc_id", "d.source", "d.lang", "tokenizer_version", "d.d_docs", "d.d_tokens"
+            )
+            folder = self._write(signed)
+            if self._enter(len(entries), {"batches": [batch], "folder": folder, "base": False}):
+                drop(wanted)
+                return True
+            self._remove(folder)  # somebody else was first: look again at what the ledger holds
+
+    def compact(self) -> bool:
+        """Replace all batches by what they come to; False if another writer came first. Totals and names stay.
+
+        What is replaced stays on disk for readers that began before.
+        """
+        entries = self._entries()
+        net = self._held(self._read("ledger", entries)).select("doc_id", *GROUP, F.lit(1).cast("long").alias("d_docs"), F.col("n_tokens").alias("d_tokens"))
+        folder = self._write(net)
+        if self._enter(len(entries), {"batches": [], "folder": folder, "base": True}):
+            return True
+        self._remove(folder)
+        return False
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +266,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("2-revise", change(counted, "subwords-1", F.col("n_tokens"), "revise"))
     rollup.commit("2-revise", change(counted, "subwords-1", F.col("n_tokens"), "revise"))  # sent again: nothing happens
     named = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"))
-    first = named.groupBy("t").agg(F.min("doc_id").alias("first"))
+    # Of texts that occur more than once; a table of its own, so that copies of one text can be divided among tasks.
+    first = save(named.groupBy("t").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1").select("t", "first"))
     copies = named.join(first, "t").where("doc_id > first")
     gone = copies.withColumn("tokenizer_version", F.explode(F.array(F.lit("words-1"), F.lit("subwords-1"))))
     rollup.commit("3-delete", gone.select("doc_id", "source", "lang", "tokenizer_version", F.lit(0).cast("long").alias("n_tokens"), F.lit("delete").alias("op")))

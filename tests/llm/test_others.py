@@ -265,10 +265,49 @@ def test_rollup(spark, tmp_path):
     assert put("2", (1, "b", "en", "v", 12, "revise"), (2, "a", None, "v", 0, "delete"), (8, "a", "en", "v", 1, "delete"), (5, "a", "en", "w", 2, "revise"), (5, "a", "en", "w", 2, "revise"))
     assert totals() == {("b", "en", "v"): (1, 12), (None, "en", "v"): (1, 0), ("a", "en", "w"): (1, 2)}
     assert r.batches() == ["1", "2"] and r.current().count() == 3
-    # A batch that was cut off before its marker is written anew.
-    spark.createDataFrame([(1,)], "x int").write.parquet(str(tmp_path / "r/ledger/3"))
+    # What an attempt left that was cut off before its entry is never read.
+    spark.createDataFrame([(1,)], "x int").write.parquet(str(tmp_path / "r/ledger/cut off"))
+    (tmp_path / "r/log/_half").write_text("{")
     assert put("3", (1, "b", "en", "v", 0, "delete")) and ("b", "en", "v") not in totals()
     assert put("4") and len(totals()) == 2
+    # Compacted, all is as before, and names are remembered.
+    before, held = totals(), sorted(r.current().collect(), key=repr)
+    assert r.compact() and totals() == before and sorted(r.current().collect(), key=repr) == held and r.batches() == ["1", "2", "3", "4"]
+    assert not put("2", (1, "b", "en", "v", 12, "insert")) and put("5", (5, "a", "en", "w", 0, "delete")) and ("a", "en", "w") not in totals()
+    # A writer that another one overtakes starts again: both batches count, and the same batch counts once.
+    late = token_counts.TokenRollup(spark, str(tmp_path / "r"))
+    write = late._write
+
+    def overtaken(signed):
+        late._write = write
+        assert put("6", (70, "z", "en", "v", 4, "insert"))
+        return write(signed)
+
+    late._write = overtaken
+    assert late.commit("7", spark.createDataFrame([(70, "z", "en", "v", 9, "insert")], CHANGES)) and totals()["z", "en", "v"] == (1, 9)
+    late._write = lambda signed: (setattr(late, "_write", write), put("8", (71, "z", "en", "v", 1, "insert")), write(signed))[2]
+    assert not late.commit("8", spark.createDataFrame([(71, "z", "en", "v", 1, "insert")], CHANGES)) and totals()["z", "en", "v"] == (2, 10)
+
+
+def test_token_counts_against_brute_force(spark, tmp_path):
+    import base64
+
+    import tiktoken
+
+    draw = random.Random(14)
+    texts = [" ".join(draw.choice(["Über", "the", "naïve", "3.14", "\tx", "word\u00a0s"]) for _ in range(draw.randrange(30))) for _ in range(60)] + [None, ""]
+    docs = [(k, draw.choice(texts), draw.choice(["en", "de", None]), draw.choice(["a", "b", None])) for k in range(150)] + [(None, "no id", "en", "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(token_counts.TOKENIZER, "rb"))}
+    bpe = tiktoken.Encoding("x", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want: dict = {}
+    for d, t, lang, source in docs:
+        if d is not None and not any((u or "") == (t or "") and e is not None and e < d for e, u, *_ in docs):
+            for version, n in (("words-1", len((t or "").encode().split())), ("subwords-1", len(bpe.encode_ordinary(t or "")))):
+                a, b = want.get((source, lang, version), (0, 0))
+                want[source, lang, version] = (a + 1, b + n)
+    got = {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in token_counts.op8_token_counts(spark, str(tmp_path)).collect()}
+    assert got == want
 
 
 def test_subwords(spark):
