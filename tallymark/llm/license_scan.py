@@ -122,10 +122,14 @@ class Scanner:
         wanted = set().union(*(self.sets[k] for k in open_))
         most = max(self.most[k] for k in open_)
         full = [i for i, x in enumerate(lines) if x]
+        # Of many equal lines in a row the first two and the last make all the sets of bigrams that there are.
+        same = [lines[a] == lines[b] for a, b in zip(full, full[1:], strict=False)]
+        full = [i for p, i in enumerate(full) if not (2 <= p < len(full) - 1 and same[p - 2] and same[p - 1] and same[p])]
         for a, i in enumerate(full):
             run: set = set()
             last = None
-            for j in full[a:]:
+            for b in range(a, len(full)):
+                j = full[b]
                 words = lines[j]
                 new = bigrams(words if last is None else [last, *words])
                 if j == i and len(words) > 1 and not new & wanted:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, drop, read, save
+from .common import WORD, read, save, unused
 
 #: Documents that meet in one group of the reduction tree.
 FAN_IN = 128
@@ -112,7 +112,7 @@ def round_fractions(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     done, level, olds = [], 0, []
     now = rows.select("part", "k", "size", "f")
     while True:
-        counts = now.groupBy("part").agg(F.count("*").alias("n"))
+        counts = save(now.groupBy("part").agg(F.count("*").alias("n")))
         most = counts.agg(F.max("n")).first()[0] or 0
         if most == 0:
             break
@@ -192,17 +192,17 @@ def text_hash() -> Column:
 
 
 def take(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, fan_in: int = FAN_IN) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with all their columns, ``copies`` and ``taken``.
+    """The rows of ``docs`` that the mix takes, with all their columns, ``copies`` and ``taken`` (own ones are replaced).
 
     Rows that agree in doc_id, source and text come back as one, with the copies of all.
     """
-    names = [c for c in docs.columns if c not in ("copies", "taken")]
+    names = [c for c in docs.columns if c.lower() not in ("copies", "taken")]
+    own = docs.select(*names)
+    text, d, s, t = unused(own, "_text", "_d", "_s", "_t")
     counted = mix(docs.select("doc_id", "source", "text"), weights, share, most, fan_in)
-    counted = counted.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_text").alias("_t")).agg(
-        F.sum("copies").alias("copies"), F.sum("taken").alias("taken")
-    )
-    rows = docs.select(*names, text_hash().alias("_text")).dropDuplicates(["doc_id", "source", "_text"])
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_text") == F.col("_t"))
+    counted = counted.groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("_text").alias(t)).agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
+    rows = own.withColumn(text, text_hash()).dropDuplicates(["doc_id", "source", text])
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(text) == F.col(t))
     return rows.join(counted.where("copies > 0"), same).select(*names, "copies", "taken")
 
 

@@ -1,8 +1,9 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Score = sigmoid(bias + sum of term weights + sum over pairs of terms of the product of their factors / number of
-terms). The division keeps the pair part of long texts in bounds: pairs grow with the square of the length. It learns what a sum of term weights cannot: an insult next to a mention of a group counts for more than both
-alone, and a word that only quotes counts for less.
+terms). The division keeps the pair part of long texts in bounds: pairs grow with the square of the length. It learns
+what a sum of term weights cannot: an insult next to a mention of a group counts for more than both alone, and a word
+that only quotes counts for less.
 """
 
 from __future__ import annotations
@@ -72,10 +73,12 @@ class Machine:
         return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED, min_share: float = MIN_SHARE, rate: float = RATE, decay: tuple[float, float] = DECAY) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, totals: tuple[int, int] | None = None, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED, min_share: float = MIN_SHARE, rate: float = RATE, decay: tuple[float, float] = DECAY) -> Machine:
     """Logistic loss, Adam over small batches, decay on weights and factors.
 
-    Rows of the rarer class weigh more, by the root of how much rarer it is.
+    ``totals``: rows of class 0 and 1 that ``rows`` were drawn from, if they are a sample. Rows of the rarer class
+    weigh more, by the root of how much rarer it is, and a sampled row stands for as many as there are of its class, so
+    what is called toxic does not shift with the size of a table.
     """
     known = np.full(1 << BITS, -1, np.int64)
     if rows:
@@ -85,10 +88,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epoc
     rng = np.random.default_rng(seed)
     m = int((known >= 0).sum())
     w, v = np.zeros(m), rng.normal(0, 0.01, (m, factors))
-    share = (labels.sum() + 1) / (len(labels) + 2)
+    taken = np.array([(labels <= 0).sum(), (labels > 0).sum()], float)
+    there = np.array(totals or taken, float) + 1
+    share = there[1] / there.sum()
     bias = float(np.log(share / (1 - share)))
-    ratio = np.sqrt((len(labels) - labels.sum() + 1) / (labels.sum() + 1))
-    weight = np.where(labels > 0, max(1.0, ratio), max(1.0, 1 / ratio))
+    each = np.sqrt(there * there.max()) / (taken + 1)
+    weight = (each / each[there.argmax()])[(labels > 0).astype(int)]
     packed = [known[r][known[r] >= 0] for r in rows]
     moment = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
     t = 0
@@ -134,6 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
         .groupBy("doc_id")
         .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
+    counted = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    totals = counted.get(0, 0), counted.get(1, 0)
     order = F.xxhash64(F.lit(SEED), "doc_id")
     chosen = usable.where("toxic = 1").orderBy(order, "doc_id").limit(fit_rows).union(usable.where("toxic = 0").orderBy(order, "doc_id").limit(fit_rows))
 
@@ -149,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     def learn(batches):
         # The bounded sample, in one task: the driver gets the finished machine alone.
         got = sorted((d, t, y) for b in batches for d, y, t in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True))
-        machine = fit([np.frombuffer(t, np.int32).astype(np.int64) for _, t, _ in got], np.array([y for *_, y in got], float))
+        machine = fit([np.frombuffer(t, np.int32).astype(np.int64) for _, t, _ in got], np.array([y for *_, y in got], float), totals)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], ["machine"])
 
     return pickle.loads(taken.repartition(1).mapInArrow(learn, "machine binary").first()[0])

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallymark.llm import common, embedding_dedup, jaccard_join, line_dedup
@@ -259,7 +260,8 @@ def test_keep_one_of_repeated_rows(spark):
     draw = random.Random(6)
     x, y, z = (" ".join(draw.choice("abcdefghijklmnopqrstuvwxyz") * draw.randrange(1, 4) for _ in range(60)) for _ in range(3))
     rows = [(1, x, "a")] * 40 + [(2, x, "b"), (3, y, "c"), (3, y, "c"), (3, z, "d"), (4, z + " more", "e"), (None, x, "f"), (None, x, "f"), (6, "", "g"), (6, None, "h"), (7, x + " end", "i"), (7, "apart", "j"), (8, "apart then", "k")]
-    got = jaccard_join.keep_one(spark.createDataFrame(rows, f"{DOCS}, note string").repartition(5)).collect()
+    df = spark.createDataFrame(rows, f"{DOCS}, note string").withColumns({c: F.lit(1) for c in ("_id", "_mark", "_Row", "_gone", "component_id")})
+    got = jaccard_join.keep_one(df.repartition(5)).collect()
     first = min(y, z)
     assert sorted((r.doc_id or 0, r.text or "", r.note) for r in got) == sorted([(0, x, "f"), (0, x, "f"), (1, x, "a"), (3, first, "c" if first == y else "d"), (6, "", "h"), (7, "apart", "j"), (8, "apart then", "k")])
 

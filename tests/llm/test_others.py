@@ -157,8 +157,10 @@ def test_mix(spark, fan_in):
     key = lambda x: sorted((repr(r) for r in x))
     assert key(rows) == key(mixing.mix(df.repartition(7), fan_in=fan_in).collect())
     assert mixing.mix(df.limit(0)).count() == 0
-    out = mixing.take(df.withColumn("copies", F.lit("own")), fan_in=fan_in)
-    assert out.agg(F.sum("taken")).first()[0] == sum(taken.values()) and "text" in out.columns
+    clash = ["Copies", "_text", "_d", "_s", "_t", "part"]
+    out = mixing.take(df.withColumns({c: F.lit("own") for c in clash}), fan_in=fan_in)
+    assert out.agg(F.sum("taken")).first()[0] == sum(taken.values())
+    assert out.columns == ["doc_id", "text", "source", *clash[1:], "copies", "taken"] and out.first()["_s"] == "own"
 
 
 def test_rounding_has_the_right_expectation(spark):
@@ -195,6 +197,32 @@ def test_machine_learns_interactions():
     assert np.mean(got == np.array([y for *_, y in rows[2000:]])) > 0.95
 
 
+def test_margins_against_a_loop_over_pairs():
+    rng = np.random.default_rng(6)
+    known = np.full(1 << toxicity.BITS, -1, np.int64)
+    known[:30] = rng.permutation(30)
+    machine = toxicity.Machine(0.3, rng.normal(size=30), rng.normal(size=(30, 4)), known)
+    rows = [rng.choice(45, n, replace=False) for n in (0, 1, 2, 9, 40)]  # some terms are unknown
+    got = machine.margins(np.concatenate(rows).astype(np.int64), np.array([len(r) for r in rows]))
+    for r, margin in zip(rows, got):
+        at = [int(known[x]) for x in r if known[x] >= 0]
+        pairs = sum(float(machine.factors[a] @ machine.factors[b]) for i, a in enumerate(at) for b in at[:i])
+        assert abs(margin - (0.3 + sum(machine.weights[a] for a in at) + pairs / max(1, len(at)))) < 1e-9
+
+
+def test_a_sample_of_one_class_does_not_shift_scores():
+    memory: dict = {}
+    rows = toxic_rows(3000, 5)
+    found, y = [toxicity.terms(t, memory) for _, t, _ in rows], np.array([y for *_, y in rows], float)
+    toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    some = np.concatenate([toxic[:400], clean[:400]])
+    of = lambda x: x.margins(np.concatenate(found[:500]), np.array([len(t) for t in found[:500]])).mean()
+    full = of(toxicity.fit(found, y))
+    told = of(toxicity.fit([found[k] for k in some], y[some], (len(clean), len(toxic))))
+    untold = of(toxicity.fit([found[k] for k in some], y[some]))
+    assert abs(told - full) < abs(untold - full)
+
+
 def test_scores(spark):
     rows = toxic_rows(1500, 2)
     docs = spark.createDataFrame([(k, t, "own") for k, t, _ in rows] + [(None, None, ""), (9000, "", ""), (9000, "", "")], "doc_id long, text string, score string")
@@ -245,6 +273,9 @@ def test_licenses_against_brute_force(spark):
     got = {r.doc_id: {m.license: (m.dice, m.first_line, m.last_line) for m in r.matches} for r in license_scan.scan_licenses(docs).collect()}
     want = {k: brute_licenses(t, license_scan.TEMPLATES, 0.8) for k, t in enumerate(texts)}
     assert got == want and sum(map(len, want.values())) > 150
+    many = "\n".join(["the"] * 200_000 + ["Released under the MIT License."])
+    (m,) = license_scan.scan_licenses(spark.createDataFrame([(1, many)], DOCS)).first().matches
+    assert (m.license, m.first_line) == ("mit", 200_000)
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
