@@ -43,7 +43,7 @@ PERCENT = 85
 #: Lists of more documents than this are long.
 LONG = 48
 #: Documents of a block of a candidate group, and of a large group at least; a task holds two blocks.
-BLOCK = 1000
+BLOCK = 500
 #: Leaders that members of a large group are compared with, one after the other.
 LEADERS = 3
 #: Weight of a long list's length in DivideSkip's choice of how many lists to set aside.
@@ -262,9 +262,10 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, long_: int = LONG, blo
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(id, set) of the classes ``wanted`` (id)."""
-        # One document of each class tells its set; what other texts it has are sets of other classes.
+        # One document of each class tells its set; what other texts it has are sets of other classes. The holders are
+        # a share of all documents: a merge join at every size, no broadcast.
         holders = earliest.join(wanted.select(F.col("id").alias("cls")), "cls", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-        texts = own.select("doc_id", "text").where("doc_id is not null").join(holders, "doc_id", "left_semi")
+        texts = own.select("doc_id", "text").where("doc_id is not null").join(holders.hint("merge"), "doc_id", "left_semi")
         sets = texts.mapInArrow(whole, "key binary, set binary").groupBy(F.xxhash64("key").alias("id")).agg(F.max("set").alias("set"))
         return sets.join(wanted, "id", "left_semi")
 
@@ -275,10 +276,13 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, long_: int = LONG, blo
     deep = save(_deep(held, percent, long_).select(F.col("cls").alias("id")))
     candidates = save(_pairs(held, percent, long_))
     drop(held)
+    # Whoever is in a group is one of these.
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("id"))
+    sets = save(sets_of(save(ends.union(deep).distinct())))
 
     # By the rarest shingles, those that long lists could hide.
     if not deep.isEmpty():
-        spread = save(sets_of(deep).select(F.col("id").alias("cls"), (F.octet_length("set") / 8).cast("long").alias("n"), F.col("set").alias("firsts")).mapInArrow(postings, "h long, cls long, n long"))
+        spread = save(sets.join(deep, "id", "left_semi").select(F.col("id").alias("cls"), (F.octet_length("set") / 8).cast("long").alias("n"), F.col("set").alias("firsts")).mapInArrow(postings, "h long, cls long, n long"))
         often = save(spread.groupBy("h").agg(F.count("*").alias("often")))
         place = F.row_number().over(Window.partitionBy("cls").orderBy("often", "h"))
         shown = F.col("n") - F.ceil(F.col("n") * percent / 100) + _least_shown(F.col("n"), percent)
@@ -297,7 +301,8 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, long_: int = LONG, blo
 
     # Search within groups: small ones share a task.
     counts = save(groups.groupBy("component").agg(F.count("*").alias("size")))
-    members = save(groups.join(sets_of(groups.select("id")), "id").join(counts, "component"))
+    members = save(groups.join(sets, "id").join(counts, "component"))
+    drop(sets)
     total = members.where(F.col("size") <= block).count()
     shard = F.pmod(F.xxhash64("component"), F.lit(max(1, -(-total // block))))
     small = members.where(F.col("size") <= block).select("id", "component", "set", shard.alias("shard"), *[F.lit(-1).alias(k) for k in ("own", "lo", "hi")], F.lit(False).alias("settled"))
