@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+# Fixed value: how a prompt says that a count is meant to the unit.
+EXACT = "exactly"
+
 # Topics and the word an answer must contain.
 TOPICS = (
     ("the water cycle", "condensation"),

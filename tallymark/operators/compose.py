@@ -1,4 +1,4 @@
-"""Answers made to measure: composed ones that meet a target exactly, and the baselines that do or do not."""
+"""Answers made to measure: composed ones that hit a target, and the baselines that do or do not."""
 
 from __future__ import annotations
 
@@ -79,7 +79,7 @@ def paragraphs_answer(n: Column, keyword: Column, item: Column) -> Column:
 
 
 def fill(n: int, keyword: str, item: str) -> str | None:
-    """A text of exactly n code points that holds the keyword; null when n is too small for it."""
+    """A text of n code points that holds the keyword; null when n is too small for it."""
     text = keyword[:1].upper() + keyword[1:]
     left = n - len(text) - 1
     if left < 0:

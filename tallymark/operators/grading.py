@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charclass as cc
 from ..functions import counters as c
+from ..functions.vocabulary import EXACT
 
 MODES = ("exact", "at_most", "at_least")
 # Bounds of the histogram of errors.
@@ -16,7 +17,7 @@ BUCKETS = ("<=-10", "-9..-5", "-4..-2", "-1", "0", "+1", "+2..+4", "+5..+9", ">=
 _FENCE = rf"(?s)\A{cc.SPACE}*```[a-zA-Z0-9_+-]*{cc.SPACE}*\n(.*?)\n{cc.SPACE}*```{cc.SPACE}*\z"
 _PREAMBLE = r"\A[^\n]{0,120}:[ \t]*\n"
 _SELF_COUNT = (
-    rf"(?i)(?:\n{cc.SPACE_IN_LINE}*\(?{cc.SPACE_IN_LINE}*(?:that is |this is |exactly )?\p{{Nd}}+{cc.SPACE_IN_LINE}+"
+    rf"(?i)(?:\n{cc.SPACE_IN_LINE}*\(?{cc.SPACE_IN_LINE}*(?:that is |this is |{EXACT} )?\p{{Nd}}+{cc.SPACE_IN_LINE}+"
     rf"(?:words?|characters?|chars?|sentences?|bullets?|lines?|paragraphs?|items?)(?![\p{{L}}\p{{N}}_])[^\n]*)+\z"
 )
 
@@ -80,7 +81,7 @@ def answers_of(items: DataFrame, responses: DataFrame, system: bool = True) -> D
     if not system:
         return items.join(responses.select("id", "response"), "id", "left")
     systems = responses.select("system").distinct()
-    return items.crossJoin(F.broadcast(systems)).join(responses.select("system", "id", "response"), ["system", "id"], "left")
+    return items.crossJoin(systems).join(responses.select("system", "id", "response"), ["system", "id"], "left")
 
 
 def grade(rows: DataFrame, rules: dict[str, str] | None = None, lenient: bool = False) -> DataFrame:

@@ -35,7 +35,7 @@ def _by(value: Column, table: dict[str, str]) -> Column:
 def constraint_text(dimension: Column, mode: Column, target: Column, unique: Column) -> Column:
     """The constraint as a prompt states it; an unknown mode fails the query."""
     amount = (
-        F.when(mode == "exact", "exactly")
+        F.when(mode == "exact", v.EXACT)
         .when(mode == "at_most", "no more than")
         .when(mode == "at_least", "at least")
         .otherwise(F.raise_error(F.concat(F.lit("no such mode: "), F.coalesce(mode, F.lit("null")))).cast("string"))

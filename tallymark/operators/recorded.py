@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .items import prompt_digest
 
 #: Share of cut-off answers above which a recording is refused.
@@ -48,8 +49,12 @@ def missing_items(recorded: DataFrame, items: DataFrame) -> DataFrame:
     return items.join(recorded.select("id"), "id", "left_anti")
 
 
-def pending_rows(items: DataFrame, recorded: DataFrame, budget: int) -> DataFrame:
-    """(id, reason) of items to ask (again): no answer, an error, or cut off at a smaller budget than ``budget``."""
+def pending_rows(items: DataFrame, recorded: DataFrame, budget: int, limit: int | None = None, order: str = "id") -> DataFrame:
+    """(id, reason) of items to ask (again): no answer, an error, or cut off at a smaller budget than ``budget``.
+
+    With ``limit`` only the first so many items are considered, by ``order``.
+    """
+    items = items if limit is None else items.orderBy(order).limit(limit)
     r = recorded.select("id", F.lit(True).alias("_there"), "error", "truncated", "num_predict")
     reason = (
         F.when(F.col("_there").isNull(), "missing")
@@ -60,7 +65,7 @@ def pending_rows(items: DataFrame, recorded: DataFrame, budget: int) -> DataFram
 
 
 def notes(recorded: DataFrame, by: str = "system") -> DataFrame:
-    """Per system: rows, transport_errors, truncated and its share, max_thinking_chars, budgets, truncated_ids."""
+    """Per system: rows, transport_errors, truncated and its share, max_thinking_chars, budgets. See ``cut_off`` for the ids."""
     cut = F.coalesce("truncated", F.lit(False))
     return recorded.groupBy(by).agg(
         F.count("*").alias("rows"),
@@ -69,10 +74,19 @@ def notes(recorded: DataFrame, by: str = "system") -> DataFrame:
         F.bround(F.count_if(cut) / F.count("*"), 4).alias("truncated_share"),
         F.max(F.coalesce("thinking_chars", F.lit(0))).alias("max_thinking_chars"),
         F.sort_array(F.collect_set(F.coalesce("num_predict", F.lit(0)))).alias("num_predict"),
-        F.sort_array(F.collect_list(F.when(cut, F.col("id")))).alias("truncated_ids"),
     )
 
 
+def cut_off(recorded: DataFrame) -> DataFrame:
+    """(system, id) of answers that were cut off."""
+    return recorded.where(F.coalesce("truncated", F.lit(False))).select("system", "id")
+
+
+def repeated_ids(rows: DataFrame, key: str = "id") -> DataFrame:
+    """(key, n) of keys that more than one row has: none, where they should be distinct."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def accept(recorded: DataFrame, items: DataFrame) -> DataFrame:
     """(system, id, response) of recordings that may be graded; else the first reason to refuse, in this order:
     stale or unknown answers, missing answers, too many cut off. Only counts and one id reach the driver."""
@@ -81,7 +95,7 @@ def accept(recorded: DataFrame, items: DataFrame) -> DataFrame:
     if n:
         raise Stale(f"{n} stale answer(s), the first of {first}")
     systems = recorded.select("system").distinct()
-    gone = items.select("id").crossJoin(F.broadcast(systems)).join(recorded.select("system", "id"), ["system", "id"], "left_anti")
+    gone = items.select("id").crossJoin(systems).join(recorded.select("system", "id"), ["system", "id"], "left_anti")
     n, first = gone.agg(F.count("*"), F.min("id")).first()
     if n:
         raise Partial(f"{n} item(s) without an answer, the first is {first}")
@@ -111,12 +125,12 @@ def compare_tallies(claimed: DataFrame, found: DataFrame, by: list[str], fields:
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node) reachable from ``start`` (node) over ``edges`` (src, dst), the start included.
 
-    One join a level; a level's nodes are kept, so no level is worked out twice. Cycles end, as nodes that were
-    reached before are not followed again.
+    One join a level. Each level, and what it comes to, is a table in the shared folder, so lineage stays short. Cycles
+    end, as nodes that were reached before are not followed again.
     """
-    frontier = start.select("node").distinct().persist()
+    frontier = written(start.select("node").distinct())
     reached = frontier
     while not frontier.isEmpty():
-        frontier = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti").persist()
-        reached = reached.union(frontier)
+        frontier = written(frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti"))
+        reached = written(reached.union(frontier))
     return reached

@@ -130,11 +130,11 @@ def sensitivity_worst(summary: DataFrame) -> DataFrame:
 
 
 def packaging(rows: DataFrame) -> DataFrame:
-    """Per system: strict_rate, lenient_rate, packaging_gap_points, responses_unwrapped."""
-    strict = grade(rows).select("system", "id", F.col("compliant").alias("strict"))
-    lenient = grade(rows, lenient=True).select("system", "id", F.col("compliant").alias("lenient"), (F.size("unwrapped") > 0).alias("u"))
-    grouped = strict.join(lenient, ["system", "id"]).groupBy("system").agg(
-        rate(F.col("strict")).alias("strict_rate"), rate(F.col("lenient")).alias("lenient_rate"), F.count_if("u").alias("responses_unwrapped")
+    """Per system: strict_rate, lenient_rate, packaging_gap_points, responses_unwrapped. Both verdicts on a row at once."""
+    strict = grade(rows).select(*rows.columns, F.col("compliant").alias("strict"))
+    both = grade(strict, lenient=True)
+    grouped = both.groupBy("system").agg(
+        rate(F.col("strict")).alias("strict_rate"), rate(F.col("compliant")).alias("lenient_rate"), F.count_if(F.size("unwrapped") > 0).alias("responses_unwrapped")
     )
     return grouped.withColumn("packaging_gap_points", F.bround((F.col("lenient_rate") - F.col("strict_rate")) * 100, 2))
 
@@ -147,18 +147,28 @@ def leaderboard(scores: DataFrame, order: DataFrame | None = None) -> DataFrame:
     return ranked.withColumn("place", F.row_number().over(Window.orderBy(F.desc("rate"), "_ord"))).drop("_ord")
 
 
-def headline(board: DataFrame, worst: DataFrame, kinds: DataFrame) -> DataFrame:
-    """One row: systems, models, best_model and its rate, the largest sensitivity and whose it is, medians by system."""
-    rows = board.join(kinds, "system").join(worst.select("system", F.col("spread_points").alias("spread"), F.col("dimension").alias("moved"), "median_spread_points"), "system")
+#: Baselines whose rates are quoted, by the name of the figure.
+QUOTED = {"filler_keyword_rate": "filler_keyword", "ignore_rate": "ignore", "reference_rate": "reference"}
+
+
+def headline(board: DataFrame, worst: DataFrame, kinds: DataFrame, quoted: dict[str, str] | None = None) -> DataFrame:
+    """One row: systems, models, best_model and its rate, rates of the baselines that are ``quoted`` (null without one),
+    the largest sensitivity, whose it is and between which rules, medians by system."""
+    quoted = QUOTED if quoted is None else quoted
+    rows = board.join(kinds, "system").join(worst.select("system", F.col("spread_points").alias("spread"), F.col("dimension").alias("moved"), "from_dialect", "to_dialect", "median_spread_points"), "system")
     model = F.col("kind") == "model"
     first = F.struct((-F.col("rate")).alias("r"), "system")
+    widest = F.struct((-F.col("spread")).alias("s"), "system")
     return rows.agg(
         F.count("*").alias("systems"),
         F.count_if(model).alias("models"),
         F.min_by(F.when(model, F.col("system")), F.when(model, first)).alias("best_model"),
         F.max(F.when(model, F.col("rate"))).alias("best_model_rate"),
-        F.min_by("system", F.struct((-F.col("spread")).alias("s"), "system")).alias("largest_system"),
-        F.min_by("moved", F.struct((-F.col("spread")).alias("s"), "system")).alias("largest_dimension"),
+        *[F.max(F.when(F.col("system") == s, F.col("rate"))).alias(k) for k, s in quoted.items()],
+        F.min_by("system", widest).alias("largest_system"),
+        F.min_by("moved", widest).alias("largest_dimension"),
+        F.min_by("from_dialect", widest).alias("largest_from"),
+        F.min_by("to_dialect", widest).alias("largest_to"),
         F.max("spread").alias("largest_spread_points"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("system", "median_spread_points")))).alias("medians"),
     )
@@ -172,3 +182,24 @@ def undetermined(graded: DataFrame, truncated: DataFrame, by: list[str]) -> Data
         .otherwise(F.col("observed") < F.col("target"))
     )
     return graded.join(truncated, by + ["id"], "left_semi").groupBy(*by).agg(F.count_if(open_).alias("undetermined"), F.count("*").alias("truncated"))
+
+
+def detailed(board: DataFrame, kinds: DataFrame, shown: tuple[str, ...] = ("reference", "filler_keyword", "approximate")) -> DataFrame:
+    """The board's rows that detail tables show, all models and some baselines, with ``line``: models first, by falling rate."""
+    rows = board.join(kinds.select("system", "kind"), "system").where((F.col("kind") == "model") | F.col("system").isin(*shown))
+    # One row a system.
+    order = Window.orderBy(F.col("kind") != "model", F.desc("rate"), "place")
+    return rows.withColumn("line", F.row_number().over(order))
+
+
+def caveats(notes: DataFrame, open_: DataFrame) -> DataFrame:
+    """(system, caveat) for recordings with answers that were cut off: how many, at which budget, and how many are in doubt.
+
+    ``notes`` as ``recorded.notes`` has them, ``open_`` as ``undetermined``.
+    """
+    rows = notes.where("truncated > 0").join(open_.select("system", "undetermined"), "system", "left")
+    text = F.format_string(
+        "%d of %d answers (%.1f%%) were cut off at a budget of %d tokens, after at most %d characters of reasoning; %d of them could still have met their count",
+        "truncated", "rows", F.col("truncated_share") * 100, F.coalesce(F.array_max("num_predict"), F.lit(0)), "max_thinking_chars", F.coalesce("undetermined", F.lit(0)),
+    )
+    return rows.select("system", text.alias("caveat"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from ..functions import charclass as cc
 from ..functions.counters import COUNTED, DIALECTS, PUBLISHED
+from ..functions.vocabulary import EXACT
 
 
 def q(text: str) -> str:
@@ -154,7 +155,7 @@ def unwrap_sql(source: str) -> str:
     fence = rf"(?s)\A{SPACE}*```[a-zA-Z0-9_+-]*{SPACE}*\n(.*?)\n{SPACE}*```{SPACE}*\z"
     preamble = r"\A[^\n]{0,120}:[ \t]*\n"
     tail = (
-        rf"(?i)(?:\n{IN_LINE}*\(?{IN_LINE}*(?:that is |this is |exactly )?\p{{Nd}}+{IN_LINE}+"
+        rf"(?i)(?:\n{IN_LINE}*\(?{IN_LINE}*(?:that is |this is |{EXACT} )?\p{{Nd}}+{IN_LINE}+"
         r"(?:words?|characters?|chars?|sentences?|bullets?|lines?|paragraphs?|items?)(?:[^\p{L}\p{N}_\n][^\n]*)?)+\z"
     )
     first = has(tokens("split_part(b1, chr(10), 1)"))

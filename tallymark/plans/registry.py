@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import counters as c
 from ..functions.probes import PROBES
-from ..functions.vocabulary import HEADINGS, NOUNS, TAIL
-from ..operators import compose, items, recorded, scan, scoring
+from ..functions.vocabulary import EXACT, HEADINGS, NOUNS, TAIL
+from ..operators import compose, items, recorded, recount, scan, scoring
 from ..operators.grading import answers_of, grade, keyword_present, unwrap
 from . import duck
 
 # ---- inputs, in both engines -----------------------------------------------------------------------------------
 
+DEAL_CONF = "spark.tallymark.deal"
 _DRESS = r"""
 array_join(transform(split(text, '\n'), (l, i) -> concat(
   element_at(array('- ', '  - ', '1. ', '', '* '), cast(i % 5 + 1 as int)), l, if(i % 4 = 3, '\n', ''))), '\n')"""
@@ -33,15 +34,14 @@ TEXTS_SQL = f"SELECT doc_id k, doc_id, source, lang, {DRESSED_SQL} t FROM docume
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One table of a data directory. Documents of a file too small to split are dealt out to all cores.
+    """One table of a data directory.
 
-    A table of as many splits as there are cores is not shuffled.
+    With the setting DEAL_CONF, documents are dealt out to so many partitions: for tables of one row group, which Spark
+    cannot split. Tables of many files need no shuffle, so nothing is dealt out unless it is asked for.
     """
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if table == "documents" and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    parts = int(spark.conf.get(DEAL_CONF, "0"))
+    return df.repartition(parts) if parts and table == "documents" else df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,10 +375,14 @@ def leaderboard(spark, sf_dir):
 gr AS (SELECT system, NOT gone AND t <> '' AND {duck.satisfied(duck.by_dimension())} AND {duck.keyword("t", "keyword")}
   AND (NOT "unique" OR NOT ({duck.duplicated("normalized")})) compliant FROM g0),
 rates AS (SELECT system, round_even(count_if(compliant) / count(*), 4) rate, CASE WHEN system < 'src2' THEN 'model' ELSE 'baseline' END kind FROM gr GROUP BY system),
-a AS (SELECT rates.*, spread_points, CASE WHEN spread_points > 0 THEN b[1] END moved FROM rates JOIN worst USING (system))
+a AS (SELECT rates.*, spread_points, CASE WHEN spread_points > 0 THEN b[1] END moved, CASE WHEN spread_points > 0 THEN b[2] END from_dialect,
+  CASE WHEN spread_points > 0 THEN b[3] END to_dialect, median_spread_points FROM rates JOIN worst USING (system))
 SELECT count(*) systems, count_if(kind = 'model') models, arg_min(system, (-rate, system)) FILTER (WHERE kind = 'model') best_model,
   max(rate) FILTER (WHERE kind = 'model') best_model_rate, arg_min(system, (-spread_points, system)) largest_system,
-  arg_min(moved, (-spread_points, system)) largest_dimension, max(spread_points) largest_spread_points FROM a"""
+  max(rate) FILTER (WHERE system = 'src2') filler_keyword_rate, max(rate) FILTER (WHERE system = 'src3') ignore_rate, max(rate) FILTER (WHERE system = 'none') reference_rate,
+  arg_min(moved, (-spread_points, system)) largest_dimension, max(spread_points) largest_spread_points,
+  arg_min(from_dialect, (-spread_points, system)) largest_from, arg_min(to_dialect, (-spread_points, system)) largest_to,
+  string_agg(system || '=' || median_spread_points, ',' ORDER BY system) medians FROM a"""
 )
 def headline(spark, sf_dir):
     """The figures that a reader quotes."""
@@ -386,7 +390,20 @@ def headline(spark, sf_dir):
     worst = scoring.sensitivity_worst(scoring.sensitivity_summary(scoring.sensitivity(rows)))
     board = scoring.leaderboard(scoring.score(grade(rows)))
     kinds = board.select("system", F.when(F.col("system") < "src2", "model").otherwise("baseline").alias("kind"))
-    return scoring.headline(board, worst, kinds).drop("medians")
+    made = scoring.headline(board, worst, kinds, {"filler_keyword_rate": "src2", "ignore_rate": "src3", "reference_rate": "none"})
+    return made.withColumn("medians", F.array_join(F.transform(F.map_entries("medians"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+
+
+@query(
+    f"""{GRADED_SQL}, s AS (SELECT system, count(*) n, round_even(count_if(compliant) / count(*), 4) rate FROM graded GROUP BY system),
+p AS (SELECT *, row_number() OVER (ORDER BY rate DESC, system) place FROM s)
+SELECT system, rate, row_number() OVER (ORDER BY system >= 'src2', rate DESC, place) line FROM p WHERE system < 'src2' OR system IN ('src4', 'src7')"""
+)
+def detail_lines(spark, sf_dir):
+    """Systems in detail tables: models first, then some baselines."""
+    board = scoring.leaderboard(scoring.score(graded(spark, sf_dir)))
+    kinds = board.select("system", F.when(F.col("system") < "src2", "model").otherwise("baseline").alias("kind"))
+    return scoring.detailed(board, kinds, ("src4", "src7")).select("system", "rate", "line")
 
 
 def _control(system: str, count_ok: str, keyword_ok: str):
@@ -394,7 +411,7 @@ def _control(system: str, count_ok: str, keyword_ok: str):
 
     def run(spark, sf_dir):
         asked = questions(spark, sf_dir).drop("text").withColumn("keyword", F.lit("yeast"))
-        asked = asked.withColumn("target", F.when(F.col("dimension") == "chars", F.greatest("target", F.lit(20))).otherwise(F.least("target", F.lit(40))))
+        asked = asked.withColumn("target", F.when(F.col("dimension") == "chars", F.greatest("target", F.lit(20))).otherwise(F.col("target")))
         g = grade(asked.join(compose.baseline(asked, system).drop("system"), "id", "left"))
         return g.groupBy("dimension").agg(F.count("*").alias("n"), F.count_if("count_ok").alias("count_ok"), F.count_if("keyword_ok").alias("keyword_ok"))
 
@@ -429,7 +446,7 @@ def _map_sql(column: str, table: dict[str, str]) -> str:
 
 
 _PROMPT_SQL = f"""'Write about ' || source || '.' || chr(10) || chr(10) || 'Your answer must contain the word "' || keyword || '".' || chr(10) || chr(10) ||
-  'CONSTRAINT: ' || CASE mode WHEN 'exact' THEN 'exactly ' WHEN 'at_most' THEN 'no more than ' ELSE 'at least ' END || target || ' ' || {_map_sql("dimension", NOUNS)} ||
+  'CONSTRAINT: ' || CASE mode WHEN 'exact' THEN '{EXACT} ' WHEN 'at_most' THEN 'no more than ' ELSE 'at least ' END || target || ' ' || {_map_sql("dimension", NOUNS)} ||
   CASE WHEN "unique" THEN ', and no two of them may say the same thing' ELSE '' END || '.' || chr(10) || chr(10) ||
   {_map_sql("dimension", HEADINGS)} || '. Your answer is checked against this rule and no other:' || chr(10) ||
   CASE WHEN "unique" THEN {_map_sql("dimension", {d: c.explain(d, True) for d in NOUNS})} ELSE {_map_sql("dimension", {d: c.explain(d) for d in NOUNS})} END ||
@@ -513,12 +530,35 @@ def pending_rows(spark, sf_dir):
 @query(
     f"""{_RECORDED_SQL} SELECT system, count(*) "rows", count(error) transport_errors, count_if(truncated) truncated,
 round_even(count_if(truncated) / count(*), 4) truncated_share, max(thinking_chars) max_thinking_chars,
-array_to_string(list_sort(list(DISTINCT num_predict)), ',') num_predict, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE truncated), '') truncated_ids FROM rec GROUP BY system"""
+array_to_string(list_sort(list(DISTINCT num_predict)), ',') num_predict FROM rec GROUP BY system"""
 )
 def fixture_notes(spark, sf_dir):
     """What a board says about each recording."""
     n = recorded.notes(_recordings(spark, sf_dir))
-    return n.withColumns({"num_predict": F.array_join("num_predict", ","), "truncated_ids": F.array_join("truncated_ids", ",")})
+    return n.withColumn("num_predict", F.array_join("num_predict", ","))
+
+
+@query(f"{_RECORDED_SQL} SELECT system, id FROM rec WHERE truncated")
+def truncated_rows(spark, sf_dir):
+    """Answers that were cut off."""
+    return recorded.cut_off(_recordings(spark, sf_dir))
+
+
+@query(
+    f"""{_RECORDED_SQL}, first AS (SELECT id FROM items ORDER BY id LIMIT 25)
+SELECT id, reason FROM (SELECT first.id, CASE WHEN rec.id IS NULL THEN 'missing' WHEN error IS NOT NULL THEN 'error'
+WHEN truncated AND num_predict < 4000 THEN 'outgrown' END reason FROM first LEFT JOIN rec USING (id)) WHERE reason IS NOT NULL"""
+)
+def pending_of_first(spark, sf_dir):
+    """Of the first 25 items (the limit is what is asked for), those to ask again."""
+    return recorded.pending_rows(_prompts(spark, sf_dir), _recordings(spark, sf_dir), 4000, limit=25)
+
+
+@query("SELECT s_nationkey AS nation, count(*) n FROM supplier GROUP BY 1 HAVING count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    """Keys that more than one row has."""
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"))
+    return recorded.repeated_ids(rows, "nation")
 
 
 @query(
@@ -552,12 +592,53 @@ def alternatives(spark, sf_dir):
     return other.select("dimension", "dialect", (F.array_position("dialects", F.col("dialect")) - 1).cast("int").alias("pos"))
 
 
-@query(f"{GRADED_SQL} SELECT system, count_if(compliant) claimed_compliant, count_if(compliant) - 1 found_compliant FROM graded WHERE system IN ('src1', 'src5') GROUP BY system")
+_TALLIES = ["compliant", "count_ok", "keyword_ok", "unique_ok"]
+
+
+@query(
+    f"""{GRADED_SQL}, t AS (SELECT system, {", ".join(f"count_if({f}) {f}" for f in _TALLIES)} FROM graded GROUP BY system)
+SELECT system, field, tally claimed, tally recounted, true agree FROM (UNPIVOT t ON {", ".join(_TALLIES)} INTO NAME field VALUE tally)"""
+)
+def recount_tallies(spark, sf_dir):
+    """Four tallies of each system, claimed by the grades and recounted from the raw answers by other code."""
+    rows = answered(spark, sf_dir)
+    claimed = scoring.score(grade(rows)).where("family is null").select("system", *[F.col(f).alias(f"a_{f}") for f in _TALLIES])
+    both = claimed.join(recount.tallies(rows, c.PUBLISHED), "system", "full_outer")
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"a_{f}").alias("claimed"), F.col(f).alias("recounted")) for f in _TALLIES]))
+    return both.select("system", pairs.alias("x")).select("system", "x.*", F.col("x.claimed").eqNullSafe(F.col("x.recounted")).alias("agree"))
+
+
+@query(f"{SUMMARY_SQL} SELECT system, spread_points claimed, spread_points recounted FROM summary WHERE dimension = 'words'")
+def recount_words(spark, sf_dir):
+    """How far the rules for words move each system, claimed and recounted."""
+    rows = answered(spark, sf_dir)
+    claimed = scoring.sensitivity_summary(scoring.sensitivity(rows)).where("dimension = 'words'").select("system", F.col("spread_points").alias("claimed"))
+    return claimed.join(recount.words_spread(rows).withColumnRenamed("spread_points", "recounted"), "system", "full_outer")
+
+
+@query(
+    f"""{GRADED_SQL}, t AS (SELECT system, count_if(compliant) claimed_compliant, count_if(compliant AND doc_id % 3 <> 0) found_compliant FROM graded GROUP BY system)
+SELECT * FROM t WHERE claimed_compliant <> found_compliant"""
+)
 def recount_compare(spark, sf_dir):
-    """Tallies that two counts disagree on; here the second is wrong on purpose about two systems."""
-    claimed = scoring.score(graded(spark, sf_dir)).where("family is null").select("system", "compliant")
-    found = claimed.withColumn("compliant", F.when(F.col("system").isin("src1", "src5"), F.col("compliant") - 1).otherwise(F.col("compliant")))
-    return recorded.compare_tallies(claimed, found, ["system"], ["compliant"])
+    """Tallies that a recount does not agree with: it was given answers of which a third were lost."""
+    rows = answered(spark, sf_dir)
+    claimed = scoring.score(grade(rows)).where("family is null").select("system", "compliant")
+    lost = rows.withColumn("response", F.when(F.col("doc_id") % 3 != 0, F.col("response")))
+    return recorded.compare_tallies(claimed, recount.tallies(lost, c.PUBLISHED), ["system"], ["compliant"])
+
+
+@query(
+    f"""{_RECORDED_SQL}, n AS (SELECT system, count(*) total, count_if(truncated) cut, round_even(count_if(truncated) / count(*), 4) share, max(thinking_chars) chars, max(num_predict) budget FROM rec GROUP BY system),
+o AS (SELECT source system, count_if(length(text) % 2 = 0) open FROM documents WHERE doc_id % 9 = 0 GROUP BY 1)
+SELECT system, printf('%d of %d answers (%.1f%%) were cut off at a budget of %d tokens, after at most %d characters of reasoning; %d of them could still have met their count',
+  cut, total, share * 100, budget, chars, coalesce(open, 0)) caveat FROM n LEFT JOIN o USING (system) WHERE cut > 0"""
+)
+def truncation_caveats(spark, sf_dir):
+    """What a page says about recordings with answers that were cut off."""
+    cut = read(spark, sf_dir, "documents").where("doc_id % 9 = 0")
+    open_ = cut.groupBy(F.col("source").alias("system")).agg(F.count_if(F.length("text") % 2 == 0).alias("undetermined"))
+    return scoring.caveats(recorded.notes(_recordings(spark, sf_dir)), open_)
 
 
 _PLANTS = (
@@ -570,11 +651,14 @@ _PLANTS_SQL = (
 )
 
 
+_EXCEPT = r"(?!<user>|USER\b)"
+
+
 def _findings_sql() -> str:
     units = []
     for name, p in scan.PATTERNS:
         # RE2 has no look-ahead: the home path's exception is applied to what matched.
-        pattern = p.replace(r"(?!<user>|USER\b)", "")
+        pattern = p.replace(_EXCEPT, "")
         units.append(f"SELECT doc_id, {duck.q(name)} pattern, unnest(regexp_extract_all(t, {duck.q(pattern)})) m FROM p")
     return f"WITH p AS (SELECT doc_id, {_PLANTS_SQL} t FROM documents), f AS ({' UNION ALL '.join(units)}) SELECT doc_id, pattern, left(m, 12) || '...' sample FROM f"
 
@@ -586,6 +670,19 @@ def secret_findings(spark, sf_dir):
     return scan.findings(planted, "doc_id")
 
 
+def _controls_sql() -> str:
+    units = [f"SELECT label, kind, len(regexp_extract_all(t, {duck.q(p.replace(_EXCEPT, ''))})) n FROM c" for _, p in scan.PATTERNS]
+    values = ", ".join(f"({duck.q(a)}, {duck.q(k)}, {duck.q(t)})" for a, k, t in scan.controls())
+    return f"""WITH c AS (SELECT * FROM (VALUES {values}) v(label, kind, t)), f AS (SELECT label, kind, sum(n) n FROM ({" UNION ALL ".join(units)}) GROUP BY ALL)
+SELECT kind, count(*) controls, count_if(n > 0) flagged, count_if((n > 0) = (kind = 'positive')) as_wanted FROM f GROUP BY kind"""
+
+
+@query(_controls_sql())
+def scan_controls(spark, sf_dir):
+    """Whether the scan finds what it must and leaves what it must."""
+    return scan.rolled_up(spark)
+
+
 @query(
     duck.counted("SELECT label k, label, t FROM (VALUES " + ", ".join(f"({duck.q(k)}, {duck.q(t)})" for k, t in PROBES) + ") v(label, t)")
     + f" SELECT label, {', '.join(duck.ALL_COUNTS)} FROM counted"

@@ -129,7 +129,7 @@ def test_recordings(spark):
     last = recorded.last_of_each(good)
     assert {r.id: r.response for r in recorded.accept(last, asked).collect()} == {"a": "z", "b": "y"}
     n = recorded.notes(last).first()
-    assert (n.rows, n.transport_errors, n.truncated, n.num_predict, n.truncated_ids) == (2, 1, 0, [10, 20], [])
+    assert (n.rows, n.transport_errors, n.truncated, n.num_predict) == (2, 1, 0, [10, 20])
     with pytest.raises(recorded.Stale):
         recorded.accept(rec(("a", None, "x", None, None, 1, 1), ("zz", "q", "", None, None, 1, 1)), asked)
     with pytest.raises(recorded.Partial):
