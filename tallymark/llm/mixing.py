@@ -78,7 +78,7 @@ def _step(level: int):
         goes_b = u * (move_a + move_b) < move_a
         held_a = F.when(goes_b, total - to_b).otherwise(to_a)
         held_b = F.when(goes_b, to_b).otherwise(total - to_a)
-        # One of the two is whole now: exactly 0 or 1. Comparing with the bound itself keeps this exact.
+        # One of the two is whole now: 0 or 1. Comparing with the bound itself keeps this exact.
         whole_a = F.when(goes_b, to_b == total).otherwise(to_a == a["size"].cast("double"))
         up_a = F.when(goes_b, F.lit(0)).otherwise(F.lit(1))
         whole_b = F.when(goes_b, to_b == b["size"].cast("double")).otherwise(to_a == total)
