@@ -1,4 +1,4 @@
-"""python -m tallymark COMMAND: rules | count | build DIR | answers DIR | report DIR | board DIR | page DIR | digest | probes
+"""python -m tallymark COMMAND: rules | count | build DIR | answers DIR | report DIR | board DIR | page DIR | digest | probes | finger
 
 rules    the published rules and their alternatives
 count    counts of the text on standard input, under every rule
@@ -9,6 +9,7 @@ board    print the board of DIR/report.json
 page     write DIR/index.html from DIR/report.json
 digest   SHA-256 over all prompts, in order
 probes   every count of the probe texts, as JSON
+finger   SHA-256 over the canonical form of all that the engine counts and scores of the item set and the probes
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .functions import counters
 from .functions.probes import PROBES
-from .operators import compose, items, recorded, report
+from .operators import compose, fingerprint, items, recorded, report
 from .sources import files
 
-COMMANDS = ("rules", "count", "build", "answers", "report", "board", "page", "digest", "probes")
+COMMANDS = ("rules", "count", "build", "answers", "report", "board", "page", "digest", "probes", "finger")
 
 
 def _spark() -> SparkSession:
@@ -52,13 +53,25 @@ def dialect_spread(df, text: str = "text"):
 def build_report(spark: SparkSession, folder: str) -> dict:
     """Grade the baselines and the accepted recordings."""
     own = items.build(spark)
-    answers = compose.baselines(own)
+    answers, recordings = compose.baselines(own), None
     kinds = [(s, "baseline", i) for i, s in enumerate(compose.SYSTEMS)]
     for (name,) in files.available(spark, f"{folder}/responses").collect():
         rows = recorded.last_of_each(files.read_recorded(spark, f"{folder}/responses/{name}.jsonl"))
         answers = answers.unionByName(recorded.accept(rows, own))
+        recordings = rows if recordings is None else recordings.unionByName(rows)
         kinds.append((name, "model", len(kinds)))
-    return report.as_dict(report.evaluate(own, answers, spark.createDataFrame(kinds, "system string, kind string, ord int")))
+    tables = report.evaluate(own, answers, spark.createDataFrame(kinds, "system string, kind string, ord int"), recordings)
+    return report.nested(report.as_dict(tables), manifest(own))
+
+
+def manifest(own) -> dict:
+    """What a set of items is: seed, count, families and their targets, rules, and a digest over all prompts."""
+    digest = items.ordered_digest(own).first()
+    return {
+        "seed": items.v.SEED, "count": digest["items"],
+        "families": {r["family"]: {"n": r["n"], "targets": [r["min_target"], r["max_target"]]} for r in items.families(own).collect()},
+        "published_rules": counters.PUBLISHED, "dialects": {k: list(x) for k, x in counters.DIALECTS.items()}, "prompts_sha256": digest["sha256"],
+    }
 
 
 def main(argv: list[str]) -> int:
@@ -85,22 +98,18 @@ def main(argv: list[str]) -> int:
     elif command == "build":
         made = items.build(_spark())
         files.write_items(made, f"{folder}/problems.jsonl")
-        digest = items.ordered_digest(made).first()
-        families = {r["family"]: {"n": r["n"], "targets": [r["min_target"], r["max_target"]]} for r in items.families(made).collect()}
-        manifest = {
-            "seed": items.v.SEED, "count": digest["items"], "families": families, "published_rules": counters.PUBLISHED,
-            "dialects": {k: list(x) for k, x in counters.DIALECTS.items()}, "prompts_sha256": digest["sha256"],
-        }
-        files.write_report(manifest, f"{folder}/dataset.json")
+        files.write_report(_spark(), manifest(made), f"{folder}/dataset.json")
     elif command == "answers":
         files.write_answers(compose.baselines(items.build(_spark())), f"{folder}/answers")
     elif command == "report":
         os.makedirs(folder, exist_ok=True)
         made = build_report(_spark(), folder)
-        files.write_report(made, f"{folder}/report.json")
+        files.write_report(_spark(), made, f"{folder}/report.json")
         print(report.as_text(made))
     elif command == "digest":
         print(items.ordered_digest(items.build(_spark())).first()["sha256"])
+    elif command == "finger":
+        print(fingerprint.digest(fingerprint.payload(_spark())))
     else:
         rows = counters.with_counts(_spark().createDataFrame(list(PROBES), "label string, text string")).collect()
         print(json.dumps([r.asDict() for r in rows], ensure_ascii=False, sort_keys=True))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,9 +89,35 @@ def flatten_reply(reply: Column) -> Column:
     )
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in any store that Spark reaches: whole under another name first, then in its place."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place, new = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = fs.create(new, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    fs.delete(place, True)
+    if not fs.rename(new, place):
+        raise OSError(f"{path} was written by somebody else at the same time")
+
+
+def _json_lines(df: DataFrame, columns: list[str]) -> str:
+    return "".join(json.dumps({c: r[c] for c in columns if r[c] is not None}, ensure_ascii=False) + "\n" for r in df.collect())
+
+
 def write_items(items: DataFrame, path: str) -> None:
-    """Items as JSON lines with sorted keys, in one file."""
-    items.select(*sorted(ITEM.names)).coalesce(1).write.mode("overwrite").json(path)
+    """Items as one file of JSON lines with sorted keys, in their order; a prompt set is small, so the driver writes it."""
+    ordered = items.orderBy("ord") if "ord" in items.columns else items
+    put_text(items.sparkSession, path, _json_lines(ordered, sorted(ITEM.names)))
+
+
+def write_recorded(recorded: DataFrame, folder: str) -> None:
+    """Recorded answers as one file of JSON lines a system; a file is replaced at once, so a reader sees the old or the new."""
+    names = [c for c in recorded.columns if c not in ("system", "seq")]
+    for (system,) in recorded.select("system").distinct().orderBy("system").collect():
+        own = recorded.where(F.col("system") == system).orderBy("seq" if "seq" in recorded.columns else "id")
+        put_text(recorded.sparkSession, f"{folder}/{system}.jsonl", _json_lines(own, names))
 
 
 def write_answers(answers: DataFrame, path: str) -> None:
@@ -98,10 +125,25 @@ def write_answers(answers: DataFrame, path: str) -> None:
     answers.select("system", "id", "response").write.mode("overwrite").partitionBy("system").json(path)
 
 
-def write_report(report: dict, path: str) -> None:
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
     """A report as JSON: two spaces, sorted keys."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(report, indent=2, sort_keys=True) + "\n")
+    put_text(spark, path, json.dumps(report, indent=2, sort_keys=True) + "\n")
+
+
+def markdown_table(df: DataFrame) -> str:
+    """A small table in Markdown; line feeds and bars of texts are spelled so that rows stay rows."""
+    cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+    rows = [df.columns, ["---"] * len(df.columns), *df.collect()]
+    return "".join("| " + " | ".join(map(cell, r)) + " |\n" for r in rows)
+
+
+def evidence(items: DataFrame, recorded: DataFrame, preview: int = 60) -> DataFrame:
+    """What was asked, at which budget, why the answer ended, and how much of it was hidden or visible, a row an answer."""
+    text = F.coalesce("response", F.lit(""))
+    return recorded.join(items.select("id", "dimension", "target"), "id").select(
+        "id", "dimension", "target", F.col("num_predict").alias("budget"), F.col("done_reason").alias("stopped"), F.col("eval_count").alias("tokens"),
+        F.col("thinking_chars").alias("hidden"), F.length(text).alias("visible"), F.left(text, F.lit(preview)).alias("begins"),
+    )
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions import counters as c
-from tallymark.functions.probes import PROBES
+from tallymark.functions.probes import DECIDED, PROBES
 
 from tallymark.operators import recount as model
 
@@ -25,6 +25,12 @@ def check(spark, texts):
     return bad
 
 
+def test_what_probes_decide(spark):
+    rows = {r["label"]: r for r in c.with_counts(spark.createDataFrame(list(PROBES), "label string, text string")).collect()}
+    assert len(rows) == len(DECIDED)
+    assert {k: rows[k][f"{d}_{x}"] for k, _, (d, x, _) in DECIDED} == {k: n for k, _, (_, _, n) in DECIDED}
+
+
 def test_probes(spark):
     assert not check(spark, [t for _, t in PROBES])
 

@@ -15,8 +15,10 @@ def test_items_round_trip(spark, tmp_path):
     files.write_items(own, f"{tmp_path}/items")
     back = files.read_items(spark, f"{tmp_path}/items")
     assert back.count() == 500 and back.exceptAll(own.drop("ord")).isEmpty()
-    line = next(f for f in (tmp_path / "items").glob("*.json")).read_text().splitlines()[0]
-    assert list(json.loads(line)) == sorted(json.loads(line))
+    lines = [json.loads(x) for x in (tmp_path / "items").read_text().splitlines()]
+    assert all(list(x) == sorted(x) for x in lines) and [x["id"] for x in lines] == [r.id for r in own.orderBy("ord").collect()]
+    files.write_items(own.limit(1), f"{tmp_path}/items")
+    assert len((tmp_path / "items").read_text().splitlines()) == 1 and [p.name for p in tmp_path.iterdir() if "crc" not in p.name] == ["items"]
 
 
 def test_manifest(spark, tmp_path):
@@ -32,6 +34,12 @@ def test_recordings(spark, tmp_path):
     assert [r.system for r in files.available(spark, f"{tmp_path}/r").collect()] == ["m1"]
     rows = files.read_recorded(spark, f"{tmp_path}/r/*.jsonl").orderBy("seq").collect()
     assert [(r.system, r.response, r.think) for r in rows] == [("m1", "x", "false"), ("m1", "y", "low")]
+    last = files.read_recorded(spark, f"{tmp_path}/r/*.jsonl").where("response = 'y'")
+    files.write_recorded(last, f"{tmp_path}/r")
+    assert [(r.system, r.id, r.response, r.think) for r in files.read_recorded(spark, f"{tmp_path}/r/*.jsonl").collect()] == [("m1", "a", "y", "low")]
+    asked = spark.createDataFrame([("a", "words", 5)], "id string, dimension string, target int")
+    table = files.markdown_table(files.evidence(asked, last.withColumn("response", F.lit("one|two\nthree"))))
+    assert table.splitlines()[0].startswith("| id | dimension | target") and table.endswith("| 13 | one\\|two three |\n")
     files.write_answers(spark.createDataFrame([("s", "a", "é")], "system string, id string, response string"), f"{tmp_path}/w")
     assert spark.read.json(f"{tmp_path}/w").first().response == "é"
 
@@ -62,8 +70,13 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["count"]) == 0
     assert "words           3 under plain" in capsys.readouterr().out
     assert cli.main(["report", str(tmp_path)]) == 0 and cli.main(["board", str(tmp_path)]) == 0 and cli.main(["page", str(tmp_path)]) == 0
-    assert "reference" in capsys.readouterr().out and (tmp_path / "index.html").exists()
-    assert cli.main(["digest"]) == 0 and cli.main(["probes"]) == 0 and cli.main(["answers", str(tmp_path)]) == 0
+    assert "reference" in capsys.readouterr().out and "Every rule in detail" in (tmp_path / "index.html").read_text()
+    made = json.loads((tmp_path / "report.json").read_text())
+    assert made["dataset"]["count"] == 500 and [s["system"] for s in made["systems"]] == list(compose.SYSTEMS)
+    first = made["systems"][0]
+    assert first["strict"]["overall"]["rate"] == 1.0 and first["strict"]["families"]["words_exact"]["n"] == 80
+    assert first["sensitivity"]["words"]["by_dialect"]["plain"] == first["sensitivity"]["words"]["published_rate"] == 1.0
+    assert cli.main(["digest"]) == 0 and cli.main(["probes"]) == 0 and cli.main(["finger"]) == 0 and cli.main(["answers", str(tmp_path)]) == 0
 
 
 def test_stream(spark, tmp_path):

@@ -113,7 +113,13 @@ def test_report(spark, board, tmp_path):
     made = report.as_dict(report.evaluate(own, answers, kinds))
     text, page = report.as_text(made), report.as_page(made)
     assert text.splitlines()[1].startswith("reference") and "approximate" in page and "<script" not in page
-    assert made["headline"][0]["best_model"] == "approximate"
+    assert made["headline"][0]["best_model"] == "approximate" and made["headline"][0]["filler_keyword_rate"] == made["headline"][0]["reference_rate"] == 1.0
+    assert [r["system"] for r in sorted(made["detail"], key=lambda r: r["line"])][0] == "approximate" and "No recorded answer was cut off" in page
+    cut = answers.where("system = 'approximate'").select(
+        "system", "id", F.lit(True).alias("truncated"), F.lit(5).alias("num_predict"), F.lit(3).alias("thinking_chars"), F.lit(None).cast("string").alias("error")
+    )
+    made = report.as_dict(report.evaluate(own, answers, kinds, cut.limit(7)))
+    assert made["caveats"][0]["caveat"].startswith("7 of 7 answers (100.0%) were cut off at a budget of 5 tokens") and "were cut off at a budget" in report.as_page(made)
     assert sum(r["n"] for r in made["histogram"] if r["system"] == "blank") == 500
 
 
