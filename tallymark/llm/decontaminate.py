@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, read, save
+from .common import drop, read, save, unused
 
 WINDOW = 10
 #: Words in a shard (whole documents: a longer document is a shard of its own).
@@ -341,10 +341,10 @@ def _decontaminate_in_passes(docs: DataFrame, passes: list[DataFrame], window: i
     """``decontaminate`` for a benchmark of several passes.
 
     A round searches the texts that the last one cut, in all passes, each written to the shared folder so that one
-    pass of phrases is held at a time; then it cuts. The last round finds nothing. No column of ``docs`` is named
-    ``_open`` or ``_found``.
+    pass of phrases is held at a time; then it cuts. The last round finds nothing.
     """
-    now, scratch = docs.withColumns({"_open": F.lit(True), "_found": F.array().cast(_FOUND)}), None
+    open_, found_ = unused(docs, "_open", "_found")
+    now, scratch = docs.withColumns({open_: F.lit(True), found_: F.array().cast(_FOUND)}), None
     while True:
         for items in passes:
             sent = docs.sparkSession.sparkContext.broadcast(_phrases(items, window))
@@ -352,14 +352,14 @@ def _decontaminate_in_passes(docs: DataFrame, passes: list[DataFrame], window: i
             def scan(batches, sent=sent):
                 for held, texts in _shards(batches, "text", shard_words):
                     table = pa.Table.from_batches(held)
-                    places = [d for d, is_open in enumerate(table.column("_open").to_pylist()) if is_open]
+                    places = [d for d, is_open in enumerate(table.column(open_).to_pylist()) if is_open]
                     _, found = _hits([texts[d] for d in places], sent.value)
                     if found:
-                        spans, field = table.column("_found").to_pylist(), table.schema.field("_found")
+                        spans, field = table.column(found_).to_pylist(), table.schema.field(found_)
                         for k, (more, _) in found.items():
                             d = places[k]
                             spans[d] = [{"start": a, "end": b} for a, b in _merge([[x["start"], x["end"]] for x in spans[d]] + more)]
-                        table = table.set_column(table.schema.get_field_index("_found"), field, pa.array(spans, field.type))
+                        table = table.set_column(table.schema.get_field_index(found_), field, pa.array(spans, field.type))
                     yield from table.to_batches()
 
             found = save(now.mapInArrow(scan, now.schema))
@@ -367,15 +367,15 @@ def _decontaminate_in_passes(docs: DataFrame, passes: list[DataFrame], window: i
             if scratch is not None:
                 drop(scratch)
             now = scratch = found
-        if now.where(F.size("_found") > 0).isEmpty():
-            return now.drop("_open", "_found")
+        if now.where(F.size(found_) > 0).isEmpty():
+            return now.drop(open_, found_)
 
         def cut(batches):
             for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
                 table = pa.Table.from_batches([batch])
-                texts, spans = table.column("text"), table.column("_found").to_pylist()
+                texts, spans = table.column("text"), table.column(found_).to_pylist()
                 own = {d: _cut(texts[d].as_py().encode(), [(x["start"], x["end"]) for x in found]) for d, found in enumerate(spans) if found}
-                for name, values in (("_open", [bool(x) for x in spans]), ("_found", [[] for _ in spans])):
+                for name, values in ((open_, [bool(x) for x in spans]), (found_, [[] for _ in spans])):
                     field = table.schema.field(name)
                     table = table.set_column(table.schema.get_field_index(name), field, pa.array(values, field.type))
                 yield from _with_texts(table, own).to_batches()

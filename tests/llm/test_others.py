@@ -99,7 +99,7 @@ def test_cut_in_passes(spark, pass_bytes):
     w = [f"w{k}" for k in range(25)]
     items = [(k, " ".join(x)) for k, x in enumerate([w, ["p", *w[9:18], "q"], ["a", *w[9:18], "b"], w[9:19], "u v x y".split(), ["one"]])]
     texts = [" ".join(["Before,", *w, "after."]), " ".join(["u", "v", *w, "x", "y", "end"]), "u v one x y end", " ".join([*w[:9], "one", *w[9:]]), "clean text", None]
-    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], f"{DOCS}, n int")
+    docs = spark.createDataFrame([(k, t, k, "own", "own") for k, t in enumerate(texts)], f"{DOCS}, n int, _found string, _Open string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r.text, r.n) for r in decontaminate.decontaminate(docs, bench, pass_bytes=pass_bytes).collect()}
     assert got == {0: ("Before,  after.", 0), 1: (" end", 1), 2: (" end", 2), 3: (" ".join(w[:9]) + " ", 3), 4: ("clean text", 4), 5: (None, 5)}
