@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import decontaminate, jaccard_join, line_dedup, mixing, toxicity
-from tallymark.llm.common import read, save
+from tallymark.llm.common import read, save, unused
 
 #: SQL cannot express a fitted classifier or the random draws of the mix; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -24,7 +24,8 @@ def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores below one half."""
     machine = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    kept = toxicity.score(docs, machine, "_toxicity").where("_toxicity < 0.5")
+    (name,) = unused(docs, "_toxicity")
+    kept = toxicity.score(docs, machine, name).where(F.col(name) < 0.5)
     return kept.select(*docs.columns)
 
 
