@@ -10,6 +10,7 @@ from . import (
     license_scan,
     line_dedup,
     mixing,
+    token_alignment,
     token_counts,
     toxicity,
     url_filter,
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_token_alignment": token_alignment.op11_token_alignment,
     }
 
 
