@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from . import (
     attention_lm,
+    collocations,
     decontaminate,
     embedding_dedup,
     jaccard_join,
     license_scan,
     line_dedup,
+    line_quality,
     mixing,
     token_alignment,
     token_counts,
@@ -31,6 +33,8 @@ def queries() -> dict:
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_token_alignment": token_alignment.op11_token_alignment,
+        "op12_line_quality": line_quality.op12_line_quality,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
@@ -41,4 +45,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_jaccard_join": jaccard_join.OP3_SQL,
         "op6_url_filter": url_filter.OP6_SQL,
         "op9_decontamination": decontaminate.OP9_SQL,
+        "op12_line_quality": line_quality.OP12_SQL,
+        "op13_collocations": collocations.OP13_SQL,
     }
