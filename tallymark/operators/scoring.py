@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import counters as c
 from .grading import BUCKETS, bucket, grade
+from .ordered import medians
 
 
 def rate(flag: Column) -> Column:
@@ -46,6 +47,19 @@ def error_profile(graded: DataFrame, by: list[str], where: Column | None = None)
     return graded.groupBy(*by).agg(*[v.alias(k) for k, v in profile(where).items()])
 
 
+def error_medians(graded: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., median_error, median_abs_error_of_misses, median_abs_relative_error) as ``error_profile`` has them, for groups of any size.
+
+    ``error_profile`` holds all different values of a group in one task's memory; here no task holds a group. See ``ordered.medians``.
+    """
+    e, some = F.col("error").cast("double"), F.nullif(F.col("target"), F.lit(0))
+    measures = {"median_error": e, "median_abs_error_of_misses": F.when(~F.col("count_ok"), F.abs(e)), "median_abs_relative_error": F.abs(e) / some}
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("m"), v.alias("v")) for k, v in measures.items()]))
+    found = medians(graded.select(*by, pairs.alias("x")).select(*by, "x.m", "x.v"), [*by, "m"], "v")
+    value = lambda k: F.max(F.when(F.col("m") == k, F.col("median")))
+    return found.groupBy(*by).agg(*[(F.bround(value(k), 4) if "relative" in k else value(k)).alias(k) for k in measures])
+
+
 def histogram(graded: DataFrame, by: list[str]) -> DataFrame:
     """Per group and bucket, in the buckets' order, how many errors fall in it; empty buckets are there."""
     counts = graded.groupBy(*by).agg(

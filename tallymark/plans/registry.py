@@ -6,14 +6,19 @@ engines, because the documents have none of what the rules are about. Every quer
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import counters as c
 from ..functions.probes import PROBES
 from ..functions.vocabulary import EXACT, HEADINGS, NOUNS, TAIL
-from ..operators import compose, items, recorded, recount, scan, scoring
+from ..operators import compose, giant, items, ordered, recorded, recount, scan, scoring
 from ..operators.grading import answers_of, grade, keyword_present, unwrap
+from ..sources.scratch import scratch_folder
+from ..streaming.recorder import Recorder
 from . import duck
 
 # ---- inputs, in both engines -----------------------------------------------------------------------------------
@@ -561,6 +566,62 @@ def repeated_keys(spark, sf_dir):
     return recorded.repeated_ids(rows, "nation")
 
 
+_REPLAYED = T.StructType([T.StructField("system", T.StringType()), T.StructField("id", T.StringType()), T.StructField("turn", T.LongType()), T.StructField("response", T.StringType())])
+
+
+@query(
+    """SELECT role system, 'c' || conv_id id, count(*) answers, max(turn) FILTER (last) turn, max(response) FILTER (last) response
+FROM (SELECT role, conv_id, turn, text response, row_number() OVER (PARTITION BY role, conv_id ORDER BY turn % 4 DESC, turn DESC) = 1 AS last FROM conversations) GROUP BY role, conv_id"""
+)
+def recorder_replay(spark, sf_dir):
+    """Turns of conversations as answers, recorded in four batches: one comes twice, one is cut off half written and comes again."""
+    rows = read(spark, sf_dir, "conversations").select(F.col("role").alias("system"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), F.col("turn").cast("long").alias("turn"), F.col("text").alias("response"))
+    record = Recorder(spark, f"{scratch_folder(spark)}/recording-{uuid.uuid4().hex}", _REPLAYED)
+    for batch in (0, 1, 1, 2, 3):
+        answers = rows.where(F.col("turn") % 4 == batch)
+        if batch == 2:
+            record.stage(answers.where("length(response) % 2 = 0"), F.col("turn"))  # never committed
+        record.write(answers, batch, order=F.col("turn"))
+    counted = record.answers().groupBy("system", "id").agg(F.count("*").alias("answers"))
+    same = [F.col("system") == F.col("_s"), F.col("id") == F.col("_i")]
+    return record.latest().join(counted.select(F.col("system").alias("_s"), F.col("id").alias("_i"), "answers"), same).select("system", "id", "answers", "turn", "response")
+
+
+@query(
+    """SELECT g, count(v) n, median(v) median FROM (SELECT 'price ' || l_returnflag || l_linestatus g, l_extendedprice::DOUBLE v FROM lineitem
+UNION ALL SELECT 'ratio ' || l_linestatus, l_extendedprice::DOUBLE / (l_quantity::DOUBLE + 1) FROM lineitem
+UNION ALL SELECT 'characters ' || source, length(text)::DOUBLE FROM documents) GROUP BY g"""
+)
+def exact_medians(spark, sf_dir):
+    """Medians of prices, of ratios that are nearly all different, and of lengths."""
+    items, docs = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "documents")
+    price = F.col("l_extendedprice").cast("double")
+    values = (
+        items.select(F.concat(F.lit("price "), "l_returnflag", "l_linestatus").alias("g"), price.alias("v"))
+        .union(items.select(F.concat(F.lit("ratio "), "l_linestatus"), price / (F.col("l_quantity").cast("double") + 1)))
+        .union(docs.select(F.concat(F.lit("characters "), "source"), F.length("text").cast("double")))
+    )
+    return ordered.medians(values, ["g"], "v")
+
+
+@query(
+    f"""{GRADED_SQL} SELECT system, lang, median(error)::DOUBLE median_error, median(abs(error)) FILTER (NOT count_ok)::DOUBLE median_abs_error_of_misses,
+round_even(median(abs(error) / nullif(target, 0)), 4) median_abs_relative_error FROM graded GROUP BY system, lang"""
+)
+def error_medians(spark, sf_dir):
+    """Medians of errors by system and language, selected without a buffer of all values."""
+    return scoring.error_medians(graded(spark, sf_dir), ["system", "lang"])
+
+
+@query(
+    duck.counted(f"SELECT source k, string_agg(t, chr(10) ORDER BY doc_id) t FROM ({TEXTS_SQL}) GROUP BY source") + f" SELECT k source, {', '.join(giant.COUNTS)} FROM counted"
+)
+def giant_texts(spark, sf_dir):
+    """All documents of a source as one text: its words, lines, paragraphs and sentences by every rule."""
+    lines = giant.as_lines(texts(spark, sf_dir).drop("lang"), "text", ["doc_id"])
+    return giant.counts(lines, ["source"], ["doc_id", "line_no"])
+
+
 @query(
     f"""{GRADED_SQL} SELECT system, count_if(CASE WHEN mode = 'at_most' THEN observed <= target ELSE observed < target END) undetermined, count(*) truncated
 FROM graded WHERE doc_id % 9 = 0 GROUP BY system"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,13 +51,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_recorded(spark: SparkSession, pattern: str) -> DataFrame:
-    """Recorded answers of all files of a pattern, with ``system`` (a file's stem) and ``seq`` (a line's place).
+    """Recorded answers of all recordings of a pattern, with ``system`` (its stem) and ``seq`` (a line's place).
 
-    Blank lines are skipped. ``seq`` grows within a file: of several answers to one id the last one counts.
+    A recording is a file of JSON lines, or a folder of such. Blank lines are skipped. ``seq`` (file, begin of the split, number in
+    it) grows from line to line however a file is split: of several answers to one id the last one counts.
     """
-    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("seq"))
-    rows = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", RECORDED))
-    return rows.select(F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("system"), "seq", "r.*")
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("line"))
+    rows = spark.read.text(pattern).select("value", at.alias("seq")).where(F.trim("value") != "").withColumn("r", F.from_json("value", RECORDED))
+    return rows.select(F.regexp_extract("seq.path", r"([^/]+)\.jsonl(?:/[^/]+)?$", 1).alias("system"), "seq", "r.*")
 
 
 def available(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,11 +115,28 @@ def write_items(items: DataFrame, path: str) -> None:
 
 
 def write_recorded(recorded: DataFrame, folder: str) -> None:
-    """Recorded answers as one file of JSON lines a system; a file is replaced at once, so a reader sees the old or the new."""
-    names = [c for c in recorded.columns if c not in ("system", "seq")]
-    for (system,) in recorded.select("system").distinct().orderBy("system").collect():
-        own = recorded.where(F.col("system") == system).orderBy("seq" if "seq" in recorded.columns else "id")
-        put_text(recorded.sparkSession, f"{folder}/{system}.jsonl", _json_lines(own, names))
+    """Recorded answers as JSON lines in ``<system>.jsonl``, in the order of ``seq`` (of ``id`` without one): a file, or a folder of
+    files if several tasks wrote.
+
+    Executors write, in one job, next to what is there; then what a system has takes its place by a rename, so a reader
+    sees the old or the new. Answers without a system are not written.
+    """
+    spark = recorded.sparkSession
+    hadoop, staged = spark.sparkContext._jvm.org.apache.hadoop.fs, f"{folder}/_staged_{uuid.uuid4().hex}"
+    names = [F.col(f"`{c}`") for c in recorded.columns if c not in ("system", "seq")]
+    order = "seq" if "seq" in recorded.columns else "id"
+    lines = recorded.where("system is not null").select("system", F.to_json(F.struct(*names)).alias("value"), order)
+    sorted_ = lines.repartitionByRange("system", order).sortWithinPartitions("system", order)
+    sorted_.select("system", "value").write.partitionBy("system").text(staged)
+    fs = hadoop.Path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(hadoop.Path(staged)):
+        key, _, system = status.getPath().getName().partition("=")
+        if key == "system":
+            place, parts = hadoop.Path(f"{folder}/{unquote(system)}.jsonl"), fs.listStatus(status.getPath())
+            fs.delete(place, True)
+            if not fs.rename(parts[0].getPath() if len(parts) == 1 else status.getPath(), place):
+                raise OSError(f"{place} was written by somebody else at the same time")
+    fs.delete(hadoop.Path(staged), True)
 
 
 def write_answers(answers: DataFrame, path: str) -> None:
