@@ -12,6 +12,7 @@ parts and ranks follow as joins and aggregations. An automaton is as large as it
 
 from __future__ import annotations
 
+import zlib
 from operator import itemgetter
 
 import numpy as np
@@ -29,8 +30,8 @@ RANKS = 2000
 UNKNOWN = "und"
 #: Cells of a row of a sketch, and rows. More cells let fewer rare phrases pass; results do not depend on it.
 CELLS, ROWS = 1 << 24, 2
-#: Cells that one row of the exchanged sketch covers.
-BLOCK = 1 << 19
+#: Cells that one row of the exchanged sketch covers: 65,536 at most, as gaps between touched cells take two bytes.
+BLOCK = 1 << 16
 #: Bytes of text that are worked on at once (a longer text is worked on alone).
 CHUNK = 4 << 20
 #: Words that a task remembers.
@@ -152,6 +153,17 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").where("text <> ''")
 
 
+def _packed(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Places in rising order, below 65,536, and a byte for each: gaps and bytes are small, so they pack well."""
+    gaps = np.diff(at, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2).T
+    return zlib.compress(gaps.tobytes() + n.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(3, -1)
+    return np.cumsum(data[0].astype(np.int64) | data[1].astype(np.int64) << 8), data[2]
+
+
 def next_bounds(docs: DataFrame, bounds: Bounds, least: int = LEAST) -> Bounds:
     """``bounds`` with the sketch of phrases that are a word longer; ``docs`` has (lang, text) without nulls."""
     if not 1 <= least <= 255:
@@ -176,20 +188,20 @@ def next_bounds(docs: DataFrame, bounds: Bounds, least: int = LEAST) -> Bounds:
         edges = np.searchsorted(touched, np.arange(0, ROWS * cells + BLOCK, BLOCK))
         for b in np.flatnonzero(np.diff(edges)).tolist():
             at = touched[edges[b] : edges[b + 1]]
-            yield pa.RecordBatch.from_pylist([{"block": b, "at": (at - b * BLOCK).astype(np.uint32).tobytes(), "n": sketch[at].tobytes()}], schema=_SENT)
+            yield pa.RecordBatch.from_pylist([{"block": b, "cells": _packed(at - b * BLOCK, sketch[at])}], schema=_SENT)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, at, more in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for b, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 own = sums.setdefault(b, np.zeros(min(BLOCK, ROWS * cells - b * BLOCK), np.uint8))
-                at = np.frombuffer(at, np.uint32)
-                own[at] = np.minimum(own[at] + np.frombuffer(more, np.uint8).astype(np.int64), 255)
+                at, more = _unpacked(packed)
+                own[at] = np.minimum(own[at] + more.astype(np.int64), 255)
         for b, own in sums.items():
             yield pa.RecordBatch.from_pylist([{"block": b, "bits": np.packbits(own >= least).tobytes()}], schema=_BITS)
 
     # A block is added up as its rows come in; no group is held whole.
-    parts = docs.mapInArrow(tally, "block int, at binary, n binary")
+    parts = docs.mapInArrow(tally, "block int, cells binary")
     reached = parts.repartition("block").mapInArrow(add, "block int, bits binary")
     bits = np.zeros(-(-ROWS * cells // 8), np.uint8)
     for row in reached.collect():  # a bit a cell, whatever the corpus
@@ -198,7 +210,7 @@ def next_bounds(docs: DataFrame, bounds: Bounds, least: int = LEAST) -> Bounds:
     return Bounds(cells, [*bounds.bits, bits])
 
 
-_SENT = pa.schema([("block", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
+_SENT = pa.schema([("block", pa.int32()), ("cells", pa.binary())])
 _BITS = pa.schema([("block", pa.int32()), ("bits", pa.binary())])
 _COUNTED = pa.schema([("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.string()), ("times", pa.int64())])
 
