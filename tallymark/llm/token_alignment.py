@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,10 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _sizes(spelled: dict[int, bytes]) -> np.ndarray:
+    return np.array([len(spelled.get(i, b"")) for i in range(max(spelled) + 1)], np.int64)
+
+
 class ByteBpe:
     """A: byte-level BPE from a tokenizer's JSON file. Special tokens are not known, so their strings are plain text."""
 
@@ -73,9 +78,28 @@ class ByteBpe:
         self.bytes = {i: bytes(map(spelled.__getitem__, s)) for s, i in vocab.items()}
         self._bpe = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={b: i for i, b in self.bytes.items()}, special_tokens={})
 
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        """Ids of a space and each segment."""
-        return [self._bpe.encode_ordinary(" " + s) for s in segments]
+        self.size = _sizes(self.bytes)
+
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of a space and a segment, one segment after the other; how many each has).
+
+        No token reaches over the space between two segments that have no white space at their ends, so such are encoded
+        together; bytes tell whose the ids are, as this vocabulary gives back every byte.
+        """
+        bare = [bool(s) and not s[0].isspace() and not s[-1].isspace() for s in segments]
+        n = np.zeros(len(segments), np.int64)
+        together = [s for s, ok in zip(segments, bare, strict=True) if ok]
+        ids = np.array(self._bpe.encode_ordinary("".join([f" {s}" for s in together])) if together else [], np.int64)
+        edges = np.cumsum([len(s.encode()) + 1 for s in together])
+        ends = np.searchsorted(np.cumsum(self.size[ids]), edges, side="right")
+        n[np.array(bare, bool)] = np.diff(ends, prepend=0)
+        if len(together) == len(segments):
+            return ids, n
+        parts, at = [], 0
+        for k, (s, ok) in enumerate(zip(segments, bare, strict=True)):
+            parts.append(ids[at : at + n[k]] if ok else np.array(self._bpe.encode_ordinary(" " + s), np.int64))
+            at, n[k] = at + n[k], len(parts[-1])
+        return np.concatenate(parts), n
 
 
 class PieceBpe:
@@ -90,9 +114,17 @@ class PieceBpe:
             raise ValueError("B must have no piece that reaches over a space")
         self.bytes = {i: bytes([int(p[3:5], 16)]) if self._model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
 
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        """Ids of each segment."""
-        return self._model.encode(segments, num_threads=1)
+        self.size = _sizes(self.bytes)
+
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each segment, one after the other; how many each has)."""
+        found = self._model.encode(segments, num_threads=1)
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(n.sum())), n
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The bytes of some tokens."""
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
 def segments(text: str) -> list[str]:
@@ -123,39 +155,41 @@ class Aligner:
 
     def __init__(self, a: ByteBpe, b: PieceBpe):
         self.a, self.b = a, b
-        size = lambda table: np.array([len(table.get(i, b"")) for i in range(max(table) + 1)], np.int64)
-        self.a_size, self.b_size = size(a.bytes), size(b.bytes)
+        said = lambda size, after: np.array([f"{i}{after}" for i in range(size)], object)
+        #: How ids are written within and at the end of a group.
+        self.said = [said(len(a.size), ","), said(len(a.size), "|"), said(len(b.size), ","), said(len(b.size), ";")]
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.chars = 0
-        self.groups: list[str | None] = []
+        self.groups: list[str] = []
         #: n_a, n_b, n_groups, n_links of each segment; 0 for one that a tokenizer does not give back as it was.
         self.sizes = np.empty((0, 4), np.int64)
         self.begin = np.empty(0, np.int64)
         self.pairs = np.empty(0, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        ids = list(zip(new, self.a.encode(new), self.b.encode(new), strict=True))
-        spell = lambda table, found: b"".join(map(table.__getitem__, found))
-        whole = [spell(self.a.bytes, x) == spell(self.b.bytes, y) == (" " + s).encode() for s, x, y in ids]
-        own_a, own_b = [x if ok else [] for ok, (_, x, _) in zip(whole, ids, strict=True)], [y if ok else [] for ok, (_, _, y) in zip(whole, ids, strict=True)]
-        flat_a, flat_b = (np.array([i for x in own for i in x], np.int64) for own in (own_a, own_b))
-        n_a, n_b = (np.array([len(x) for x in own], np.int64) for own in (own_a, own_b))
+        (flat_a, n_a), (flat_b, n_b) = self.a.encode(new), self.b.encode(new)
+        total = lambda values, n: np.diff(np.concatenate([[0], np.cumsum(values)])[np.stack([np.cumsum(n) - n, np.cumsum(n)])], axis=0)[0]
+        whole = total(self.a.size[flat_a], n_a) == total(self.b.size[flat_b], n_b)
+        if not whole.all() or self.b.spell(flat_b) != "".join([f" {s}" for s in new]).encode():
+            ends = np.cumsum(n_b).tolist()
+            whole = np.array([self.b.spell(flat_b[e - n : e]) == f" {s}".encode() for s, e, n in zip(new, ends, n_b.tolist(), strict=True)])
+            flat_a, flat_b = flat_a[np.repeat(whole, n_a)], flat_b[np.repeat(whole, n_b)]
+            n_a, n_b = n_a * whole, n_b * whole
         # One index for all new segments: they lie one after the other.
-        first, size, a_closes, b_closes = overlaps(self.a_size[flat_a], self.b_size[flat_b])
-        pairs = np.repeat(flat_a, size) * len(self.b_size) + flat_b[_slices(first, size)]
-        edge_a, edge_b = np.cumsum(n_a), np.cumsum(n_b)
-        total = lambda values, edge, n: np.diff(np.concatenate([[0], np.cumsum(values)])[np.stack([edge - n, edge])], axis=0)[0]
-        n_links, n_groups = total(size, edge_a, n_a), total(a_closes, edge_a, n_a)
+        first, size, a_closes, b_closes = overlaps(self.a.size[flat_a], self.b.size[flat_b])
+        pairs = np.repeat(flat_a, size) * len(self.b.size) + flat_b[_slices(first, size)]
+        n_links, n_groups = total(size, n_a), total(a_closes, n_a)
         # A's tokens of a group, then B's, then the next group.
         group_a, group_b = np.cumsum(a_closes) - a_closes, np.cumsum(b_closes) - b_closes
         order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
-        said = [f"{i}|" if c else f"{i}," for i, c in zip(flat_a.tolist(), a_closes.tolist(), strict=True)] + [f"{i};" if c else f"{i}," for i, c in zip(flat_b.tolist(), b_closes.tolist(), strict=True)]
-        said, at = [said[k] for k in order.tolist()], 0
-        for ok, n in zip(whole, (n_a + n_b).tolist(), strict=True):
-            self.groups.append("".join(said[at : at + n])[:-1] if ok else None)
+        a_open, a_last, b_open, b_last = self.said
+        said = np.concatenate([np.where(a_closes, a_last[flat_a], a_open[flat_a]), np.where(b_closes, b_last[flat_b], b_open[flat_b])])[order].tolist()
+        at = 0
+        for n in (n_a + n_b).tolist():
+            self.groups.append("".join(said[at : at + n])[:-1])
             at += n
         begin = np.cumsum(n_links) - n_links + len(self.pairs)
         self.begin, self.pairs = np.concatenate([self.begin, begin]), np.concatenate([self.pairs, pairs])
@@ -167,12 +201,14 @@ class Aligner:
             self._forget()
         parts = [segments(t) if t else [] for t in texts]
         flat = [s for p in parts for s in p]
-        new = list(dict.fromkeys(s for s in flat if s not in self.known))
-        if new:
+        places = list(map(self.known.get, flat))
+        if None in places:
+            new = list(dict.fromkeys([s for s, k in zip(flat, places, strict=True) if k is None]))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.chars += sum(map(len, new))
             self._learn(new)
-        at = np.array([self.known[s] for s in flat], np.int64)
+            places = list(map(self.known.__getitem__, flat))
+        at = np.array(places, np.int64)
         n_parts = np.array([len(p) for p in parts], np.int64)
         row = np.repeat(np.arange(len(texts)), n_parts)
         spoilt = np.zeros(len(texts), bool)
@@ -184,14 +220,14 @@ class Aligner:
             sums[:, k] = np.bincount(row, self.sizes[at, k], len(texts))
         said, start, ends = [], 0, np.cumsum(n_parts).tolist()
         for end, bad in zip(ends, spoilt.tolist(), strict=True):
-            said.append("" if bad else ";".join([self.groups[self.known[s]] for s in flat[start:end]]))
+            said.append("" if bad else ";".join([self.groups[k] for k in places[start:end]]))
             start = end
         # Each text's pairs, with how often it has each.
-        size, width = self.sizes[at, 3], len(self.b_size)
-        seen = np.sort(np.repeat(row, size) * (len(self.a_size) * width) + self.pairs[_slices(self.begin[at], size)])
+        size, width = self.sizes[at, 3], len(self.b.size)
+        seen = np.sort(np.repeat(row, size) * (len(self.a.size) * width) + self.pairs[_slices(self.begin[at], size)])
         first = np.flatnonzero(np.diff(seen, prepend=-1))
         times = np.diff(np.append(first, len(seen)))
-        owner, pair = np.divmod(seen[first], len(self.a_size) * width)
+        owner, pair = np.divmod(seen[first], len(self.a.size) * width)
         edges = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
         codes = (pair // width << 32) | pair % width
         links = pa.StructArray.from_arrays([pa.array(codes, pa.int64()), pa.array(times, pa.int32())], fields=list(_LINK))

@@ -23,7 +23,8 @@ def brute(texts):
     a_tok = Tokenizer.from_file(ta.A_FILE)
     a_tok.encode_special_tokens = True
     b_tok = sentencepiece.SentencePieceProcessor(model_file=ta.B_FILE)
-    spelled = {v: bytes(ta._byte_alphabet()[c] for c in k) for k, v in a_tok.get_vocab(with_added_tokens=False).items()}
+    alphabet = ta._byte_alphabet()
+    spelled = {v: bytes(alphabet[c] for c in k) for k, v in a_tok.get_vocab(with_added_tokens=False).items()}
 
     def piece(i):
         p = b_tok.id_to_piece(i)
