@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import counters as c
 from ..functions.probes import PROBES
 from ..functions.vocabulary import EXACT, HEADINGS, NOUNS, TAIL
-from ..operators import compose, giant, items, ordered, recorded, recount, scan, scoring
+from ..operators import compose, giant, hashtree, items, ordered, recorded, recount, scan, scoring
 from ..operators.grading import answers_of, grade, keyword_present, unwrap
 from ..sources.scratch import scratch_folder
 from ..streaming.recorder import Recorder
@@ -566,6 +566,57 @@ def repeated_keys(spark, sf_dir):
     return recorded.repeated_ids(rows, "nation")
 
 
+_PAGE_PATH = "concat(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '/', page_id % 16, '/', page_id, '.html')"
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1) || '/' || page_id % 16 || '/' || page_id || '.html' path, coalesce(html, '') h FROM pages),
+r AS (SELECT trim(path, '/') path, page_id, strlen(h) n, h FROM p)
+SELECT path, 'lost' status, NULL::INT first_piece, NULL::INT n_pieces FROM r WHERE page_id % 97 = 0
+UNION ALL SELECT path, 'changed', (n // 512)::INT, 1 FROM r WHERE page_id % 97 <> 0 AND page_id % 89 = 1
+UNION ALL SELECT path, 'changed', 0, 1 FROM r WHERE page_id % 97 <> 0 AND page_id % 89 <> 1 AND page_id % 79 = 3 AND h[1] <> '~' AND strlen(h[1]) = 1
+UNION ALL SELECT 'new/' || path, 'added', NULL, NULL FROM r WHERE page_id % 83 = 2"""
+)
+def regeneration(spark, sf_dir):
+    """Pages as files, against a regeneration that lost some, added some, put a byte behind some and another first byte before others."""
+    rows = read(spark, sf_dir, "pages").select("page_id", F.expr(_PAGE_PATH).alias("path"), F.coalesce("html", F.lit("")).alias("html"))
+    n, h = F.col("page_id"), F.col("html")
+    ours = rows.select("path", h.cast("binary").alias("content"))
+    other = F.when(n % 89 == 1, F.concat(h, F.lit("!"))).when((n % 79 == 3) & (F.octet_length(F.left(h, F.lit(1))) == 1), F.concat(F.lit("~"), F.substring(h, F.lit(2), F.length(h)))).otherwise(h)
+    theirs = rows.where(n % 97 != 0).select("path", other.cast("binary").alias("content")).union(rows.where(n % 83 == 2).select(F.concat(F.lit("new/"), "path"), h.cast("binary")))
+    found = hashtree.differences(hashtree.tree(ours, 512), hashtree.tree(theirs, 512))
+    return found.select("path", "status", F.get("pieces", F.lit(0)).alias("first_piece"), F.when(F.col("pieces").isNotNull(), F.size("pieces")).alias("n_pieces"))
+
+
+@query(
+    """WITH items AS (SELECT 'd' || doc_id id, sha256(text) now FROM documents),
+r AS (SELECT 'm' || m system, CASE WHEN m IN (2, 6) AND doc_id % 31 = 5 THEN 'x' ELSE 'd' END || doc_id id,
+  CASE WHEN m IN (1, 6) AND doc_id % 17 = 3 THEN sha256('') WHEN m = 7 AND doc_id % 29 = 7 THEN NULL ELSE sha256(text) END d, m = 4 AND doc_id % 5 = 0 OR m IN (0, 3) AND doc_id % 23 = 1 cut
+  FROM (SELECT *, unnest(range(9)) m FROM documents) WHERE NOT (m IN (3, 5) AND doc_id % 13 = 4)),
+b AS (SELECT system, count(*) n, count_if(now IS NULL OR d IS DISTINCT FROM now) stale, min(r.id) FILTER (now IS NULL OR d IS DISTINCT FROM now) first_stale, count_if(cut) cut, min(r.id) FILTER (cut) first_cut,
+  count(now) known FROM r LEFT JOIN items USING (id) GROUP BY system),
+g AS (SELECT system, min(items.id) first_missing FROM (SELECT DISTINCT system FROM r) s CROSS JOIN items WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.system = s.system AND r.id = items.id) GROUP BY system),
+v AS (SELECT *, (SELECT count(*) FROM items) - known missing, round_even(cut / n, 4) truncated_share FROM b LEFT JOIN g USING (system)),
+w AS (SELECT *, CASE WHEN stale > 0 THEN 'stale' WHEN missing > 0 THEN 'partial' WHEN truncated_share > 0.1 THEN 'truncated' ELSE 'accepted' END verdict FROM v)
+SELECT system, verdict, CASE verdict WHEN 'stale' THEN first_stale WHEN 'partial' THEN first_missing WHEN 'truncated' THEN first_cut END first_id, stale, missing, truncated_share FROM w"""
+)
+def acceptance(spark, sf_dir):
+    """Nine recordings of all documents as prompts, some with faults: which may be graded, and the first id that speaks against the others."""
+    docs, d = read(spark, sf_dir, "documents"), F.col("doc_id")
+    name = F.concat(F.lit("d"), d.cast("string"))
+    asked = docs.select(name.alias("id"), F.col("text").alias("prompt"))
+    sha = F.sha2("text", 256)
+    rows = docs.select("doc_id", sha.alias("sha"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("m")).where(~(F.col("m").isin(3, 5) & (d % 13 == 4)))
+    digest = F.when(F.col("m").isin(1, 6) & (d % 17 == 3), F.sha2(F.lit(""), 256)).when((F.col("m") == 7) & (d % 29 == 7), F.lit(None)).otherwise(F.col("sha"))
+    answers = rows.select(
+        F.concat(F.lit("m"), F.col("m").cast("string")).alias("system"),
+        F.concat(F.when(F.col("m").isin(2, 6) & (d % 31 == 5), "x").otherwise("d"), d.cast("string")).alias("id"),
+        digest.alias("prompt_sha256"),
+        ((F.col("m") == 4) & (d % 5 == 0) | F.col("m").isin(0, 3) & (d % 23 == 1)).alias("truncated"),
+    )
+    return recorded.verdicts(answers, asked)
+
+
 _REPLAYED = T.StructType([T.StructField("system", T.StringType()), T.StructField("id", T.StringType()), T.StructField("turn", T.LongType()), T.StructField("response", T.StringType())])
 
 
