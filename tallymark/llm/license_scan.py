@@ -113,38 +113,65 @@ class Scanner:
         return [self.one(x) if ok else [] for x, ok in zip(texts, enough, strict=True)]
 
     def one(self, text: bytes) -> list[tuple[str, float, int, int]]:
+        """As ``texts``, for one text.
+
+        Starts of runs are taken from the last line to the first, with a linked list of the places where a bigram occurs
+        first from there on. A run grows only at these, so lines that say nothing new, however many, cost a start nothing, and a
+        start follows the list no further than the largest template's bounds allow.
+        """
         lines = [x.split() for x in text.translate(_TABLE).split(b"\n")]
-        own = bigrams([w for x in lines for w in x])
+        full = [i for i, x in enumerate(lines) if x]
+        words = [w for i in full for w in lines[i]]
+        grams = list(zip(words, words[1:], strict=False))
+        own = set(grams)
         open_ = [k for k, s in enumerate(self.sets) if len(s & own) >= self.least[k]]
         best: dict[int, tuple[float, int, int]] = {}
         if not open_:
             return []
-        wanted = set().union(*(self.sets[k] for k in open_))
+        holders = {g: [k for k in open_ if g in self.sets[k]] for g in set().union(*(self.sets[k] for k in open_)) & own}
         most = max(self.most[k] for k in open_)
-        full = [i for i, x in enumerate(lines) if x]
-        # Of many equal lines in a row the first two and the last make all the sets of bigrams that there are.
-        same = [lines[a] == lines[b] for a, b in zip(full, full[1:], strict=False)]
-        full = [i for p, i in enumerate(full) if not (2 <= p < len(full) - 1 and same[p - 2] and same[p - 1] and same[p])]
-        for a, i in enumerate(full):
-            run: set = set()
-            last = None
-            for b in range(a, len(full)):
-                j = full[b]
-                words = lines[j]
-                new = bigrams(words if last is None else [last, *words])
-                if j == i and len(words) > 1 and not new & wanted:
-                    after = lines[full[a + 1]][0] if a + 1 < len(full) else None
-                    if (words[-1], after) not in wanted:
-                        break  # without this foreign line a run is better
-                run |= new
-                last = words[-1]
-                if len(run) > most:
+        spare = max(int(self.most[k] - len(self.sets[k])) for k in open_)  # bigrams of no template
+        starts = np.cumsum([0, *[len(lines[i]) for i in full]]).tolist()
+        line_of = [a for a, i in enumerate(full) for _ in lines[i]]
+        n = len(grams)
+        later, seen = [n] * n, {}
+        after, before, head, p = [n] * (n + 1), [-1] * (n + 1), n, n
+        for a in reversed(range(len(full))):
+            while p > starts[a] and p > 0:
+                p -= 1
+                later[p] = out = seen.get(grams[p], n)
+                seen[grams[p]] = p
+                if out < n:  # no longer the first
+                    if before[out] >= 0:
+                        after[before[out]] = after[out]
+                    else:
+                        head = after[out]
+                    before[after[out]] = before[out]
+                after[p], before[p], before[head], head = head, -1, p, p
+            first = range(starts[a], min(starts[a + 1], n))  # its bigrams, the one that leads to the next line included
+            if not any(grams[q] in holders for q in first) and any(later[q] == n for q in first):
+                continue  # without this foreign line a run is better
+            size, foreign, shared, found, node, line = 0, 0, dict.fromkeys(open_, 0), {}, head, -1
+            while True:
+                if line >= 0 and (node == n or line_of[node + 1] != line):
+                    for k in open_:
+                        if self.least[k] <= size <= self.most[k]:
+                            d = 2 * shared[k] / (size + len(self.sets[k]))
+                            if d >= self.threshold and (k not in found or d > found[k][0]):
+                                found[k] = (d, full[line])
+                if node == n:
+                    break
+                line, size = line_of[node + 1], size + 1
+                own_by = holders.get(grams[node])
+                for k in own_by or ():
+                    shared[k] += 1
+                foreign += own_by is None
+                if size > most or foreign > spare:
                     break
-                for k in open_:
-                    if self.least[k] <= len(run) <= self.most[k]:
-                        d = dice(run, self.sets[k])
-                        if d >= self.threshold and (k not in best or d > best[k][0]):
-                            best[k] = (d, i, j)
+                node = after[node]
+            for k, (d, j) in found.items():
+                if k not in best or d >= best[k][0]:
+                    best[k] = (d, full[a], j)
         return [(self.names[k], *best[k]) for k in sorted(best)]
 
 
