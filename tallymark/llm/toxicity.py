@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read
 
@@ -152,10 +153,17 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # 2 * fit_rows rows
     taken = joined.select("doc_id", "toxic", "text").mapInArrow(extract, "doc_id long, toxic int, terms binary")
+    # A row of each id, however many rows of the documents have it: the least terms, combined before the shuffle.
+    taken = taken.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("terms").alias("terms"))
 
     def learn(batches):
         # The bounded sample, in one task: the driver gets the finished machine alone.
-        got = sorted((d, t, y) for b in batches for d, y, t in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True))
+        got = []
+        for b in batches:
+            got += [(d, t, y) for d, y, t in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True)]
+            if len(got) > 2 * fit_rows:
+                raise ValueError(f"more than {2 * fit_rows} rows to fit")
+        got.sort()
         machine = fit([np.frombuffer(t, np.int32).astype(np.int64) for _, t, _ in got], np.array([y for *_, y in got], float), totals)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], ["machine"])
 
@@ -163,28 +171,29 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
 
 
 def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
-    """``docs`` with a score between 0 and 1: all columns stay, an own one of that ``name`` is replaced.
+    """``docs`` with a score between 0 and 1: all columns stay, an own one of that ``name``, in any case, is replaced.
 
     Null and empty texts have no terms and get the bias alone. Long texts are read whole. Repeated rows are
     scored alike, an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # 2 ** BITS places and as many known terms at most
-    names = [c for c in docs.columns if c != name]
-    schema = docs.select(*names, F.lit(0.0).alias(name)).schema
+    names = [c for c in docs.columns if c.lower() != name.lower()]
+    # By numbers, as Spark hands no names with dots to Python.
+    given, at = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]), [c.lower() for c in names].index("text")
+    schema = T.StructType([*given.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         memory: dict = {}
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 rows = [terms(x, memory) for x in part.column(at).to_pylist()]
                 flat = np.concatenate([*rows, np.empty(0, np.int64)])
                 margin = sent.value.margins(flat, np.array([len(r) for r in rows], np.int64))
                 scores = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], schema.names)
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).toDF(*names, name)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
