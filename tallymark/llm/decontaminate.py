@@ -302,9 +302,11 @@ def decontaminate(
     nothing is found. What all passes find in a text is merged before it is cut, so a text comes out the same
     however many passes a benchmark takes. Unusual input: see ``contamination``; a null text stays null.
     """
-    passes = _divided(benchmark, pass_bytes)
+    passes, names = _divided(benchmark, pass_bytes), docs.columns
+    # By numbers, as Spark hands no names with dots to Python.
+    docs = docs.toDF(*["text" if c == "text" else f"c{k}" for k, c in enumerate(names)])
     if len(passes) > 1:
-        return _decontaminate_in_passes(docs, passes, window, shard_words)
+        return _decontaminate_in_passes(docs, passes, window, shard_words).toDF(*names)
     sent = docs.sparkSession.sparkContext.broadcast(_phrases(passes[0], window))
 
     def scan(batches):
@@ -321,7 +323,7 @@ def decontaminate(
                 changed = again
             yield from _with_texts(pa.Table.from_batches(held), cut).to_batches()
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(scan, docs.schema).toDF(*names)
 
 
 def _with_texts(table: pa.Table, cut: dict[int, bytes]) -> pa.Table:

@@ -85,7 +85,7 @@ def _marked(docs: DataFrame, mark: str) -> DataFrame:
     told = F.xxhash64(F.col("text").isNull(), "text").bitwiseOR(F.lit(1))  # never 0
     one, is_ = unused(docs, "_shared", "_is")
     shared = save(shared.toDF(one, is_))
-    return docs.join(shared, F.col("doc_id").eqNullSafe(F.col(one)), "left").select(*docs.columns, F.when(F.col(is_), told).otherwise(F.lit(0)).alias(mark))
+    return docs.join(shared, F.col("doc_id").eqNullSafe(F.col(one)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col(is_), told).otherwise(F.lit(0)).alias(mark))
 
 
 def _at(no: Column) -> Column:
@@ -191,7 +191,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     null text stays null, with no lines.
     """
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    own = docs.select(*names)
+    quoted = [F.col(f"`{c}`") for c in names]
+    own = docs.select(*quoted)
     mark, d, t, gone, number, times, least = unused(own, "_mark", "_d", "_t", "_gone", "_number", "_times", "_least")
     marked = _marked(own, mark)
     found = _found(marked.select("doc_id", "text", F.col(mark).alias("mark")), min_words, near_words).where("first < at")
@@ -205,15 +206,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     if not copied.isEmpty():
         written = save(marked.join(copied, same, "left_semi").withColumn(number, F.monotonically_increasing_id()))
         leasts = save(written.groupBy(F.col("doc_id").alias(d), F.col(mark).alias(t)).agg(F.min(number).alias(least)))
-        again = written.join(leasts, same).withColumn(least, F.col(number) == F.col(least)).select(*names, mark, least)
-        marked = marked.join(copied, same, "left_anti").select(*names, mark, F.lit(True).alias(least)).union(again)
+        again = written.join(leasts, same).withColumn(least, F.col(number) == F.col(least)).select(*quoted, mark, least)
+        marked = marked.join(copied, same, "left_anti").select(*quoted, mark, F.lit(True).alias(least)).union(again)
         first = F.col(least)
     lines = F.split("text", "\n")
     short = F.filter(lines, lambda x: _n_words(plain(x)) < min_words)
     kept = F.when(~first, short).when(F.col(gone).isNotNull(), _without(lines, F.col(gone)))
     text = F.coalesce(F.array_join(kept, "\n"), F.col("text"))
     return marked.join(lists, same, "left").select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in names],
+        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col("text").isNull(), 0).when(~first, F.size(lines) - F.size(short)).otherwise(F.coalesce(F.size(gone), F.lit(0))).cast("long").alias("n_removed"),
     )

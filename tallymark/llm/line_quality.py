@@ -138,20 +138,20 @@ def measure(docs: DataFrame, max_loss: int = MAX_LOSS) -> DataFrame:
     """
     names = [c for c in docs.columns if c.lower() != "quality"]
     # By numbers, as Spark hands no names with dots to Python.
-    given = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.col("text").alias("whole"))
+    given, at = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]), [c.lower() for c in names].index("text")
     added = ("cleaned", *_COUNTS)
     kinds = [T.StringType(), *[T.LongType()] * len(_COUNTS)]
-    schema = T.StructType([*given.schema.fields[:-1], *map(T.StructField, added, kinds)])
+    schema = T.StructType([*given.schema.fields, *map(T.StructField, added, kinds)])
 
     def run(batches):
         for batch in batches:
-            begin, chars, sizes = 0, 0, pc.utf8_length(batch.column(len(names))).fill_null(0).to_pylist()
+            begin, chars, sizes = 0, 0, pc.utf8_length(batch.column(at)).fill_null(0).to_pylist()
             for k, n in enumerate([*sizes, CHUNK]):
                 if k > begin and (chars + n > CHUNK or k == len(sizes)):
                     part = batch.slice(begin, k - begin)
-                    cleaned, counts = judge(part.column(len(names)).to_pylist())
+                    cleaned, counts = judge(part.column(at).to_pylist())
                     found = [pa.array(cleaned, pa.string()), *[pa.array(c) for c in counts.T.copy()]]
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *found], schema.names)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *found], schema.names)
                     begin, chars = k, 0
                 chars += n
 

@@ -197,13 +197,13 @@ def take(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     Rows that agree in doc_id, source and text come back as one, with the copies of all.
     """
     names = [c for c in docs.columns if c.lower() not in ("copies", "taken")]
-    own = docs.select(*names)
+    own = docs.select(*[F.col(f"`{c}`") for c in names])
     text, d, s, t = unused(own, "_text", "_d", "_s", "_t")
     counted = mix(docs.select("doc_id", "source", "text"), weights, share, most, fan_in)
     counted = counted.groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("_text").alias(t)).agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
     rows = own.withColumn(text, text_hash()).dropDuplicates(["doc_id", "source", text])
     same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(text) == F.col(t))
-    return rows.join(counted.where("copies > 0"), same).select(*names, "copies", "taken")
+    return rows.join(counted.where("copies > 0"), same).select(*[F.col(f"`{c}`") for c in names], "copies", "taken")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

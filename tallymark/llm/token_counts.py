@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD, drop, read, save, scratch_dir
 
@@ -82,17 +83,20 @@ class Encoder:
 def subword_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``docs`` with n_tokens, the subword tokens of ``text``; null and empty texts have none."""
     sent = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, tokenizer))
-    names = [c for c in docs.columns if c != "n_tokens"]
+    names = [c for c in docs.columns if c.lower() != "n_tokens"]
+    # By numbers, as Spark hands no names with dots to Python.
+    given, at = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]), [c.lower() for c in names].index("text")
+    schema = T.StructType([*given.schema.fields, T.StructField("n_tokens", T.LongType())])
 
     def count(batches):
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(sent.value)
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column(at).to_pylist()
             n = np.array([encoder.count(x) if x else 0 for x in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], [*batch.schema.names, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], schema.names)
 
-    return docs.select(*names).mapInArrow(count, docs.select(*names, F.lit(0).cast("long").alias("n_tokens")).schema)
+    return given.mapInArrow(count, schema).toDF(*names, "n_tokens")
 
 
 class TokenRollup:
