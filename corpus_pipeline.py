@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of ``like``, with n_chars brought up to date where there is one."""
-    return docs.select(*[F.length("text").cast(like.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in like.columns])
+    return docs.select(*[F.length("text").cast(like.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in like.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = toxicity.train(docs, read(spark, sf_dir, "labels"))
     (name,) = unused(docs, "_toxicity")
     kept = toxicity.score(docs, machine, name).where(F.col(name) < 0.5)
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
