@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import vocabulary as v
 
@@ -93,10 +91,26 @@ def fill(n: int, keyword: str, item: str) -> str | None:
     return text + "."
 
 
-@F.pandas_udf(StringType())
-def chars_answer(n: pd.Series, keyword: pd.Series, item: pd.Series) -> pd.Series:
-    """As ``fill``: greedy, so it is no Column expression."""
-    return pd.Series([None if a is None or pd.isna(a) else fill(int(a), b, c) for a, b, c in zip(n, keyword, item, strict=True)], dtype=object)
+def fill_sizes(left: Column) -> Column:
+    """The sizes of the words that fill ``left`` places, each behind a space, as ``fill`` chooses them.
+
+    All but the last are of 8 letters, 9 places each, while more than 10 places are left; 10 take one of 7 and one of 1, fewer one word.
+    """
+    eights = F.greatest(F.lit(0), F.floor((left - 2) / 9)).cast("int")
+    rest = (left - eights * 9).cast("int")
+    none = F.array().cast("array<int>")
+    last = F.when(rest == 10, F.array(F.lit(7), F.lit(1))).when(rest > 0, F.array(rest - 1)).otherwise(none)
+    return F.concat(F.array_repeat(F.lit(8), eights), last)
+
+
+def chars_answer(n: Column, keyword: Column, item: Column) -> Column:
+    """As ``fill``, in closed form: a text of n code points that holds the keyword; null when n is too small for it."""
+    opener = F.concat(F.upper(F.substring(keyword, 1, 1)), F.substring(keyword, F.lit(2), F.length(keyword)))
+    left = n - F.length(opener) - 1
+    first = F.aggregate(F.filter(F.split(item, ""), lambda x: x != ""), F.lit(0), lambda s, x: s + F.ascii(x))
+    words = F.array(*[F.array(*([F.lit(w) for w in v.filler(size)] if size else [F.lit("")] * 20)) for size in range(9)])
+    said = F.transform(fill_sizes(left), lambda size, i: F.concat(F.lit(" "), F.get(F.get(words, size), (first + i) % 20)))
+    return F.when(left >= 0, F.concat(opener, F.array_join(said, ""), F.lit(".")))
 
 
 def composed(target: Column) -> Column:
@@ -156,7 +170,7 @@ def baseline(items: DataFrame, system: str) -> DataFrame:
         target = F.when(F.col("dimension") == "chars", F.greatest(near, F.length("keyword") + 2)).otherwise(near)
     if system in ("reference", "off_by_one", "approximate"):
         aimed = items.withColumn("_n", target)
-        text = F.when(F.col("dimension") == "chars", chars_answer("_n", "keyword", "id")).otherwise(composed(F.col("_n")))
+        text = F.when(F.col("dimension") == "chars", chars_answer(F.col("_n"), F.col("keyword"), F.col("id"))).otherwise(composed(F.col("_n")))
         return aimed.select(F.lit(system).alias("system"), "id", text.alias("response"))
     made = {
         "blank": F.lit(""),

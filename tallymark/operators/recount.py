@@ -1,171 +1,112 @@
-"""A recount: the counting rules once more, in plain Python, from the raw answers.
+"""A recount: the published rules a second time, from the raw answers, by other expressions.
 
-Nothing is shared with the Column expressions but the list of abbreviations: what two formulations agree on is hardly
-wrong in both. It is the slow path, a text at a time, and there to check the fast one.
+Nothing is shared with ``counters`` but the fixed character classes and abbreviations: words, lines and bullets are counted as
+matches rather than split off, characters are trimmed by a list rather than a pattern, paragraphs are a fold over lines,
+sentences are decided token by token rather than by masking, keywords are looked for in a text that is reduced to its words. What two
+formulations agree on is hardly wrong in both. All are Column expressions.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.charclass import ABBREVIATIONS
+from ..functions import charclass as cc
 
-STOPS, CLOSERS, DASHES = ".!?…", "\"'’”)]}»", "—–―−…"
+FIELDS = ("compliant", "count_ok", "keyword_ok", "unique_ok")
+_SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_DASHES = "—–―−…"
+_IN_LINE = rf"(?md)^ ?{cc.MARKER}[ \t]+"
 
 
-def has_word(s):
-    return any(ch.isalnum() for ch in s)
+def _runs(t: Column, apart: str, holding: str) -> Column:
+    """How many runs without any of the characters ``apart`` hold a match."""
+    return F.regexp_count(t, F.lit(rf"[^{apart}]*?{holding}[^{apart}]*+"))
 
 
-def words(t, dialect):
+def words(t: Column, dialect: str = "plain") -> Column:
+    """Words, by any dialect."""
     if dialect == "whitespace":
-        return len(t.split())
-    for ch in DASHES + ("-" if dialect == "hyphen_split" else ""):
-        t = t.replace(ch, " ")
-    ok = (lambda w: any(ch.isalpha() for ch in w)) if dialect == "alpha_only" else has_word
-    return sum(map(ok, t.split()))
-
-
-def cuts(t):
-    """Pieces of a text, and whether a stop closes each; a scan from left to right, unlike the masks."""
-    out, begin, i = [], 0, 0
-    while i < len(t):
-        if t[i] not in STOPS:
-            i += 1
-            continue
-        end = i
-        while end < len(t) and t[end] in STOPS:
-            end += 1
-        lone = t[i:end] == "."
-        if lone and re.search(r"(?:^|\n)[ \t]*\d+$", t[:i]):
-            i = end
-            continue
-        run = re.search(r"[^\W\d_.]*(?:[^\W\d_]|\.)*$", t[:i]).group().strip(".").lower()
-        if lone and run in ABBREVIATIONS:
-            i = end
-            continue
-        after = end
-        while after < len(t) and t[after] in CLOSERS:
-            after += 1
-        rest = t[after:].lstrip()
-        if (after == len(t) or t[after].isspace()) and not rest[:1].islower():
-            out.append((t[begin:after], True))
-            begin = after
-        i = max(end, after)
-    return [*out, (t[begin:], False)]
-
-
-def sentences(t, dialect):
-    if dialect == "naive":
-        return sum(map(has_word, re.split("[.!?…]+", t)))
-    if dialect == "newline_breaks":
-        return sum(sentences(x, "plain") for x in t.split("\n"))
-    return sum(has_word(s) for s, closed in cuts(t) if closed or dialect == "plain")
-
-
-def bullets(t, dialect):
-    n = 0
-    for line in t.split("\n"):
-        marks = r"[-*+•‣●·]" if dialect == "dash_only" else r"(?:[-*+•‣●·]|\d{1,3}[.)]|\(\d{1,3}\)|[a-zA-Z][.)])"
-        m = re.match(rf"([ \t]*){marks}[ \t]+(?=\S)", line)
-        n += bool(m) and (dialect == "all_levels" or len(m.group(1).replace("\t", "    ")) < 2)
-    return n
-
-
-def chars(t, dialect):
-    if dialect == "no_whitespace":
-        return len("".join(t.split()))
-    t = t.strip()
-    return len(t.encode()) if dialect == "utf8_bytes" else len(unicodedata.normalize("NFC", t) if dialect == "nfc_codepoints" else t)
-
-
-def lines(t, dialect):
-    if dialect == "all_lines":
-        t = t.strip("\n")
-        return len(t.split("\n")) if t else 0
-    return sum(bool(x.strip()) if dialect == "stripped_all" else has_word(x) for x in t.split("\n"))
-
-
-def paragraphs(t, dialect):
-    if dialect == "single_newline":
-        return lines(t, "nonblank")
-    blocks, block = [], []
-    for line in t.split("\n"):
-        if not line.strip():
-            blocks.append(block)
-            block = []
-        elif dialect == "indent_or_blank" and line[0] in " \t" and block:
-            blocks.append(block)
-            block = [line]
-        else:
-            block.append(line)
-    return sum(has_word("\n".join(b)) for b in [*blocks, block])
-
-
-COUNT = {"words": words, "sentences": sentences, "bullets": bullets, "chars": chars, "lines": lines, "paragraphs": paragraphs}
-
-_ITEM = re.compile(r"([ \t]*)(?:[-*+•‣●·]|\d{1,3}[.)]|\(\d{1,3}\)|[a-zA-Z][.)])[ \t]+(\S.*)")
-FIELDS = ("compliant", "count_ok", "keyword_ok", "unique_ok")
+        return F.regexp_count(t, F.lit(f"{cc.NOT_SPACE}++"))
+    apart = cc.SPACE[1:-1] + _DASHES + ("-" if dialect == "hyphen_split" else "")
+    return _runs(t, apart, cc.LETTER if dialect == "alpha_only" else cc.LETTER_OR_DIGIT)
 
 
-def bodies(t):
-    found = [_ITEM.match(line) for line in t.split("\n")]
-    return [m.group(2) for m in found if m and len(m.group(1).replace("\t", "    ")) < 2]
+def sentences(t: Column) -> Column:
+    """Sentences: a token that ends in a stop closes one, unless it is an abbreviation, a list's number or the next begins small."""
+    numbered = F.regexp_replace(t, rf"(?md)^([ \t]*\p{{Nd}}+)\.(?!{cc.STOP})", "$1" + cc.MASK)
+    tokens = F.split(numbered, f"{cc.SPACE}+")
+    short = rf"(?i)(?:\A|[^\p{{L}}.])\.*{cc.ABBREVIATION}\.{cc.CLOSER}*\z"
+    small = lambda i: F.coalesce(F.get(tokens, i + 1).rlike(r"\A\p{javaLowerCase}"), F.lit(False))
+    ends = lambda x, i: x.rlike(rf"{cc.STOP}{cc.CLOSER}*\z") & ~x.rlike(short) & ~small(i)
+    marked = F.transform(tokens, lambda x, i: F.concat(x, F.when(ends(x, i), F.lit(cc.CUT)).otherwise(F.lit(" "))))
+    return F.regexp_count(F.array_join(marked, ""), F.lit(rf"[^{cc.CUT}]*?{cc.LETTER_OR_DIGIT}[^{cc.CUT}]*+"))
 
 
-def repeats(t):
-    keys = [" ".join("".join(ch if ch.isalnum() else " " for ch in b).split()).casefold() for b in bodies(t)]
-    return len(keys) != len(set(keys))
+def paragraphs(t: Column) -> Column:
+    """Paragraphs: a fold over lines of (how many are complete, whether the open one has a word)."""
+    state = lambda n, word: F.struct(n.cast("int").alias("n"), word.alias("word"))
 
+    def step(s: Column, line: Column) -> Column:
+        return F.when(line.rlike(cc.NOT_SPACE), state(s["n"], s["word"] | line.rlike(cc.LETTER_OR_DIGIT))).otherwise(state(s["n"] + s["word"].cast("int"), F.lit(False)))
 
-def has_keyword(t, keyword):
-    for ch in DASHES + "-":
-        t = t.replace(ch, " ")
-    return any("".join(ch for ch in w if ch.isalnum()).casefold() == keyword.casefold() for w in t.split())
+    return F.aggregate(F.split(t, "\n"), state(F.lit(0), F.lit(False)), step, lambda s: s["n"] + s["word"].cast("int"))
 
 
-def verdict(row, rules):
-    """FIELDS of one answer; ``row`` has dimension, mode, target, unique, keyword and response."""
-    t = ("" if row.response is None else row.response).strip()
-    n = COUNT[row.dimension](t, rules[row.dimension])
-    count = {"exact": n == row.target, "at_most": n <= row.target, "at_least": n >= row.target}[row.mode]
-    keyword, unique = has_keyword(t, row.keyword), not (row.unique and repeats(t))
-    return t != "" and count and keyword and unique, count, keyword, unique
+def counted(dimension: Column, t: Column) -> Column:
+    """The published count of a dimension of a trimmed text."""
+    made = {
+        "words": words(t),
+        "sentences": sentences(t),
+        "bullets": F.regexp_count(t, F.lit(rf"{_IN_LINE}(?={cc.NOT_SPACE})")),
+        "chars": F.length(t),
+        "lines": _runs(t, r"\n", cc.LETTER_OR_DIGIT),
+        "paragraphs": paragraphs(t),
+    }
+    out = F.lit(None).cast("int")
+    for d, n in made.items():
+        out = F.when(dimension == d, n).otherwise(out)
+    return out
 
 
-def tallies(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """(system, n, compliant, count_ok, keyword_ok, unique_ok) of raw answers: items with ``system`` and ``response``."""
+def _folded(t: Column) -> Column:
+    return F.lower(F.concat(F.upper(t), F.lit("")))
+
+
+def has_keyword(t: Column, keyword: Column) -> Column:
+    """Whether a keyword stands among the words of a text, both without anything but letters and digits."""
+    apart = F.regexp_replace(t, f"[{_DASHES}-]|{cc.SPACE}", " ")
+    bare = _folded(F.regexp_replace(apart, r"[^\p{L}\p{N} ]", ""))
+    return F.contains(F.concat(F.lit(" "), bare, F.lit(" ")), F.concat(F.lit(" "), _folded(keyword), F.lit(" ")))
+
 
-    def count(frames):
-        for frame in frames:
-            got = pd.DataFrame([verdict(r, rules) for r in frame.itertuples(index=False)], columns=FIELDS, dtype="int64")
-            got.insert(0, "system", frame["system"].to_numpy())
-            got.insert(1, "n", 1)
-            yield got.groupby("system", as_index=False, dropna=False).sum()
+def repeats(t: Column) -> Column:
+    """Whether two bullets say the same."""
+    bodies = F.regexp_extract_all(t, F.lit(rf"{_IN_LINE}({cc.NOT_SPACE}[^\n]*)"), F.lit(1))
+    keys = F.transform(bodies, lambda b: _folded(F.array_join(F.regexp_extract_all(b, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), " ")))
+    return F.size(F.array_distinct(keys)) < F.size(keys)
 
-    asked = rows.select("system", "dimension", "mode", "target", "unique", "keyword", "response")
-    parts = asked.mapInPandas(count, "system string, n long, " + ", ".join(f"{f} long" for f in FIELDS))
-    return parts.groupBy("system").agg(*[F.sum(f).alias(f) for f in ("n", *FIELDS)])
+
+def _trimmed() -> Column:
+    return F.btrim(F.coalesce("response", F.lit("")), F.lit(_SPACES))
+
+
+def _meets(n: Column) -> Column:
+    return F.when(F.col("mode") == "exact", n == F.col("target")).when(F.col("mode") == "at_most", n <= F.col("target")).otherwise(n >= F.col("target"))
+
+
+def tallies(rows: DataFrame) -> DataFrame:
+    """(system, n, compliant, count_ok, keyword_ok, unique_ok) of raw answers: items with ``system`` and ``response``."""
+    t = F.col("_t")
+    own = rows.select("system", "dimension", "mode", "target", "unique", "keyword", _trimmed().alias("_t"))
+    made = own.select("system", t, _meets(counted(F.col("dimension"), t)).alias("count_ok"), has_keyword(t, F.col("keyword")).alias("keyword_ok"), (~(F.col("unique") & repeats(t))).alias("unique_ok"))
+    whole = made.withColumn("compliant", (t != "") & F.col("count_ok") & F.col("keyword_ok") & F.col("unique_ok"))
+    return whole.groupBy("system").agg(F.count("*").alias("n"), *[F.count_if(f).alias(f) for f in FIELDS])
 
 
 def words_spread(rows: DataFrame) -> DataFrame:
     """(system, spread_points): how far the rules for words move the rate of raw answers to items about words."""
     dialects = ("plain", "hyphen_split", "whitespace", "alpha_only")
-
-    def count(frames):
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                own = r._replace(unique=False, keyword="")
-                out.append((r.system, 1, *(int(verdict(own, {"words": d})[1]) for d in dialects)))
-            yield pd.DataFrame(out, columns=["system", "n", *dialects]).groupby("system", as_index=False, dropna=False).sum()
-
-    asked = rows.where("dimension = 'words'").select("system", "dimension", "mode", "target", "unique", "keyword", "response")
-    parts = asked.mapInPandas(count, "system string, n long, " + ", ".join(f"{d} long" for d in dialects))
-    rates = parts.groupBy("system").agg(*[F.bround(F.sum(d) / F.sum("n"), 4).alias(d) for d in dialects])
+    own = rows.where("dimension = 'words'").withColumn("_t", _trimmed())
+    rates = own.groupBy("system").agg(*[F.bround(F.count_if(_meets(words(F.col("_t"), d))) / F.count("*"), 4).alias(d) for d in dialects])
     return rates.select("system", F.bround((F.greatest(*dialects) - F.least(*dialects)) * 100, 2).alias("spread_points"))

@@ -17,6 +17,7 @@ from ..functions.probes import PROBES
 from ..functions.vocabulary import EXACT, HEADINGS, NOUNS, TAIL
 from ..operators import compose, giant, hashtree, items, ordered, recorded, recount, scan, scoring
 from ..operators.grading import answers_of, grade, keyword_present, unwrap
+from ..sources import files
 from ..sources.scratch import scratch_folder
 from ..streaming.recorder import Recorder
 from . import duck
@@ -566,6 +567,21 @@ def repeated_keys(spark, sf_dir):
     return recorded.repeated_ids(rows, "nation")
 
 
+@query(
+    """WITH r AS (SELECT role system, (conv_id + turn) % 6 k, coalesce(length(text), 0) n FROM conversations)
+SELECT system, ['flag', 'flag', 'level', 'none', 'absent', 'number'][k + 1] kind, CASE k WHEN 0 THEN false WHEN 1 THEN true END flag, CASE WHEN k = 2 THEN 'low' END AS level, count(*) n, sum(n)::BIGINT chars
+FROM r GROUP BY system, k"""
+)
+def think_kinds(spark, sf_dir):
+    """Lines of JSON made of conversations, parsed as VARIANT: whether a line's `think` is a flag, a word, a number, null or not there."""
+    said = F.element_at(F.array(*[F.lit(x) for x in (',"think":false', ',"think":true', ',"think":"low"', ',"think":null', "", ',"think":2')]), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
+    text = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("response")))
+    lines = read(spark, sf_dir, "conversations").select(F.col("role").alias("system"), F.concat(F.substring(text, F.lit(1), F.length(text) - 1), said, F.lit("}")).alias("line"))
+    row = F.parse_json("line")
+    parsed = lines.select("system", row.alias("row")).select("system", files.thinking(F.col("row")).alias("t"), F.length(F.variant_get("row", "$.response", "string")).alias("n"))
+    return parsed.groupBy("system", "t.kind", "t.flag", "t.level").agg(F.count("*").alias("n"), F.sum("n").cast("long").alias("chars"))
+
+
 _PAGE_PATH = "concat(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '/', page_id % 16, '/', page_id, '.html')"
 
 
@@ -692,16 +708,21 @@ def board_union(spark, sf_dir):
     return a.unionByName(b).groupBy("system").agg(F.count("*").alias("n"))
 
 
+_OTHER = [(d, k, i) for d in c.COUNTED for i, k in enumerate(c.DIALECTS[d]) if k != c.PUBLISHED[d] and (d, k) != ("chars", "nfc_codepoints")]
+
+
 @query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{d}', '{k}', {i})" for d in c.DIALECTS for i, k in enumerate(c.DIALECTS[d]) if k != c.PUBLISHED[d])
-    + ") v(dimension, dialect, pos)"
+    duck.counted(TEXTS_SQL)
+    + ", u AS ("
+    + " UNION ALL ".join(f"SELECT '{d}' dimension, '{k}' dialect, {i} pos, {duck.count_of(d, k)} - {duck.count_of(d)} e FROM counted" for d, k, i in _OTHER)
+    + ") SELECT dimension, dialect, pos, count_if(e <> 0) moved, sum(abs(e))::BIGINT by_how_much, count(*) n FROM u GROUP BY ALL"
 )
 def alternatives(spark, sf_dir):
-    """The rules that a board is not published under."""
-    dims = spark.createDataFrame([(d, list(k), c.PUBLISHED[d]) for d, k in c.DIALECTS.items()], "dimension string, dialects array<string>, published string")
-    other = dims.select("dimension", "dialects", F.explode(F.array_except("dialects", F.array("published"))).alias("dialect"))
-    return other.select("dimension", "dialect", (F.array_position("dialects", F.col("dialect")) - 1).cast("int").alias("pos"))
+    """The rules that a board is not published under: how many documents each counts otherwise, and by how much in all."""
+    t = F.col("text")
+    seen = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(k).alias("dialect"), F.lit(i).alias("pos"), (c.count(d, t, {d: k}) - c.count(d, t)).alias("e")) for d, k, i in _OTHER])
+    rows = texts(spark, sf_dir).select(F.explode(seen).alias("x")).select("x.*")
+    return rows.groupBy("dimension", "dialect", "pos").agg(F.count_if(F.col("e") != 0).alias("moved"), F.sum(F.abs("e")).alias("by_how_much"), F.count("*").alias("n"))
 
 
 _TALLIES = ["compliant", "count_ok", "keyword_ok", "unique_ok"]
@@ -715,7 +736,7 @@ def recount_tallies(spark, sf_dir):
     """Four tallies of each system, claimed by the grades and recounted from the raw answers by other code."""
     rows = answered(spark, sf_dir)
     claimed = scoring.score(grade(rows)).where("family is null").select("system", *[F.col(f).alias(f"a_{f}") for f in _TALLIES])
-    both = claimed.join(recount.tallies(rows, c.PUBLISHED), "system", "full_outer")
+    both = claimed.join(recount.tallies(rows), "system", "full_outer")
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"a_{f}").alias("claimed"), F.col(f).alias("recounted")) for f in _TALLIES]))
     return both.select("system", pairs.alias("x")).select("system", "x.*", F.col("x.claimed").eqNullSafe(F.col("x.recounted")).alias("agree"))
 
@@ -737,20 +758,18 @@ def recount_compare(spark, sf_dir):
     rows = answered(spark, sf_dir)
     claimed = scoring.score(grade(rows)).where("family is null").select("system", "compliant")
     lost = rows.withColumn("response", F.when(F.col("doc_id") % 3 != 0, F.col("response")))
-    return recorded.compare_tallies(claimed, recount.tallies(lost, c.PUBLISHED), ["system"], ["compliant"])
+    return recorded.compare_tallies(claimed, recount.tallies(lost), ["system"], ["compliant"])
 
 
 @query(
-    f"""{_RECORDED_SQL}, n AS (SELECT system, count(*) total, count_if(truncated) cut, round_even(count_if(truncated) / count(*), 4) share, max(thinking_chars) chars, max(num_predict) budget FROM rec GROUP BY system),
-o AS (SELECT source system, count_if(length(text) % 2 = 0) open FROM documents WHERE doc_id % 9 = 0 GROUP BY 1)
+    f"""{GRADED_SQL}, {_RECORDED_SQL.removeprefix("WITH ")}, n AS (SELECT system, count(*) total, count_if(truncated) cut, round_even(count_if(truncated) / count(*), 4) share, max(thinking_chars) chars, max(num_predict) budget FROM rec GROUP BY system),
+o AS (SELECT system, count_if(CASE WHEN mode = 'at_most' THEN observed <= target ELSE observed < target END) open FROM graded WHERE doc_id % 9 = 0 GROUP BY system)
 SELECT system, printf('%d of %d answers (%.1f%%) were cut off at a budget of %d tokens, after at most %d characters of reasoning; %d of them could still have met their count',
   cut, total, share * 100, budget, chars, coalesce(open, 0)) caveat FROM n LEFT JOIN o USING (system) WHERE cut > 0"""
 )
 def truncation_caveats(spark, sf_dir):
-    """What a page says about recordings with answers that were cut off."""
-    cut = read(spark, sf_dir, "documents").where("doc_id % 9 = 0")
-    open_ = cut.groupBy(F.col("source").alias("system")).agg(F.count_if(F.length("text") % 2 == 0).alias("undetermined"))
-    return scoring.caveats(recorded.notes(_recordings(spark, sf_dir)), open_)
+    """What a page says about recordings with answers that were cut off, and how many of these the grades leave open."""
+    return scoring.caveats(recorded.notes(_recordings(spark, sf_dir)), truncated_open(spark, sf_dir))
 
 
 _PLANTS = (
@@ -782,26 +801,38 @@ def secret_findings(spark, sf_dir):
     return scan.findings(planted, "doc_id")
 
 
+_CONTROLS = scan.controls()
+
+
 def _controls_sql() -> str:
-    units = [f"SELECT label, kind, len(regexp_extract_all(t, {duck.q(p.replace(_EXCEPT, ''))})) n FROM c" for _, p in scan.PATTERNS]
-    values = ", ".join(f"({duck.q(a)}, {duck.q(k)}, {duck.q(t)})" for a, k, t in scan.controls())
-    return f"""WITH c AS (SELECT * FROM (VALUES {values}) v(label, kind, t)), f AS (SELECT label, kind, sum(n) n FROM ({" UNION ALL ".join(units)}) GROUP BY ALL)
-SELECT kind, count(*) controls, count_if(n > 0) flagged, count_if((n > 0) = (kind = 'positive')) as_wanted FROM f GROUP BY kind"""
+    units = [f"SELECT doc_id, label, kind, len(regexp_extract_all(t, {duck.q(p.replace(_EXCEPT, ''))})) n FROM p" for _, p in scan.PATTERNS]
+    values = ", ".join(f"({i}, {duck.q(a)}, {duck.q(k)}, {duck.q(t)})" for i, (a, k, t) in enumerate(_CONTROLS))
+    return f"""WITH c AS (SELECT * FROM (VALUES {values}) v(i, label, kind, x)), p AS (SELECT doc_id, label, kind, x || chr(10) || coalesce(text, '') t FROM documents JOIN c ON doc_id % {len(_CONTROLS)} = i),
+f AS (SELECT doc_id, label, kind, sum(n) n FROM ({" UNION ALL ".join(units)}) GROUP BY ALL)
+SELECT label, kind, count(*) documents, count_if(n > 0) flagged, sum(n)::BIGINT findings FROM f GROUP BY label, kind"""
 
 
 @query(_controls_sql())
 def scan_controls(spark, sf_dir):
-    """Whether the scan finds what it must and leaves what it must."""
-    return scan.rolled_up(spark)
+    """Documents with a control before each: what the scan must find is found in all, what it must not in those that have findings of their own."""
+    planted = spark.createDataFrame([(i, *x) for i, x in enumerate(_CONTROLS)], "i long, label string, kind string, x string")
+    rows = read(spark, sf_dir, "documents").join(F.broadcast(planted), F.col("doc_id") % len(_CONTROLS) == F.col("i"))  # a dozen rows
+    found = F.reduce(F.array(*[F.regexp_count("t", F.lit(p)) for _, p in scan.PATTERNS]), F.lit(0), lambda a, x: a + x)
+    rows = rows.select("label", "kind", F.concat("x", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("t")).select("label", "kind", found.alias("n"))
+    return rows.groupBy("label", "kind").agg(F.count("*").alias("documents"), F.count_if(F.col("n") > 0).alias("flagged"), F.sum("n").alias("findings"))
 
 
 @query(
-    duck.counted("SELECT label k, label, t FROM (VALUES " + ", ".join(f"({duck.q(k)}, {duck.q(t)})" for k, t in PROBES) + ") v(label, t)")
-    + f" SELECT label, {', '.join(duck.ALL_COUNTS)} FROM counted"
+    duck.counted(
+        f"SELECT doc_id k, doc_id, label, x || chr(10) || chr(10) || d.t t FROM ({TEXTS_SQL}) d JOIN (VALUES " + ", ".join(f"({i}, {duck.q(k)}, {duck.q(t)})" for i, (k, t) in enumerate(PROBES)) + f") v(i, label, x) ON doc_id % {len(PROBES)} = i"
+    )
+    + f" SELECT doc_id, label, {', '.join(duck.ALL_COUNTS)} FROM counted"
 )
 def probe_counts(spark, sf_dir):
-    """Every count of every probe text."""
-    return c.with_counts(spark.createDataFrame(list(PROBES), "label string, text string")).drop("text")
+    """Every count of every document behind a probe text, in which every rule has something to decide."""
+    probes = spark.createDataFrame([(i, *x) for i, x in enumerate(PROBES)], "i long, label string, x string")
+    rows = texts(spark, sf_dir).join(F.broadcast(probes), F.col("doc_id") % len(PROBES) == F.col("i"))  # a few dozen rows
+    return c.with_counts(rows.select("doc_id", "label", F.concat("x", F.lit("\n\n"), "text").alias("text"))).drop("text")
 
 
 @query(

@@ -61,6 +61,26 @@ def read_recorded(spark: SparkSession, pattern: str) -> DataFrame:
     return rows.select(F.regexp_extract("seq.path", r"([^/]+)\.jsonl(?:/[^/]+)?$", 1).alias("system"), "seq", "r.*")
 
 
+def read_variants(spark: SparkSession, pattern: str) -> DataFrame:
+    """(system, seq, row) of the same lines, each as a VARIANT: values keep the types that they have in the file.
+
+    A line that is no JSON is null.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("line"))
+    rows = spark.read.text(pattern).select("value", at.alias("seq")).where(F.trim("value") != "")
+    return rows.select(F.regexp_extract("seq.path", r"([^/]+)\.jsonl(?:/[^/]+)?$", 1).alias("system"), "seq", F.try_parse_json("value").alias("row"))
+
+
+def thinking(row: Column) -> Column:
+    """What a recording's line (VARIANT) says of thinking, as struct (kind, flag, level): kind is flag (true or false), level (a word), number,
+    none (a JSON null), absent, or other; flag and level are null unless the kind is theirs."""
+    think = F.variant_get(row, "$.think", "variant")
+    of = F.schema_of_variant(think)
+    kind = F.when(of.isNull(), "absent").when(of == "BOOLEAN", "flag").when(of == "STRING", "level").when(of == "VOID", "none").when(of.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number").otherwise("other")
+    flag, level = (F.when(of == t, F.try_variant_get(row, "$.think", t.lower())) for t in ("BOOLEAN", "STRING"))
+    return F.struct(kind.alias("kind"), flag.alias("flag"), level.alias("level"))
+
+
 def available(spark: SparkSession, folder: str) -> DataFrame:
     """(system) for each recording in a folder, sorted; no rows if there is no such folder."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

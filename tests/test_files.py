@@ -44,6 +44,18 @@ def test_recordings(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/w").first().response == "é"
 
 
+def test_thinking_by_type(spark, tmp_path):
+    """A flag, a word, a number, a null and nothing are told apart, which text cannot do."""
+    said = ["false", '"false"', "true", '"low"', "null", '"null"', "3", "1.5", "[1]", None]
+    lines = ["{" + f'"id":"{k}"' + (f',"think":{x}' if x else "") + "}" for k, x in enumerate(said)]
+    (tmp_path / "m.jsonl").write_text("\n".join(lines) + "\n\nno json\n")
+    rows = files.read_variants(spark, f"{tmp_path}/*.jsonl").select("system", "seq", files.thinking(F.col("row")).alias("t")).orderBy("seq").select("system", "t.*").collect()
+    assert [tuple(r) for r in rows] == [
+        ("m", "flag", False, None), ("m", "level", None, "false"), ("m", "flag", True, None), ("m", "level", None, "low"), ("m", "none", None, None), ("m", "level", None, "null"),
+        ("m", "number", None, None), ("m", "number", None, None), ("m", "other", None, None), ("m", "absent", None, None), ("m", "absent", None, None),
+    ]
+
+
 def test_replies(spark):
     reply = json.dumps({"message": {"content": "hi", "thinking": "abc"}, "done_reason": "length", "eval_count": 3})
     r = spark.range(1).select(files.flatten_reply(F.lit(reply)).alias("r")).first().r

@@ -60,6 +60,13 @@ def test_fill():
         assert len(compose.fill(n, "yeast", "x")) == n
 
 
+def test_fill_in_closed_form(spark):
+    cases = [(n, k, i) for n in [*range(0, 80), 1000, 20_000] for k, i in (("yeast", "x"), ("", "chars-17"), ("ßab", "é1"))]
+    df = spark.createDataFrame(cases, "n int, k string, i string")
+    got = {(r.n, r.k, r.i): r.t for r in df.select("*", compose.chars_answer(F.col("n"), F.col("k"), F.col("i")).alias("t")).collect()}
+    assert got == {(n, k, i): compose.fill(n, k, i) for n, k, i in cases}
+
+
 def test_predicates(spark):
     df = spark.createDataFrame([("exact", 3, 3), ("at_most", 2, 3), ("at_least", 4, 3)], "m string, o int, t int")
     assert all(r[0] for r in df.select(satisfies(F.col("m"), F.col("o"), F.col("t"))).collect())
