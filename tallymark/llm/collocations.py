@@ -33,14 +33,16 @@ CELLS, ROWS = 1 << 24, 2
 #: Cells that one row of the exchanged sketch covers: 65,536 at most, as gaps between touched cells take two bytes.
 BLOCK = 1 << 16
 #: Bytes of text that are worked on at once (a longer text is worked on alone).
-CHUNK = 4 << 20
+CHUNK = 3 << 20
 #: Words that a task remembers.
 WORDS = 400_000
 #: Parts in which the first phrases of a language are looked for before they meet.
 PARTS = 64
 
-# A-Z in lower case; what ends a piece is a line feed; a tab is a space.
-_TABLE = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b for b in range(256))
+# The byte that ends a piece: none that UTF-8 has.
+_END = b"\xff"
+# A-Z in lower case; what ends a piece is _END.
+_TABLE = bytes(b + 32 if 65 <= b <= 90 else _END[0] if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -48,13 +50,14 @@ class _Words(dict):
     """Numbers words as they come, from 1 on; 0 ends a piece. Hashes of words by number."""
 
     def __init__(self):
-        super().__init__({b"\n": 0})
-        self.spelled = [b"\n"]
+        super().__init__({_END: 0})
+        #: Words by number, a character a byte.
+        self.spelled = ["\n"]
         self._hashes = np.zeros(1, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self.spelled)
-        self.spelled.append(word)
+        self.spelled.append(word.decode("latin-1"))
         return n
 
     def hashes(self) -> np.ndarray:
@@ -62,18 +65,18 @@ class _Words(dict):
 
         known = len(self._hashes)
         if known < len(self.spelled):
-            self._hashes = np.concatenate([self._hashes, np.array([xxhash.xxh64_intdigest(w) for w in self.spelled[known:]], np.uint64)])
+            self._hashes = np.concatenate([self._hashes, np.array([xxhash.xxh64_intdigest(w.encode("latin-1")) for w in self.spelled[known:]], np.uint64)])
         return self._hashes
 
 
 def tokens(texts: list[str]) -> list[bytes]:
-    """Words of some texts in lower case (A-Z), with a line feed behind each piece."""
-    return b"\n".join(t.encode().translate(_TABLE) for t in texts).replace(b"\n", b" \n ").split(b" ")
+    """Words of some texts in lower case (A-Z), with _END behind each piece."""
+    marked = _END.join(t.encode().translate(_TABLE) for t in texts) + _END
+    return marked.replace(_END, b" " + _END + b" ").split()
 
 
 def _ids(words: _Words, texts: list[str]) -> np.ndarray:
-    found = [w for w in tokens(texts) if w]
-    found.append(b"\n")
+    found = tokens(texts)
     return np.fromiter(map(words.__getitem__, found), np.int64, len(found))
 
 
@@ -242,7 +245,7 @@ def count_phrases(docs: DataFrame, bounds: Bounds) -> DataFrame:
             (one, _), *longer = sent.value.candidates(ids, words.hashes(), _lang_hash(lang), len(sent.value.bits))
             spelled, out = words.spelled, [(0, "", int((ids > 0).sum()))]
             single, times = np.unique(ids[one], return_counts=True)
-            out += [(1, spelled[i].decode(), n) for i, n in zip(single.tolist(), times.tolist(), strict=True)]
+            out += [(1, spelled[i], n) for i, n in zip(single.tolist(), times.tolist(), strict=True)]
             width, phrases = len(spelled), []
             for n, (at, _) in enumerate(longer, 2):
                 code = ids[at]
@@ -250,15 +253,15 @@ def count_phrases(docs: DataFrame, bounds: Bounds) -> DataFrame:
                     _, code = np.unique(code, return_inverse=True) if k > 1 else (None, code)
                     code = code * width + ids[at + k]
                 _, first = np.unique(code, return_index=True)
-                phrases += [(n, b" ".join([spelled[i] for i in ids[p : p + n].tolist()]).decode()) for p in at[first].tolist()]
-            # One byte a character, so that places in a text are bytes.
-            joined = b" ".join([b"", *map(spelled.__getitem__, ids.tolist()), b""]).decode("latin-1")
-            found = scan(joined, [p.encode().decode("latin-1") for _, p in phrases])
+                parts = [map(spelled.__getitem__, ids[at[first] + k].tolist()) for k in range(n)]
+                phrases += [(n, " ".join(p)) for p in zip(*parts, strict=True)]
+            joined = " ".join(["", *map(spelled.__getitem__, ids.tolist()), ""])
+            found = scan(joined, [p for _, p in phrases])
             out += [(n, p, t) for (n, p), t in zip(phrases, found.tolist(), strict=True)]
             n_words, phrase, times = zip(*out, strict=True)
             for k in range(0, len(out), 50_000):
                 part = slice(k, k + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n_words[part]), pa.string()), pa.array(n_words[part], pa.int32()), pa.array(phrase[part], pa.string()), pa.array(times[part], pa.int64())], schema=_COUNTED)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n_words[part]), pa.string()), pa.array(n_words[part], pa.int32()), pa.array([p if p.isascii() else p.encode("latin-1").decode() for p in phrase[part]], pa.string()), pa.array(times[part], pa.int64())], schema=_COUNTED)
 
     return docs.mapInArrow(run, "lang string, n_words int, phrase string, times long")
 
