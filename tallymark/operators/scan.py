@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +43,58 @@ def findings(texts: DataFrame, key: str, text: str = "text", patterns=PATTERNS)
     )
 
 
+#: Bytes of patterns that are broadcast at once; a larger table is gone through in several passes over the texts.
+PASS_BYTES = 8 << 20
+
+
+def findings_of(texts: DataFrame, key: str, patterns: DataFrame, text: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """(key, pattern, n, sample): how often each pattern of a table matches a text, and its first match; only those that match.
+
+    ``patterns`` has pattern (a name), fixed (text that every match holds; null or empty if there is none) and regex. An Aho-Corasick
+    automaton over the fixed parts goes through a text once, however many patterns there are, and picks those whose regular
+    expression is then tried; those without a fixed part are always tried. Null texts match nothing; null regexes are left out, equal
+    rows count once, and no patterns or texts give no rows. A key may be on several rows: each is a text of its own.
+    """
+    rows = patterns.where("regex is not null").select(F.col("pattern").cast("string"), F.coalesce("fixed", F.lit("")).alias("fixed"), "regex").distinct()
+    size = rows.agg(F.sum(F.octet_length("regex") + F.octet_length("fixed") + F.coalesce(F.octet_length("pattern"), F.lit(0)))).first()[0] or 0
+    passes = max(1, -(-size // pass_bytes))
+    kind = texts.schema[key].dataType.simpleString()
+    given = texts.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("t is not null")
+
+    def one(part: int) -> DataFrame:
+        share = rows.where(F.pmod(F.xxhash64("pattern", "fixed", "regex"), F.lit(passes)) == part)
+        table = sorted((tuple(r) for r in share.collect()), key=repr)  # pass_bytes or so
+        sent = texts.sparkSession.sparkContext.broadcast(table)
+
+        def search(frames):
+            import ahocorasick
+
+            by_part: dict[str, list[int]] = {}
+            for i, (_, fixed, _) in enumerate(sent.value):
+                by_part.setdefault(fixed, []).append(i)
+            always, automaton = by_part.pop("", []), ahocorasick.Automaton()
+            for fixed, own in by_part.items():
+                automaton.add_word(fixed, own)
+            if by_part:
+                automaton.make_automaton()
+            made: dict[int, re.Pattern] = {}
+            for frame in frames:
+                out = []
+                for k, t in zip(frame["k"], frame["t"], strict=True):
+                    held = {i for _, own in automaton.iter(t) for i in own} if by_part else set()
+                    for i in sorted(held.union(always)):
+                        if i not in made:
+                            made[i] = re.compile(sent.value[i][2])
+                        found = [m.group() for m in made[i].finditer(t)]
+                        if found:
+                            out.append((k, sent.value[i][0], len(found), found[0]))
+                yield pd.DataFrame(out, columns=["k", "pattern", "n", "sample"])
+
+        return given.mapInPandas(search, f"k {kind}, pattern string, n long, sample string")
+
+    return reduce(DataFrame.union, [one(p) for p in range(passes)]).withColumnRenamed("k", key)
+
+
 def controls() -> list[tuple[str, str, str]]:
     """(label, kind, text): what the scan must find (positive) and must not (negative). Put together here, so this file holds no match."""
     positive = {

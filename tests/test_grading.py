@@ -164,6 +164,18 @@ def test_scan(spark):
     assert all(len(r.sample) <= 15 for r in scan.findings(df, "k").collect())
 
 
+@pytest.mark.parametrize("pass_bytes", [1 << 20, 12])
+def test_patterns_of_a_table(spark, pass_bytes):
+    """Fixed parts that lie in each other, patterns that share one, that have none, and tables of several passes."""
+    patterns = [("a", "abc", "abc[0-9]+"), ("b", "bc", "bc"), ("c", "abc", "^abc"), ("d", None, "x{2,}"), ("e", "", "q"), ("f", "zz", None), ("b", "bc", "bc"), ("g", "é+", r"é\+.")]
+    texts = [(1, "abc1 abc22 abc"), (2, "xx xxx bcbc"), (3, None), (4, ""), (4, "é+! q"), (None, "abc")]
+    table = spark.createDataFrame(patterns, "pattern string, fixed string, regex string")
+    df = spark.createDataFrame(texts, "`id` int, text string")
+    got = sorted((tuple(r) for r in scan.findings_of(df, "id", table, pass_bytes=pass_bytes).collect()), key=repr)
+    assert got == sorted([(1, "a", 2, "abc1"), (1, "b", 3, "bc"), (1, "c", 1, "abc"), (2, "d", 2, "xx"), (2, "b", 2, "bc"), (4, "e", 1, "q"), (4, "g", 1, "é+!"), (None, "b", 1, "bc"), (None, "c", 1, "abc")], key=repr)
+    assert scan.findings_of(df, "id", table.limit(0)).count() == 0 and scan.findings_of(df.limit(0), "id", table).count() == 0
+
+
 def test_closure_with_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
     got = recorded.closure(edges, spark.createDataFrame([("a",)], "node string"))
