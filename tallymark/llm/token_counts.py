@@ -36,8 +36,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 CHANGES = "doc_id long, source string, lang string, tokenizer_version string, n_tokens long, op string"
 GROUP = ["source", "lang", "tokenizer_version"]
-#: Buckets of the ledger.
-BUCKETS = 32
+#: Buckets of the ledger, and rows of a bucket that one task writes: a larger share of a batch is written by several.
+BUCKETS, TASK_ROWS = 32, 1_000_000
 
 
 def read_ranks(spark: SparkSession, tokenizer: str | None = None) -> bytes:
@@ -103,7 +103,7 @@ class TokenRollup:
     """A ledger of signed token counts and its rollup, in a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.rows = spark, path.rstrip("/"), 0
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -171,10 +171,13 @@ class TokenRollup:
         )
 
     def _write(self, signed: DataFrame) -> str:
-        """Signed rows and their totals, in a new folder; its name."""
+        """Signed rows, ``self.rows`` at most, and their totals, in a new folder; its name."""
         folder = uuid.uuid4().hex
         ledger = f"{self.path}/ledger/{folder}"
-        signed.withColumn("bucket", _bucket()).repartition("bucket").write.partitionBy("bucket").parquet(ledger)
+        slices = -(-self.rows // (BUCKETS * TASK_ROWS))
+        dealt = signed.withColumn("bucket", _bucket())
+        dealt = dealt.repartition("bucket") if slices <= 1 else dealt.repartition(BUCKETS * slices, "bucket", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(slices)))
+        dealt.write.partitionBy("bucket").parquet(ledger)
         written = self.spark.read.schema(signed.schema).parquet(ledger)
         written.groupBy(*GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.parquet(f"{self.path}/totals/{folder}")
         return folder
@@ -203,6 +206,7 @@ class TokenRollup:
             .agg(F.max(F.struct((-rank).alias("r"), F.coalesce("n_tokens", F.lit(0)).alias("n"), "source", "lang", "op")).alias("c"))
             .select(*key, "c.source", "c.lang", "c.n", "c.op")
         )
+        self.rows = 2 * wanted.count()  # a revision takes away and adds
         touched = [r[0] for r in wanted.select(_bucket().alias("b")).distinct().collect()]  # BUCKETS numbers at most
         row = lambda s, l, d, n: F.struct(s.alias("source"), l.alias("lang"), d.alias("d_docs"), n.alias("d_tokens"))  # noqa: E731, E741
         while True:
@@ -231,6 +235,7 @@ class TokenRollup:
         """
         entries = self._entries()
         net = self._held(self._read("ledger", entries)).select("doc_id", *GROUP, F.lit(1).cast("long").alias("d_docs"), F.col("n_tokens").alias("d_tokens"))
+        self.rows = self._read("ledger", entries).count()
         folder = self._write(net)
         if self._enter(len(entries), {"batches": [], "folder": folder, "base": True}):
             return True

@@ -99,3 +99,18 @@ def test_very_long_texts(spark):
     assert tokens[1] > tokens[2] > 149_000 > tokens[3]
     taken = {r["doc_id"]: r["taken"] for r in mixing.take(docs).collect()}
     assert all(taken[k] <= 2 * n for k, n in ((1, 150_000), (2, 149_000), (3, 6)) if k in taken)
+
+
+def test_buckets_of_several_tasks(spark, tmp_path, monkeypatch):
+    """A batch whose buckets are too large for a task each is written by several, and counts the same."""
+    rows = [(k, "s", "en", "v", k % 7, "insert") for k in range(900)]
+    changes = spark.createDataFrame(rows, token_counts.CHANGES)
+    got = []
+    for most in (1_000_000, 5):
+        monkeypatch.setattr(token_counts, "TASK_ROWS", most)
+        rollup = token_counts.TokenRollup(spark, str(tmp_path / str(most)))
+        assert rollup.commit("a", changes) and rollup.commit("b", changes.where("doc_id < 300").replace("insert", "delete", "op")) and rollup.compact()
+        files = [len(list(b.glob("*.parquet"))) for b in (tmp_path / str(most) / "ledger").glob("*/bucket=*")]
+        assert max(files) == 1 if most > 5 else max(files) > 3
+        got.append(([tuple(r) for r in rollup.totals().collect()], sorted(tuple(r) for r in rollup.current().collect())))
+    assert got[0] == got[1] and got[0][0] == [("s", "en", "v", 600, sum(k % 7 for k in range(300, 900)))]
