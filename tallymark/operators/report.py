@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import counters
+from ..sources.scratch import written
 from . import recorded, scoring
 from .grading import answers_of, grade
 
@@ -20,7 +21,7 @@ def evaluate(items: DataFrame, answers: DataFrame, kinds: DataFrame, recordings:
     depends on the number of systems, families and dialects, not of answers.
     """
     rows = answers_of(items, answers)
-    graded = grade(rows)
+    graded = written(grade(rows))  # a dozen tables read it
     scores = scoring.score(graded)
     long = scoring.sensitivity(rows)
     summary = scoring.sensitivity_summary(long)
