@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tallymark.functions import counters as c
 from tallymark.functions.probes import DECIDED, PROBES
 
-from tallymark.operators import recount as model
+from . import model
 
 PARTS = [
     "word", "Dr.", "e.g.", "etc..", "no.", "Ph.D.", "3.14", "1,000", "state-of-the-art", "a+b", "+", "—", "x—y", "…", "?!", "!", ".", '."', ".)", "\n", "\n\n", "\n \n",
@@ -102,3 +102,17 @@ def test_unknown_dialects():
 def test_null(spark):
     r = c.with_counts(spark.createDataFrame([(None,)], "text string")).first()
     assert all(v is None for k, v in r.asDict().items())
+
+
+def test_recount(spark):
+    """The recount's own expressions against the same model, on probes and random texts."""
+    from tallymark.operators import recount
+
+    rng = random.Random(11)
+    drawn = [t for _, t in PROBES] + ["".join(rng.choice(PARTS) for _ in range(rng.randrange(0, 14))) for _ in range(400)]
+    df = spark.createDataFrame([(k, d, t) for k, t in enumerate(drawn) for d in model.COUNT], "k int, d string, t string")
+    trimmed = F.btrim("t", F.lit(recount._SPACES))
+    rows = df.select("k", "d", "t", recount.counted(F.col("d"), trimmed).alias("n"), recount.repeats(trimmed).alias("r"), recount.has_keyword(trimmed, F.lit("Word")).alias("w")).collect()
+    bad = [(r["d"], r["t"], r["n"]) for r in rows if r["n"] != model.COUNT[r["d"]](r["t"].strip(), c.PUBLISHED[r["d"]])]
+    assert not bad, bad[:5]
+    assert all(r["r"] == model.repeats(r["t"].strip()) and r["w"] == model.has_keyword(r["t"].strip(), "Word") for r in rows)
