@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 from tallymark.functions.charclass import ABBREVIATIONS
 
@@ -86,17 +87,12 @@ def lines(t, dialect):
 def paragraphs(t, dialect):
     if dialect == "single_newline":
         return lines(t, "nonblank")
-    blocks, block = [], []
+    closed, word = 0, False  # paragraphs so far; whether the open one has a word
     for line in t.split("\n"):
-        if not line.strip():
-            blocks.append(block)
-            block = []
-        elif dialect == "indent_or_blank" and line[0] in " \t" and block:
-            blocks.append(block)
-            block = [line]
-        else:
-            block.append(line)
-    return sum(has_word("\n".join(b)) for b in [*blocks, block])
+        if not line.strip() or dialect == "indent_or_blank" and line[0] in " \t":
+            closed, word = closed + word, False
+        word = word or has_word(line)
+    return closed + word
 
 
 COUNT = {"words": words, "sentences": sentences, "bullets": bullets, "chars": chars, "lines": lines, "paragraphs": paragraphs}
@@ -111,8 +107,8 @@ def bodies(t):
 
 
 def repeats(t):
-    keys = [" ".join("".join(ch if ch.isalnum() else " " for ch in b).split()).casefold() for b in bodies(t)]
-    return len(keys) != len(set(keys))
+    said = Counter(tuple(w.casefold() for w in re.findall(r"[^\W_]+", b)) for b in bodies(t))
+    return any(n > 1 for n in said.values())
 
 
 def has_keyword(t, keyword):
