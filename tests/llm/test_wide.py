@@ -81,7 +81,7 @@ def test_licenses_in_very_many_lines(kind):
     text = "\n".join([*lines_of(kind, 200_000, random.Random(1)), *license_scan.TEMPLATES.values()]).encode()
     start = time.process_time()
     found = scanner.texts([text])[0]
-    assert len(found) == len(license_scan.TEMPLATES) and time.process_time() - start < 40
+    assert len(found) == len(license_scan.TEMPLATES) and time.process_time() - start < 90
 
 
 def test_very_long_texts(spark):
