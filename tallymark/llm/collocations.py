@@ -5,9 +5,10 @@ pass may be frequent, what it holds back is not. A phrase enters its sketch only
 theirs, so the many that occur once or twice do not fill it. Cells count up to a byte's worth; a task sends those that it has
 touched, and the tasks that add them up return one bit a cell. That is what is broadcast: a fixed size, whatever the corpus.
 
-Then each chunk of text compiles the candidates that it holds into an Aho-Corasick automaton, spelled with a space on either
-side, and scans itself with it; matches may overlap. Counts are exact and are summed over all chunks. Thresholds, cuts into
-parts and ranks follow as joins and aggregations. An automaton is as large as its chunk, however many candidates the corpus has.
+Then each chunk of text compiles the candidates that it holds into an Aho-Corasick automaton, spelled with three characters a
+word, and scans itself with it; matches may overlap. Counts are exact; a task adds them up over its chunks while they are few
+enough, and they are summed over all tasks. Thresholds, cuts into parts and ranks follow as joins and aggregations. An automaton
+is as large as its chunk, however many candidates the corpus has.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,13 +38,15 @@ BLOCK = 1 << 16
 CHUNK = 3 << 20
 #: Words that a task remembers.
 WORDS = 400_000
+#: Different phrases that a task adds up before it sends them.
+HELD = 2_000_000
 #: Parts in which the first phrases of a language are looked for before they meet.
 PARTS = 64
 
 # The byte that ends a piece: none that UTF-8 has.
 _END = b"\xff"
-# A-Z in lower case; what ends a piece is _END.
-_TABLE = bytes(b + 32 if 65 <= b <= 90 else _END[0] if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
+# A-Z in lower case, tabs as spaces; what ends a piece is _END.
+_TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else _END[0] if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -51,13 +55,13 @@ class _Words(dict):
 
     def __init__(self):
         super().__init__({_END: 0})
-        #: Words by number, a character a byte.
-        self.spelled = ["\n"]
+        #: Words by number.
+        self.spelled = [_END]
         self._hashes = np.zeros(1, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self.spelled)
-        self.spelled.append(word.decode("latin-1"))
+        self.spelled.append(word)
         return n
 
     def hashes(self) -> np.ndarray:
@@ -65,19 +69,24 @@ class _Words(dict):
 
         known = len(self._hashes)
         if known < len(self.spelled):
-            self._hashes = np.concatenate([self._hashes, np.array([xxhash.xxh64_intdigest(w.encode("latin-1")) for w in self.spelled[known:]], np.uint64)])
+            self._hashes = np.concatenate([self._hashes, np.array([xxhash.xxh64_intdigest(w) for w in self.spelled[known:]], np.uint64)])
         return self._hashes
 
 
-def tokens(texts: list[str]) -> list[bytes]:
-    """Words of some texts in lower case (A-Z), with _END behind each piece."""
+def tokens(texts: list[str]) -> pa.DictionaryArray:
+    """Words of some texts in lower case (A-Z), with _END behind each piece; between white space there may be empty ones."""
     marked = _END.join(t.encode().translate(_TABLE) for t in texts) + _END
-    return marked.replace(_END, b" " + _END + b" ").split()
+    split = pa.compute.split_pattern(pa.array([marked.replace(_END, b" " + _END + b" ")], pa.large_binary()), b" ")
+    return split.flatten().dictionary_encode()
 
 
 def _ids(words: _Words, texts: list[str]) -> np.ndarray:
+    """The words of some texts by number."""
     found = tokens(texts)
-    return np.fromiter(map(words.__getitem__, found), np.int64, len(found))
+    different = found.dictionary.to_pylist()
+    numbers = np.fromiter((words[w] if w else -1 for w in different), np.int64, len(different))
+    ids = numbers[found.indices.to_numpy()]
+    return ids[ids >= 0]
 
 
 def _cells(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
@@ -218,50 +227,126 @@ _BITS = pa.schema([("block", pa.int32()), ("bits", pa.binary())])
 _COUNTED = pa.schema([("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.string()), ("times", pa.int64())])
 
 
-def scan(text: str, phrases: list[str]) -> np.ndarray:
-    """How often each of some phrases stands in a text, overlaps included: words of both are parted by single spaces, a
-    text has one at either end as well, and line feeds between its pieces."""
+def _times(text: str, keys: list[str]) -> np.ndarray:
+    """How often each of some strings stands in a text, overlaps included."""
     import ahocorasick
 
-    if not phrases:
+    if not keys:
         return np.zeros(0, np.int64)
-    automaton = ahocorasick.Automaton()
-    for k, phrase in enumerate(phrases):
-        automaton.add_word(f" {phrase} ", k)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, key in enumerate(keys):
+        automaton.add_word(key, k)
     automaton.make_automaton()
-    return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(phrases))
+    return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(keys))
+
+
+def scan(text: str, phrases: list[str]) -> np.ndarray:
+    """How often each of some phrases stands in a text, overlaps included: words of both are parted by single spaces, a
+    text has one at either end as well, and line feeds between its pieces."""
+    return _times(text, [f" {phrase} " for phrase in phrases])
+
+
+def scan_ids(row: np.ndarray, phrases: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """``scan`` of a row of word numbers, for several lists of phrases, each given by its first, second, ... words' numbers.
+
+    A word is spelled with three characters out of three alphabets, so what matches begins where a word begins, and a state of
+    the automaton has few ways on, however many words there are.
+    """
+    local, back = np.unique(row, return_inverse=True)
+    k, base = np.arange(len(local)), 1
+    while base**3 < len(local):
+        base += 1
+    spelling = (np.stack([k // base**2, base + k // base % base, 2 * base + k % base], 1) + 1).astype("<u2")
+    spelled = lambda at: spelling[at].tobytes().decode("utf-16-le")
+    keys = []
+    for columns in phrases:
+        size = 3 * len(columns)
+        whole = spelled(np.stack([np.searchsorted(local, c) for c in columns], 1))
+        keys += [whole[i : i + size] for i in range(0, len(whole), size)]
+    return np.split(_times(spelled(back), keys), np.cumsum([len(columns[0]) for columns in phrases])[:-1])
+
+
+def _codes(columns: tuple[np.ndarray, ...], width: int) -> np.ndarray:
+    """A number for each row of word numbers below ``width``; equal rows have equal ones."""
+    code, most = columns[0].astype(np.int64), width
+    for more in columns[1:]:
+        if most * width >= 1 << 62:
+            different, code = np.unique(code, return_inverse=True)
+            most = len(different)
+        code, most = code * width + more, most * width
+    return code
+
+
+class _Tally:
+    """Counts of phrases of several chunks, by the numbers of their words."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self._held: dict[tuple[str, int], list] = {}
+        self.size = 0
+
+    def add(self, lang: str, columns: tuple[np.ndarray, ...], times: np.ndarray) -> None:
+        self._held.setdefault((lang, len(columns)), []).append((*[c.astype(np.int32) for c in columns], times))
+        self.size += len(times)
+
+    def merge(self, width: int) -> None:
+        """Each phrase once."""
+        self.size = 0
+        for key, parts in self._held.items():
+            *columns, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, first, back = np.unique(_codes(columns, width), return_index=True, return_inverse=True)
+            sums = np.zeros(len(first), np.int64)
+            np.add.at(sums, back, times)
+            self._held[key] = [(*[c[first] for c in columns], sums)]
+            self.size += len(first)
+
+    def rows(self, spelled: list[bytes]):
+        """All counts in record batches; none are held any more."""
+        self.merge(len(spelled))
+        words = pa.array(spelled, pa.large_binary())
+        for lang, n in self.words.items():
+            yield _batch(lang, 0, pa.array([""]), pa.array([n], pa.int64()))
+        for (lang, n), ((*columns, times),) in self._held.items():
+            for k in range(0, len(times), 50_000):
+                own = [words.take(pa.array(c[k : k + 50_000])) for c in columns]
+                phrase = own[0] if n == 1 else pa.compute.binary_join_element_wise(*own, pa.scalar(b" ", pa.large_binary()))
+                yield _batch(lang, n, phrase.cast(pa.large_string()).cast(pa.string()), pa.array(times[k : k + 50_000]))
+        self.__init__()
+
+
+def _batch(lang: str, n: int, phrase: pa.Array, times: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), pa.array(np.full(len(phrase), n, np.int32)), phrase, times], schema=_COUNTED)
 
 
 def count_phrases(docs: DataFrame, bounds: Bounds) -> DataFrame:
-    """(lang, n_words, phrase, times) of each phrase that passes the sketches, one row for each chunk that holds it, and of
-    n_words 0 for all words of a chunk."""
+    """(lang, n_words, phrase, times) of each phrase that passes the sketches, one row or more for each task that holds it, and of
+    n_words 0 for all words of a task."""
     sent = docs.sparkSession.sparkContext.broadcast(bounds)
 
     def run(batches):
-        words = _Words()
+        words, tally = _Words(), _Tally()
         for lang, texts in _chunks(batches, CHUNK):
-            words = words if len(words) < WORDS else _Words()
+            if len(words) >= WORDS:
+                yield from tally.rows(words.spelled)
+                words = _Words()
             ids = _ids(words, texts)
             (one, _), *longer = sent.value.candidates(ids, words.hashes(), _lang_hash(lang), len(sent.value.bits))
-            spelled, out = words.spelled, [(0, "", int((ids > 0).sum()))]
+            width = len(words.spelled)
+            tally.words[lang] = tally.words.get(lang, 0) + int((ids > 0).sum())
             single, times = np.unique(ids[one], return_counts=True)
-            out += [(1, spelled[i], n) for i, n in zip(single.tolist(), times.tolist(), strict=True)]
-            width, phrases = len(spelled), []
+            tally.add(lang, (single,), times)
+            phrases = []
             for n, (at, _) in enumerate(longer, 2):
-                code = ids[at]
-                for k in range(1, n):  # numbers stay below the square of a chunk's words and phrases
-                    _, code = np.unique(code, return_inverse=True) if k > 1 else (None, code)
-                    code = code * width + ids[at + k]
-                _, first = np.unique(code, return_index=True)
-                parts = [map(spelled.__getitem__, ids[at[first] + k].tolist()) for k in range(n)]
-                phrases += [(n, " ".join(p)) for p in zip(*parts, strict=True)]
-            joined = " ".join(["", *map(spelled.__getitem__, ids.tolist()), ""])
-            found = scan(joined, [p for _, p in phrases])
-            out += [(n, p, t) for (n, p), t in zip(phrases, found.tolist(), strict=True)]
-            n_words, phrase, times = zip(*out, strict=True)
-            for k in range(0, len(out), 50_000):
-                part = slice(k, k + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n_words[part]), pa.string()), pa.array(n_words[part], pa.int32()), pa.array([p if p.isascii() else p.encode("latin-1").decode() for p in phrase[part]], pa.string()), pa.array(times[part], pa.int64())], schema=_COUNTED)
+                columns = tuple(ids[at + k] for k in range(n))
+                _, first = np.unique(_codes(columns, width), return_index=True)
+                phrases.append(tuple(c[first] for c in columns))
+            for columns, times in zip(phrases, scan_ids(ids, phrases), strict=True):
+                tally.add(lang, columns, times)
+            if tally.size > HELD:
+                tally.merge(width)
+                if tally.size > HELD // 2:
+                    yield from tally.rows(words.spelled)
+        yield from tally.rows(words.spelled)
 
     return docs.mapInArrow(run, "lang string, n_words int, phrase string, times long")
 

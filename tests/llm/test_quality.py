@@ -154,3 +154,21 @@ def test_overlapping_matches():
     text = " a a a a \n a a "
     assert co.scan(text, ["a a", "a a a", "b"]).tolist() == [4, 2, 0]
     assert co.scan("", []).tolist() == [] and np.array_equal(co.scan(" a ", ["a"]), [1])
+
+
+@pytest.mark.parametrize(("held", "words"), [(2_000_000, 400_000), (5, 400_000), (2_000_000, 4)])
+def test_a_task_adds_up_its_chunks(spark, monkeypatch, held, words):
+    """A phrase of many chunks leaves a task once, unless there are too many to hold."""
+    for name, value in (("CHUNK", 1), ("BLOCK", 64), ("HELD", held), ("WORDS", words)):
+        monkeypatch.setattr(co, name, value)
+    docs = co._texts(spark.createDataFrame([("en", "New York city, a New York")] * 30 + [("pt", f"São Paulo {k}") for k in range(12)], "lang string, text string").coalesce(1))
+    bounds = co.Bounds(1 << 10, [])
+    for _ in range(3):
+        bounds = co.next_bounds(docs, bounds, 10)
+    rows = co.count_phrases(docs, bounds).collect()
+    sums = collections.Counter()
+    for r in rows:
+        sums[r.lang, r.n_words, r.phrase] += r.times
+    assert (sums["en", 2, "new york"], sums["en", 3, "new york city"], sums["pt", 2, "são paulo"], sums["en", 0, ""], sums["pt", 0, ""]) == (60, 30, 12, 180, 36)
+    if held > 5 and words > 4:
+        assert len(rows) == len(sums)
