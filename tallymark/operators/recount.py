@@ -1,8 +1,8 @@
 """A recount: the published rules a second time, from the raw answers, by other expressions.
 
-Nothing is shared with ``counters`` but the fixed character classes and abbreviations: words, lines and bullets are counted as
-matches rather than split off, characters are trimmed by a list rather than a pattern, paragraphs are a fold over lines,
-sentences are decided token by token rather than by masking, keywords are looked for in a text that is reduced to its words. What two
+Nothing is shared with ``counters`` but the fixed character classes, abbreviations and how ends are trimmed: words are split off
+rather than counted as matches, lines and bullets are counted as matches rather than split off, paragraphs are a fold over lines,
+sentences are decided token by token rather than by masking, keywords are looked for as parts of a text that is reduced to its words. What two
 formulations agree on is hardly wrong in both. All are Column expressions.
 """
 
@@ -14,33 +14,31 @@ from pyspark.sql import functions as F
 from ..functions import charclass as cc
 
 FIELDS = ("compliant", "count_ok", "keyword_ok", "unique_ok")
-_SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SPACES = cc.SPACES
 _DASHES = "—–―−…"
 _IN_LINE = rf"(?md)^ ?{cc.MARKER}[ \t]+"
 
 
-def _runs(t: Column, apart: str, holding: str) -> Column:
-    """How many runs without any of the characters ``apart`` hold a match."""
-    return F.regexp_count(t, F.lit(rf"[^{apart}]*?{holding}[^{apart}]*+"))
-
-
 def words(t: Column, dialect: str = "plain") -> Column:
     """Words, by any dialect."""
     if dialect == "whitespace":
         return F.regexp_count(t, F.lit(f"{cc.NOT_SPACE}++"))
-    apart = cc.SPACE[1:-1] + _DASHES + ("-" if dialect == "hyphen_split" else "")
-    return _runs(t, apart, cc.LETTER if dialect == "alpha_only" else cc.LETTER_OR_DIGIT)
+    apart = _SPACES + _DASHES + ("-" if dialect == "hyphen_split" else "")
+    holding = cc.LETTER if dialect == "alpha_only" else cc.LETTER_OR_DIGIT
+    return F.size(F.filter(F.split(F.translate(t, apart, " " * len(apart)), " "), lambda x: x.rlike(holding)))
 
 
 def sentences(t: Column) -> Column:
     """Sentences: a token that ends in a stop closes one, unless it is an abbreviation, a list's number or the next begins small."""
     numbered = F.regexp_replace(t, rf"(?md)^([ \t]*\p{{Nd}}+)\.(?!{cc.STOP})", "$1" + cc.MASK)
-    tokens = F.split(numbered, f"{cc.SPACE}+")
+    tokens = F.split(F.translate(numbered, _SPACES, " " * len(_SPACES)), " +")
     short = rf"(?i)(?:\A|[^\p{{L}}.])\.*{cc.ABBREVIATION}\.{cc.CLOSER}*\z"
-    small = lambda i: F.coalesce(F.get(tokens, i + 1).rlike(r"\A\p{javaLowerCase}"), F.lit(False))
-    ends = lambda x, i: x.rlike(rf"{cc.STOP}{cc.CLOSER}*\z") & ~x.rlike(short) & ~small(i)
-    marked = F.transform(tokens, lambda x, i: F.concat(x, F.when(ends(x, i), F.lit(cc.CUT)).otherwise(F.lit(" "))))
-    return F.regexp_count(F.array_join(marked, ""), F.lit(rf"[^{cc.CUT}]*?{cc.LETTER_OR_DIGIT}[^{cc.CUT}]*+"))
+    small = lambda x: F.coalesce(x.rlike(r"\A\p{javaLowerCase}"), F.lit(False))
+    ends = lambda x, after: x.rlike(rf"{cc.STOP}{cc.CLOSER}*\z") & ~x.rlike(short) & ~small(after)
+    mark = lambda x, after: F.concat(x, F.when(ends(x, after), F.lit(cc.CUT)).otherwise(F.lit(" ")))
+    # Named once: an expression that a function of elements names itself is worked out again for each element.
+    marked = F.transform(F.array(tokens), lambda all_: F.array_join(F.zip_with(all_, F.slice(all_, F.lit(2), F.size(all_)), mark), ""))
+    return F.regexp_count(F.get(marked, F.lit(0)), F.lit(rf"{cc.LETTER_OR_DIGIT}[^{cc.CUT}]*+"))
 
 
 def paragraphs(t: Column) -> Column:
@@ -60,7 +58,7 @@ def counted(dimension: Column, t: Column) -> Column:
         "sentences": sentences(t),
         "bullets": F.regexp_count(t, F.lit(rf"{_IN_LINE}(?={cc.NOT_SPACE})")),
         "chars": F.length(t),
-        "lines": _runs(t, r"\n", cc.LETTER_OR_DIGIT),
+        "lines": F.regexp_count(t, F.lit(rf"{cc.LETTER_OR_DIGIT}[^\n]*+")),
         "paragraphs": paragraphs(t),
     }
     out = F.lit(None).cast("int")
@@ -75,8 +73,8 @@ def _folded(t: Column) -> Column:
 
 def has_keyword(t: Column, keyword: Column) -> Column:
     """Whether a keyword stands among the words of a text, both without anything but letters and digits."""
-    apart = F.regexp_replace(t, f"[{_DASHES}-]|{cc.SPACE}", " ")
-    bare = _folded(F.regexp_replace(apart, r"[^\p{L}\p{N} ]", ""))
+    apart = _SPACES + _DASHES + "-"
+    bare = _folded(F.regexp_replace(F.translate(t, apart, " " * len(apart)), r"([\p{L}\p{N} ]*+)(?:[^\p{L}\p{N} ]++|\z)", "$1"))
     return F.contains(F.concat(F.lit(" "), bare, F.lit(" ")), F.concat(F.lit(" "), _folded(keyword), F.lit(" ")))
 
 
