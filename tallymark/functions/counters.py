@@ -67,7 +67,7 @@ def _holding(pieces: Column, what: str) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends; Spark's trim knows the space alone."""
-    return F.regexp_replace(text, rf"\A{cc.SPACE}++|{cc.SPACE}++\z", "")
+    return F.btrim(text, F.lit(cc.SPACES))
 
 
 def split_lines(text: Column) -> Column:
@@ -84,13 +84,26 @@ def words(text: Column, dialect: str = "plain") -> Column:
     return _holding(F.split(apart, f"{cc.SPACE}+"), cc.LETTER if dialect == "alpha_only" else cc.LETTER_OR_DIGIT)
 
 
+def _count_words(text: Column, dialect: str) -> Column:
+    """As the size of ``words``: one match a word, from what makes it one to where the next may begin.
+
+    A match takes what lies between words with it, so the search never tries a place in vain.
+    """
+    if dialect == "whitespace":
+        return F.regexp_count(text, F.lit(f"{cc.NOT_SPACE}++{cc.SPACE}*+"))
+    holding = cc.LETTER if dialect == "alpha_only" else cc.LETTER_OR_DIGIT
+    hyphen, printed = ("-", "!-,.-~") if dialect == "hyphen_split" else ("", "!-~")
+    # Most of a word is printed ASCII, for which a small class is faster.
+    return F.regexp_count(text, F.lit(rf"{holding}[{printed}]*+[^{cc.SPACE[1:-1]}{cc.DASH[1:-1]}{hyphen}]*+[^\p{{L}}{'' if dialect == 'alpha_only' else r'\p{N}'}]*+"))
+
+
 def _segments(text: Column) -> Column:
     """Pieces between cuts; the last one is what no stop closes.
 
     Stops after abbreviations and list numbers are masked first, so that one linear pass finds the cuts.
     """
     lone = rf"\.(?!{cc.STOP})"
-    masked = F.regexp_replace(text, rf"(?i)(?<![\p{{L}}.])(\.{{0,16}}{cc.ABBREVIATION}){lone}", f"$1{cc.MASK}")
+    masked = F.regexp_replace(text, rf"(?i)\.(?<=(?<![\p{{L}}.])\.{{0,16}}{cc.ABBREVIATION}\.)(?!{cc.STOP})", cc.MASK)
     masked = F.regexp_replace(masked, rf"(?md)^([ \t]*\p{{Nd}}+){lone}", f"$1{cc.MASK}")
     end = rf"{cc.STOP}++{cc.CLOSER}*+(?:\z|(?={cc.SPACE})(?!{cc.SPACE}*+\p{{javaLowerCase}}))"
     return F.split(F.regexp_replace(masked, end, f"$0{cc.CUT}"), cc.CUT, -1)
@@ -191,7 +204,12 @@ def chars(text: Column, dialect: str = "codepoints") -> Column:
         return F.length(F.regexp_replace(text, f"{cc.SPACE}+", ""))
     if dialect == "utf8_bytes":
         return F.octet_length(strip(text))
-    return F.length(nfc(strip(text)) if dialect == "nfc_codepoints" else strip(text))
+    bare = strip(text)
+    if dialect == "nfc_codepoints":
+        # Only texts that normalisation may change go to Python.
+        odd = ~bare.rlike(rf"\A{cc.COMPOSED}*+\z")
+        return F.length(F.coalesce(nfc(F.when(odd, bare)), bare))
+    return F.length(bare)
 
 
 def lines(text: Column, dialect: str = "nonblank") -> Column:
@@ -223,6 +241,8 @@ def count(dimension: str, text: Column, rules: dict[str, str] | None = None) ->
     dialect = check(dimension, (rules or PUBLISHED).get(dimension, PUBLISHED[dimension]))
     if dimension == "chars":
         return chars(text, dialect).cast("int")
+    if dimension == "words":
+        return _count_words(text, dialect)
     if dimension == "sentences" and dialect != "naive":
         # As sentences(), without building the pieces' text.
         if dialect == "newline_breaks":

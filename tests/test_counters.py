@@ -116,3 +116,35 @@ def test_recount(spark):
     bad = [(r["d"], r["t"], r["n"]) for r in rows if r["n"] != model.COUNT[r["d"]](r["t"].strip(), c.PUBLISHED[r["d"]])]
     assert not bad, bad[:5]
     assert all(r["r"] == model.repeats(r["t"].strip()) and r["w"] == model.has_keyword(r["t"].strip(), "Word") for r in rows)
+
+
+def test_recount_of_a_long_text(spark):
+    """Each token is looked at once: text of 20,000 words took a pass over all of it for each word."""
+    import time
+
+    from tallymark.operators import recount
+
+    text = "One word after another, e.g. this. " * 3_500
+    df = spark.createDataFrame([(text,), ("- " * 40_000,)], "t string")
+    began = time.time()
+    got = [r.n for r in df.select(recount.sentences(F.col("t")).alias("n")).collect()]
+    assert got == [3_500, 0] and time.time() - began < 30
+
+
+def test_composed_texts_need_no_normalisation(spark):
+    """No code point of the class changes, moves or joins another; texts of these alone do not reach Python."""
+    import re
+    import unicodedata
+
+    from tallymark.functions import charclass as cc
+
+    own = [chr(k) for k in range(0x10000) if re.fullmatch(cc.COMPOSED, chr(k))]
+    assert len(own) > 30_000 and all(unicodedata.is_normalized("NFC", x) and not unicodedata.combining(x) for x in own)
+    pairs = [unicodedata.decomposition(chr(k)).split() for k in range(0x110000)]
+    seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and "<" not in p[0]} | {chr(k) for k in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    assert not seconds & set(own)
+    texts = [" café\n", "café", "한", "Å", "日本゙", "Й 한", "", None]
+    count = c.count("chars", F.col("t"), {"chars": "nfc_codepoints"})
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", count.alias("n"))
+    assert [r.n for r in df.collect()] == [None if t is None else len(unicodedata.normalize("NFC", t.strip())) for t in texts]
+    assert "nfc(CASE WHEN" in df._jdf.queryExecution().optimizedPlan().toString()
