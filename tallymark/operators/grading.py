@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +35,16 @@ def satisfies(mode: Column, observed: Column, target: Column) -> Column:
 
 def keyword_present(text: Column, keyword: Column) -> Column:
     """Whether a whole word is the keyword, whatever its case; hyphens and dashes separate, punctuation is dropped."""
-    return F.exists(c.words(text, "hyphen_split"), lambda w: c.fold(F.regexp_replace(w, cc.NEITHER, "")) == c.fold(keyword))
+    apart = cc.SPACES + cc.DASH_OR_HYPHEN[1:-1]
+    parted = F.translate(text, apart, " " * len(apart))
+    # Each match begins where the one before ends, so no place is tried in vain.
+    bare = F.regexp_replace(parted, r"([A-Za-z0-9 ]*+[\p{L}\p{N} ]*+)(?:[^\p{L}\p{N} ]++|\z)", "$1")
+    return F.array_contains(F.split(c.fold(bare), " "), c.fold(keyword)) & (keyword != "")
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that it names several times, worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def unwrap(text: Column) -> Column:
@@ -42,21 +52,28 @@ def unwrap(text: Column) -> Column:
 
     In turn: a code fence around all, a short first line that ends in a colon, lines at the end that state a count.
     """
-    body = c.strip(text)
-    fenced = body.rlike(_FENCE)
-    body = F.when(fenced, F.regexp_extract(body, _FENCE, 1)).otherwise(body)
-    led = body.rlike(_PREAMBLE) & (F.size(c.words(F.substring_index(body, "\n", 1))) <= 14)
-    body = F.when(led, F.regexp_replace(body, _PREAMBLE, "")).otherwise(body)
-    body = F.regexp_replace(body, rf"{cc.SPACE}++\z", "")
-    tail = F.regexp_extract(body, _SELF_COUNT, 0)
-    n = F.length(tail) - F.length(F.replace(tail, F.lit("\n"), F.lit("")))
-    notes = F.concat(
-        F.filter(
-            F.array(F.when(fenced, F.lit("code fence")), F.when(led, F.lit("preamble line"))), lambda x: x.isNotNull()
-        ),
-        F.array_repeat(F.lit("self reported count"), n.cast("int")),
-    )
-    return F.struct(c.strip(F.regexp_replace(body, _SELF_COUNT, "")).alias("text"), notes.alias("notes"))
+    def fence(body: Column) -> Column:
+        fenced = body.rlike(_FENCE)
+        inner = F.when(fenced, F.regexp_extract(body, _FENCE, 1)).otherwise(body)
+        return _once(F.struct(inner.alias("body"), fenced.alias("fenced")), lambda x: preamble(x["body"], x["fenced"]))
+
+    def preamble(body: Column, fenced: Column) -> Column:
+        led = body.rlike(_PREAMBLE) & (F.size(c.words(F.substring_index(body, "\n", 1))) <= 14)
+        rest = F.rtrim(F.when(led, F.regexp_replace(body, _PREAMBLE, "")).otherwise(body), F.lit(cc.SPACES))
+        return _once(F.struct(rest.alias("body"), led.alias("led")), lambda x: tail(x["body"], fenced, x["led"]))
+
+    def tail(body: Column, fenced: Column, led: Column) -> Column:
+        said = F.regexp_extract(body, _SELF_COUNT, 0)
+        n = F.length(said) - F.length(F.replace(said, F.lit("\n"), F.lit("")))
+        notes = F.concat(
+            F.filter(
+                F.array(F.when(fenced, F.lit("code fence")), F.when(led, F.lit("preamble line"))), lambda x: x.isNotNull()
+            ),
+            F.array_repeat(F.lit("self reported count"), n.cast("int")),
+        )
+        return F.struct(c.strip(F.regexp_replace(body, _SELF_COUNT, "")).alias("text"), notes.alias("notes"))
+
+    return _once(c.strip(text), fence)
 
 
 def bucket(error: Column) -> Column:
