@@ -196,3 +196,29 @@ def test_jitter(spark):
 
 def test_rules_have_all_dialects():
     assert sum(map(len, c.DIALECTS.values())) == 24 and len(c.COUNTED) == 6
+
+
+def test_keyword_among_words(spark):
+    """Whole words alone, whatever stands inside or around them."""
+    texts = ["a Yeast, b", "(yea'st)", "yeasty", "pre-yeast", "x—YEAST—y", "yeast", "", "ye ast", "¿yéast?", " yeast "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.k for r in df.select(keyword_present(F.col("t"), F.lit("yeast")).alias("k")).collect()]
+    assert got == [True, True, False, True, True, True, False, False, False, True]
+    assert not any(r.k for r in df.select(keyword_present(F.col("t"), F.lit("")).alias("k")).collect())
+
+
+def test_unwrap_names_its_text_once(spark):
+    """Each step works on the value of the one before; the expression does not grow with every mention."""
+    plan = spark.createDataFrame([("a",)], "t string").select(unwrap(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("t#") < 12
+
+
+def test_answers_stand_in_their_items_rows(spark):
+    """The queries that grade read the documents once; nothing is joined, and the join gives the same."""
+    from tallymark.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    rows = registry.answered(spark, data)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    both = registry.joined(spark, data).select(*rows.columns)
+    assert rows.exceptAll(both).isEmpty() and both.exceptAll(rows).isEmpty()
