@@ -407,6 +407,75 @@ def test_scores_against_a_naive_forward_pass():
     assert np.allclose(got, [naive_score(model, t) for t in texts], rtol=1e-4, atol=1e-4)
 
 
+def test_the_network_decides_inside_classes():
+    # c or d, which share a class, follow x; which one, only the group before x tells: pair counts say half and half.
+    a, b, c, d, x, end = range(6)
+    draw = random.Random(5)
+    texts = [np.array([k for _ in range(12) for k in draw.choice(([a, x, c], [b, x, d]))] + [end]) for _ in range(200)]
+    row, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    before = np.concatenate([[end], row[:-1]])
+    model = attention_lm.Model(np.bincount(row, minlength=6).astype(float), (before, row, np.ones(len(row))), groups=7, classes=3, clusters=2)
+    # Both in one class, whatever the frequencies.
+    group = model.group_of
+    model.class_of = np.full(7, 2, np.int32)
+    model.class_of[group[[c, d]]] = 1
+    model.class_of[group[[a, b, x, end]]] = 0
+    member = np.eye(3)[model.class_of]
+    said = np.full((7, 7), 0.1)
+    np.add.at(said, (group[before], group[row]), 1)
+    said /= said.sum(1, keepdims=True)
+    model.pairs = np.log(said @ member).astype(np.float32)
+    model.within = (np.log(said) - np.log(said @ member)[:, model.class_of]).astype(np.float32)
+    model.members = attention_lm.Members(model.within, model.class_of)
+    begin, scored, context = attention_lm.windows(sizes)
+    cut = attention_lm.segments(group[row], model.end_group)
+    batches = [(cut[begin[k : k + 64]], context[k : k + 64], scored[k : k + 64]) for k in range(0, len(begin), 64)]
+    learner = attention_lm.Learner(model, 0.03)
+    for k in range(30):
+        learner.learn(batches, k)
+    model.pick = learner.p.pop("pick")
+    model.parameters = learner.p
+    right, wrong = (model.score(np.array([a, x, k, end]), np.array([4]))[0] for k in (c, d))
+    assert right > wrong + 1
+    right, wrong = (model.score(np.array([b, x, k, end]), np.array([4]))[0] for k in (d, c))
+    assert right > wrong + 1
+
+
+def test_gradients_and_scores_inside_classes():
+    rng = np.random.default_rng(6)
+    model = small_model()
+    assert (model.members.size > 1).any()
+    p = {k: v.astype(np.float64) + rng.normal(0, 0.3, v.shape) for k, v in model.learned().items()}
+    row = rng.integers(0, 5, 70)
+    begin, scored, context = attention_lm.windows(np.array([50, 1, 19]))
+    seg = attention_lm.segments(row, model.end_group)[begin]
+    told = np.arange(attention_lm.SCORED)[None, :] < scored[:, None]
+    pairs, members = model.pairs.astype(np.float64), model.members
+    loss = lambda: -attention_lm.log_probabilities(p, seg, context, pairs + p["out_bias"], model.class_of, members=members)[told].mean()
+    g = attention_lm.gradients(p, seg, context, scored, pairs, model.class_of, members)
+    for k in p:
+        flat = p[k].reshape(-1)
+        for i in rng.choice(len(flat), 4, replace=False):
+            old, h = flat[i], 1e-5
+            flat[i] = old + h
+            up = loss()
+            flat[i] = old - h
+            down = loss()
+            flat[i] = old
+            assert abs((up - down) / (2 * h) - g[k].reshape(-1)[i]) < 1e-4, k
+    # Over all groups that can come first, the probabilities sum to one; so they do where logits are large.
+    model.parameters = {k: p[k].astype(np.float32) for k in model.parameters}
+    for scale in (1, 400):
+        model.pick = (scale * p["pick"]).astype(np.float32)
+        first = []
+        for k in range(7):
+            seg = attention_lm.segments(model.group_of[np.array([k, 6])], model.end_group)[:1]
+            told = model.pairs + model.parameters["out_bias"]
+            first.append(attention_lm.log_probabilities(model.learned(), seg, np.array([0]), told, model.class_of, members=model.members)[0, 0] + model.inside[k])
+        assert abs(np.exp(first).sum() - 1) < 1e-5
+        assert abs(model.score(np.array([6]), np.array([1]))[0] * np.log(10) - first[6]) < 1e-4
+
+
 def test_vocabulary_reads_words_as_one_by_one():
     with open(token_counts.TOKENIZER, "rb") as f:
         v = attention_lm.Vocabulary(f.read())
