@@ -176,9 +176,13 @@ def item_key(body: Column, dialect: str = "normalized", folded: Callable[[Column
     if dialect == "exact":
         return strip(body)
     if dialect == "first_word":
-        return folded(F.coalesce(F.get(words(body), F.lit(0)), F.lit("")))
-    bare = F.regexp_replace(body, rf"(?![\p{{L}}\p{{N}}]|{cc.SPACE})[\s\S]", " ")
-    return folded(strip(F.regexp_replace(bare, f"{cc.SPACE}+", " ")))
+        # As the first of words(), without cutting up the rest: pieces that hold none are passed over once.
+        apart = f"{cc.SPACE[1:-1]}{cc.DASH[1:-1]}"
+        mark = rf"[^\p{{L}}\p{{N}}{apart}]"
+        return folded(F.regexp_extract(body, rf"\A(?:{mark}*+[{apart}]++)*+({mark}*+{cc.LETTER_OR_DIGIT}[^{apart}]*+)", 1))
+    # One space for all that stands between two letters or digits, where it is not one already.
+    bare = F.regexp_replace(body, rf" ?[^\p{{L}}\p{{N}} ]{cc.NEITHER}*+| {{2}}{cc.NEITHER}*+", " ")
+    return folded(F.btrim(bare))
 
 
 def item_keys(text: Column, bullet_dialect: str = "plain", item_dialect: str = "normalized") -> Column:

@@ -81,6 +81,22 @@ def test_items(spark):
     assert [(p.width, p.marker, p.body) for p in parts] == [(1, "1)", "one"), (0, "-", "two")]
 
 
+def test_item_keys_in_one_pass(spark):
+    """A key is found without cutting up the item or looking around at each character, and is what that would give."""
+    draw = random.Random(9)
+    bodies = ["".join(draw.choice(PARTS + ["(", "\u00a0", "—", "Ⅷ", "²", "漢"]) for _ in range(draw.randrange(12))) for _ in range(2000)]
+    bodies += ["", " ", "...", "—", "!" * 300_000 + " x", "- " * 100_000 + "(Y)", "a" * 300_000, "x" + " ," * 100_000 + " y"]
+    df = spark.createDataFrame([(b,) for b in bodies], "b string")
+    t = F.col("b")
+    whole = F.coalesce(F.get(c.words(t), F.lit(0)), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(t, c.cc.NEITHER, " "), f"{c.cc.SPACE}+", " ")
+    got = df.select(c.item_key(t, "first_word"), c.fold(whole), c.item_key(t), c.fold(c.strip(bare))).collect()
+    assert not [r for r in got if r[0] != r[1] or r[2] != r[3]]
+    for dialect in ("first_word", "normalized"):
+        plan = df.select(c.item_key(t, dialect))._jdf.queryExecution().optimizedPlan().toString()
+        assert "split(" not in plan and "(?!" not in plan
+
+
 def test_sentence_texts(spark):
     got = spark.range(1).select(c.sentences(F.lit("Dr. Smith came. He left"))).first()[0]
     assert got == ["Dr. Smith came.", "He left"]
