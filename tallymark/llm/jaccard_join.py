@@ -12,7 +12,7 @@ search has these levels:
   passage last. Only those that hardly have anything of their own still have long lists; they are tied to the first
   such document of the list.
 * Within each connected group of candidates: T-occurrence search over the whole sets. The short inverted lists of a
-  document are merged with a heap, documents that occur often enough are looked up in its long lists by binary
+  document are merged by sorting, documents that occur often enough are looked up in its long lists by binary
   search (DivideSkip), and those that reach the required overlap are linked.
 
 A large group is mostly one document edited many times. Its members are compared with a few leaders first; those
@@ -24,11 +24,8 @@ Equal sets are one class from the start, so exact copies never meet.
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from functools import reduce
 from hashlib import blake2b
-from itertools import groupby
 from math import log2
 
 import numpy as np
@@ -92,25 +89,37 @@ def linked(overlap: int, n: int, m: int, percent: int) -> bool:
     return 100 * overlap >= percent * (n + m - overlap)
 
 
-def divide_skip(query: list[list[int]], least: int) -> list[int]:
-    """The numbers that occur in at least ``least`` of the sorted lists."""
-    lists = sorted(query, key=len)
+def divide_skip(query: list, least: int) -> list[int]:
+    """The numbers that occur in at least ``least`` of the sorted lists, which repeat none."""
+    lists = sorted((x for x in query if len(x)), key=len)
     if len(lists) < least:
         return []
     apart = min(least - 1, int(least / (MU * log2(len(lists[-1]) + 1) + 1)))
     short, long_ = lists[: len(lists) - apart], lists[len(lists) - apart :]
-    out = []
-    for y, run in groupby(heapq.merge(*short)):
-        count = sum(1 for _ in run)
-        if count < least - apart:
-            continue
-        for rest, x in zip(range(len(long_), 0, -1), long_, strict=True):
-            if count + rest < least:
-                break
-            at = bisect_left(x, y)
-            count += at < len(x) and x[at] == y
-        if count >= least:
-            out.append(y)
+    found, count = np.unique(np.concatenate(short), return_counts=True)
+    for rest, x in zip(range(len(long_), 0, -1), long_, strict=True):
+        enough = count + rest >= least
+        if not enough.all():
+            found, count = found[enough], count[enough]
+            if not len(found):
+                return []
+        at = np.searchsorted(x, found)
+        count += np.take(x, at, mode="clip") == found
+    return found[count >= least].tolist()
+
+
+def _cut_lists(lists: np.ndarray, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray, most: int = 1 << 20) -> list[np.ndarray]:
+    """Of the parts ``begin`` to ``end`` of a flat row of lists what is ``wanted``, without empty ones."""
+    out, sums, i = [], np.concatenate([[0], np.cumsum(end - begin)]), 0
+    while i < len(begin):  # so many numbers at once
+        j = max(i + 1, int(np.searchsorted(sums, sums[i] + most, "right")) - 1)
+        n = end[i:j] - begin[i:j]
+        x = lists[np.repeat(begin[i:j] - sums[i:j] + sums[i], n) + np.arange(sums[j] - sums[i])]
+        stays = wanted[x]
+        bounds = np.concatenate([[0], np.cumsum(stays)])[sums[i : j + 1] - sums[i]]
+        x = x[stays]
+        out += [x[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()) if a < b]
+        i = j
     return out
 
 
@@ -132,8 +141,10 @@ def link_group(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, pe
     rank[order] = np.arange(n)
     owner = np.repeat(rank, sizes)
     by_token = np.lexsort((owner, token))
-    lists = owner[by_token]
+    lists = owner[by_token].astype(np.int32)
     start = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(ids)))])
+    filled = start[:-1].copy()  # of each list, where it ends for those before the rank that has its turn
+    by_size, side_of = sizes[order], np.asarray(sides)[order]
     part = np.arange(n)  # of each rank
     members: dict[int, list[int]] = {k: [k] for k in range(n)}
     if connected is not None and connected.any():
@@ -174,20 +185,16 @@ def link_group(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, pe
                 if y is not None and part[y] != part[r] and reaches(y):
                     join(y, r)
             if met[int(part[r])] < earlier:
-                query = []
-                for t in own:
-                    x = lists[start[t] : start[t + 1]]
-                    x = x[: np.searchsorted(x, r)]
-                    if len(x):
-                        x = x[part[x] != part[r]]
-                        if not one_side and len(x):
-                            x = x[sides[order[x]] != sides[k]]
-                        if len(x):
-                            query.append(x.tolist())
-                for y in divide_skip(query, least):
+                # Smaller sets than ``least`` can't be linked with this one.
+                wanted = part != part[r]
+                wanted[: np.searchsorted(by_size, least)] = False
+                if not one_side:
+                    wanted &= side_of != sides[k]
+                for y in divide_skip(_cut_lists(lists, start[own], filled[own], wanted), least):
                     if part[y] != part[r] and reaches(y):
                         join(y, r)
             mark[own] = False
+        filled[own] += 1
         met[int(part[r])] += 1
         if int(part[r]) not in parts:
             parts.append(int(part[r]))

@@ -42,6 +42,29 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_are_few_files(spark, monkeypatch):
+    files = []
+    monkeypatch.setattr(common, "save", lambda df, keep=common.save: (files.append(len((t := keep(df)).inputFiles())), t)[1])
+    monkeypatch.setattr(common, "TASKS", 3)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(k, k + 1) for k in range(200) if k % 5], "a long, b long")
+        got = {r.id: r.component for r in common.connected_components(edges).collect()}
+        few = files[1:]
+        monkeypatch.setattr(common, "ROWS", 10)  # many edges get more tasks
+        files.clear()
+        assert {r.id: r.component for r in common.connected_components(edges).collect()} == got
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {k: (k - 1) // 5 * 5 + 1 for k in range(1, 201)}
+    assert few and max(few) <= 3
+    assert max(files[1:]) > 3
+
+
 # ---- line dedup
 
 
@@ -274,6 +297,16 @@ def test_jaccard_one_id_with_two_texts(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 5), (9, 5)]
 
 
+def test_cut_lists():
+    draw = np.random.default_rng(4)
+    begin = draw.integers(0, 900, 60)
+    end = begin + draw.integers(0, 90, 60)
+    lists, wanted = draw.integers(0, 50, 1000), draw.random(50) < 0.3
+    want = [x.tolist() for x in ([lists[a:b][wanted[lists[a:b]]] for a, b in zip(begin, end)]) if len(x)]
+    for most in (1, 70, 1 << 20):
+        assert [x.tolist() for x in jaccard_join._cut_lists(lists, begin, end, wanted, most)] == want
+
+
 def test_divide_skip():
     draw = random.Random(1)
     for _ in range(300):
