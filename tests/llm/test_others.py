@@ -476,6 +476,51 @@ def test_gradients_and_scores_inside_classes():
         assert abs(model.score(np.array([6]), np.array([1]))[0] * np.log(10) - first[6]) < 1e-4
 
 
+def test_gradients_of_any_order_of_classes_and_of_large_scores():
+    # Classes of one group stand between those of several; the attention's exponentials are small, then beyond 1e20.
+    rng = np.random.default_rng(11)
+    model = small_model()
+    class_of = np.array([2, 0, 2, 1, 3])
+    members = attention_lm.Members(model.within, class_of)
+    row = rng.integers(0, 5, 60)
+    begin, scored, context = attention_lm.windows(np.array([41, 19]))
+    seg = attention_lm.segments(row, model.end_group)[begin]
+    told, pairs = np.arange(attention_lm.SCORED)[None, :] < scored[:, None], model.pairs.astype(np.float64)
+    for scale in (1, 150):
+        p = {k: v.astype(np.float64) + rng.normal(0, 0.3, v.shape) for k, v in model.learned().items()}
+        p["embed"] += 1
+        p["relate"] = scale * np.eye(len(p["relate"])) / 10 + p["relate"] / 10
+        sums = attention_lm._attend(p, seg[:, :-1], context)[1][4]
+        assert (sums.max() > 1e20) == (scale > 1)
+        loss = lambda: -attention_lm.log_probabilities(p, seg, context, pairs + p["out_bias"], class_of, members=members)[told].mean()  # noqa: E731, B023
+        g = attention_lm.gradients(p, seg, context, scored, pairs, class_of, members)
+        for k in p:
+            flat = p[k].reshape(-1)
+            for i in rng.choice(len(flat), 4, replace=False):
+                old, h = flat[i], 1e-6
+                flat[i] = old + h
+                up = loss()
+                flat[i] = old - h
+                down = loss()
+                flat[i] = old
+                assert abs((up - down) / (2 * h) - g[k].reshape(-1)[i]) < 1e-4, (k, scale)
+
+
+def test_the_plain_pattern_cuts_words_alike():
+    # Words with white space outside ASCII are left to the whole pattern, as are those beside them.
+    with open(token_counts.TOKENIZER, "rb") as f:
+        v = attention_lm.Vocabulary(f.read())
+    draw = random.Random(12)
+    plain = ["".join(draw.choice("aZé'stll1²!-—漢😀\x1c\x1f\u200b\u0301") for _ in range(draw.randrange(1, 12))) for _ in range(2500)]
+    spaces = [chr(k) for k in range(0x80, 0x3001) if chr(k).isspace()]
+    assert all(attention_lm._SPACES.search(c) for c in spaces) and not attention_lm._SPACES.search("".join(plain))
+    for words in (plain, [w + c + draw.choice(spaces) + w for w, c in zip(plain, spaces)], [*plain, spaces[0], *spaces]):
+        pieces, lengths = v._pieces([w.encode() for w in words])
+        want = [v.encode(" " + w) for w in words]
+        assert pieces.tolist() == [p for x in want for p in x] and lengths.tolist() == list(map(len, want))
+    assert attention_lm._strings(pa.array(["a", "", "é b", "c"]).slice(1)) == [b"", "é b".encode(), b"c"] and attention_lm._strings(pa.array([], pa.string())) == []
+
+
 def test_vocabulary_reads_words_as_one_by_one():
     with open(token_counts.TOKENIZER, "rb") as f:
         v = attention_lm.Vocabulary(f.read())
