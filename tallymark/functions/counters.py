@@ -90,11 +90,12 @@ def _count_words(text: Column, dialect: str) -> Column:
     A match takes what lies between words with it, so the search never tries a place in vain.
     """
     if dialect == "whitespace":
-        return F.regexp_count(text, F.lit(f"{cc.NOT_SPACE}++{cc.SPACE}*+"))
+        return F.regexp_count(text, F.lit(rf"(?:[!-~]|{cc.NOT_SPACE})[!-~]*+(?: |[!-~{cc.SOLID}]*+{cc.NOT_SPACE}*+)"))
     holding = cc.LETTER if dialect == "alpha_only" else cc.LETTER_OR_DIGIT
     hyphen, printed = ("-", "!-,.-~") if dialect == "hyphen_split" else ("", "!-~")
-    # Most of a word is printed ASCII, for which a small class is faster.
-    return F.regexp_count(text, F.lit(rf"{holding}[{printed}]*+[^{cc.SPACE[1:-1]}{cc.DASH[1:-1]}{hyphen}]*+[^\p{{L}}{'' if dialect == 'alpha_only' else r'\p{N}'}]*+"))
+    # Most of a word is printed ASCII, for which a small class is faster, and a space mostly ends it.
+    rest = rf"(?: |[{printed}{cc.SOLID}]*+[^{cc.SPACE[1:-1]}{cc.DASH[1:-1]}{hyphen}]*+)"
+    return F.regexp_count(text, F.lit(rf"{holding}[{printed}]*+{rest}[^\p{{L}}{'' if dialect == 'alpha_only' else r'\p{N}'}]*+"))
 
 
 def _segments(text: Column) -> Column:
@@ -205,13 +206,13 @@ def chars(text: Column, dialect: str = "codepoints") -> Column:
     """The number of characters."""
     check("chars", dialect)
     if dialect == "no_whitespace":
-        return F.length(F.regexp_replace(text, f"{cc.SPACE}+", ""))
+        return F.length(F.translate(text, cc.SPACES, ""))
     if dialect == "utf8_bytes":
         return F.octet_length(strip(text))
     bare = strip(text)
     if dialect == "nfc_codepoints":
         # Only texts that normalisation may change go to Python.
-        odd = ~bare.rlike(rf"\A{cc.COMPOSED}*+\z")
+        odd = ~bare.rlike(rf"\A{cc.COMPOSED_OFTEN}{cc.COMPOSED}*+\z")
         return F.length(F.coalesce(nfc(F.when(odd, bare)), bare))
     return F.length(bare)
 
@@ -220,7 +221,7 @@ def lines(text: Column, dialect: str = "nonblank") -> Column:
     """The lines of a text that count."""
     check("lines", dialect)
     if dialect == "all_lines":
-        bare = F.regexp_replace(text, r"\A\n+|\n+\z", "")
+        bare = F.btrim(text, F.lit("\n"))
         return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "\n", -1))
     return _holding(split_lines(text), cc.NOT_SPACE if dialect == "stripped_all" else cc.LETTER_OR_DIGIT)
 
@@ -251,10 +252,11 @@ def count(dimension: str, text: Column, rules: dict[str, str] | None = None) ->
         # As sentences(), without building the pieces' text.
         if dialect == "newline_breaks":
             found = F.flatten(F.transform(split_lines(text), _segments))
+        elif dialect == "require_terminator":
+            # By a lambda, so that pieces are found once and not again for their number.
+            found = F.get(F.transform(F.array(_segments(text)), lambda s: F.slice(s, F.lit(1), F.size(s) - 1)), F.lit(0))
         else:
             found = _segments(text)
-            if dialect == "require_terminator":
-                found = F.slice(found, F.lit(1), F.size(found) - 1)
         return F.size(_holding(found, cc.LETTER_OR_DIGIT))
     return F.size(_BUILDERS[dimension](text, dialect))
 

@@ -3,6 +3,7 @@
 import unicodedata
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallymark.functions import counters as c
@@ -20,3 +21,22 @@ def test_every_alternative_is_counted(spark, tmp_path):
     assert got == sorted(con.sql(f"SELECT dimension, dialect, pos, moved, by_how_much, n FROM ({entry.oracle_sql()['alternatives']})").fetchall())
     # By text: three accents, one, none, two joining letters (7 times each); the dress adds none.
     assert [x[3:] for x in got if x[1] == "nfc_codepoints"] == [(21, 42, 42)]
+
+
+def test_short_ways_count_the_same(spark):
+    """Each code point inside a word, at its ends and alone: counts are those of the pieces that the rules give."""
+    points = [chr(k) for k in [*range(0xD800), *range(0xE000, 0xFFFE), 0x1F600, 0x1D400, 0x20000]]
+    near = [f(x) for x in points for f in (lambda x: f"a{x}b {x}", lambda x: f" {x}漢é-{x}1\n{x}")]
+    t = F.col("t")
+    df = spark.createDataFrame([(x,) for x in [*near, "", " ", "a" * 300_000, "é" * 300_000, " " * 300_000, "　a" * 100_000, "\n\n", "\na\n\nb\n", None]], "t string").repartition(8)
+    pairs = [(c.count("words", t, {"words": k}), F.size(c.words(t, k))) for k in c.DIALECTS["words"]]
+    pairs.append((c.chars(t, "no_whitespace"), F.length(F.regexp_replace(t, f"{c.cc.SPACE}+", ""))))
+    pairs.append((c.lines(t, "all_lines"), F.when(_bare(t) == "", F.array().cast("array<string>")).otherwise(F.split(_bare(t), "\n", -1))))
+    closed = {"sentences": "require_terminator"}
+    pairs.append((c.count("sentences", t, closed), F.size(c.sentences(t, "require_terminator"))))
+    different = df.select(*[F.count_if(~a.eqNullSafe(b)).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
+    assert not any(different), different
+
+
+def _bare(text):
+    return F.regexp_replace(text, r"\A\n+|\n+\z", "")
